@@ -150,7 +150,7 @@ def semi_logs_in_cohort(spark, folder):
 
 
 @query("impute_negative", """
-SELECT c_custkey, round(CASE WHEN c_acctbal < 0 THEN (SELECT avg(c_acctbal) FROM customer) ELSE c_acctbal END, 6) + 0.0
+SELECT c_custkey, round(CASE WHEN c_acctbal < 0 THEN (SELECT avg(c_acctbal) FROM customer) ELSE c_acctbal END + 1e-9, 6) + 0.0
        AS balance FROM customer
 """)
 def impute_negative(spark, folder):

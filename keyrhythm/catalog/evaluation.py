@@ -28,9 +28,9 @@ def split_labels(spark, folder):
 
 
 @query("kfold_assign", """
-SELECT c_custkey, CAST(CASE WHEN at < longer * (size + 1) THEN at // (size + 1)
-                            ELSE longer + (at - longer * (size + 1)) // size END AS INTEGER) AS fold
-FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS at,
+SELECT c_custkey, CAST(CASE WHEN place < longer * (size + 1) THEN place // (size + 1)
+                            ELSE longer + (place - longer * (size + 1)) // size END AS INTEGER) AS fold
+FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS place,
              count(*) OVER () // 7 AS size, count(*) OVER () % 7 AS longer FROM customer)
 """)
 def kfold_customers(spark, folder):
@@ -69,7 +69,7 @@ def vote_hard(spark, folder):
 
 
 @query("vote_soft", f"""
-SELECT doc_id, round((p + a * 0.8 + (1 - a) * 0.3 + b * 0.6 + (1 - b) * 0.4) / 3, 6) + 0.0 AS probability,
+SELECT doc_id, round((p + a * 0.8 + (1 - a) * 0.3 + b * 0.6 + (1 - b) * 0.4) / 3 + 1e-9, 6) + 0.0 AS probability,
        CAST((p + a * 0.8 + (1 - a) * 0.3 + b * 0.6 + (1 - b) * 0.4) / 3 > 0.5 AS INTEGER) AS prediction
 FROM ({VOTES_SQL})
 """)
@@ -111,7 +111,7 @@ def _rounded_scores(df, keep):
 
 
 @query("prf_per_class", CLASSES_SQL + """
-SELECT class, round(precision, 6) + 0.0 AS precision, round(recall, 6) + 0.0 AS recall, round(f1, 6) + 0.0 AS f1, support
+SELECT class, round(precision + 1e-9, 6) + 0.0 AS precision, round(recall + 1e-9, 6) + 0.0 AS recall, round(f1 + 1e-9, 6) + 0.0 AS f1, support
 FROM scores
 """)
 def prf_per_class(spark, folder):
@@ -124,7 +124,7 @@ UNION ALL SELECT 'accuracy', sum(hits) / sum(support), sum(hits) / sum(support),
 UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM scores
 UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
                  sum(f1 * support) / sum(support), sum(support) FROM scores)
-SELECT class, round(precision, 6) + 0.0 AS precision, round(recall, 6) + 0.0 AS recall, round(f1, 6) + 0.0 AS f1,
+SELECT class, round(precision + 1e-9, 6) + 0.0 AS precision, round(recall + 1e-9, 6) + 0.0 AS recall, round(f1 + 1e-9, 6) + 0.0 AS f1,
        CAST(support AS BIGINT) AS support FROM rows
 """)
 def class_report(spark, folder):
@@ -132,7 +132,7 @@ def class_report(spark, folder):
 
 
 @query("metrics", f"""
-SELECT round(avg(CAST(label = prediction AS INTEGER)), 6) + 0.0 AS accuracy FROM ({PREDICTIONS_SQL})
+SELECT round(avg(CAST(label = prediction AS INTEGER)) + 1e-9, 6) + 0.0 AS accuracy FROM ({PREDICTIONS_SQL})
 """)
 def accuracy(spark, folder):
     return M.accuracy(rule_predictions(spark, folder)).select(rounded("accuracy").alias("accuracy"))
@@ -150,20 +150,20 @@ moves AS (SELECT *, lag(tpr, 1, 0.0) OVER (ORDER BY score DESC) AS tpr0, lag(fpr
 
 
 @query("roc_points", STEPS_SQL + """
-SELECT score AS threshold, round(fpr, 6) + 0.0 AS fpr, round(tpr, 6) + 0.0 AS tpr FROM points
+SELECT score AS threshold, round(fpr + 1e-9, 6) + 0.0 AS fpr, round(tpr + 1e-9, 6) + 0.0 AS tpr FROM points
 """)
 def roc_points(spark, folder):
     points = M.roc_points(rule_predictions(spark, folder))
     return points.select("threshold", rounded("fpr").alias("fpr"), rounded("tpr").alias("tpr"))
 
 
-@query("auc", STEPS_SQL + "SELECT round(sum((fpr - fpr0) * (tpr + tpr0) / 2), 6) + 0.0 AS auc FROM moves")
+@query("auc", STEPS_SQL + "SELECT round(sum((fpr - fpr0) * (tpr + tpr0) / 2) + 1e-9, 6) + 0.0 AS auc FROM moves")
 def auc(spark, folder):
     return M.ranking_scores(rule_predictions(spark, folder)).select(rounded("auc").alias("auc"))
 
 
 @query("average_precision", STEPS_SQL + """
-SELECT round(sum((tpr - tpr0) * precision), 6) + 0.0 AS average_precision FROM moves
+SELECT round(sum((tpr - tpr0) * precision) + 1e-9, 6) + 0.0 AS average_precision FROM moves
 """)
 def average_precision(spark, folder):
     scores = M.ranking_scores(rule_predictions(spark, folder))

@@ -18,8 +18,8 @@ def _part(spark, folder):
 
 
 @query("standard_scale", """
-SELECT p_partkey, round((p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER (), 6) + 0.0 AS p_size,
-       round((p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER (), 6) + 0.0 AS p_retailprice
+SELECT p_partkey, round((p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER () + 1e-9, 6) + 0.0 AS p_size,
+       round((p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER () + 1e-9, 6) + 0.0 AS p_retailprice
 FROM part
 """)
 def standard_scale(spark, folder):
@@ -29,8 +29,8 @@ def standard_scale(spark, folder):
 
 
 @query("unit_variance", """
-SELECT p_partkey, round(p_size / stddev_pop(p_size) OVER (), 6) + 0.0 AS p_size,
-       round(p_retailprice / stddev_pop(p_retailprice) OVER (), 6) + 0.0 AS p_retailprice
+SELECT p_partkey, round(p_size / stddev_pop(p_size) OVER () + 1e-9, 6) + 0.0 AS p_size,
+       round(p_retailprice / stddev_pop(p_retailprice) OVER () + 1e-9, 6) + 0.0 AS p_retailprice
 FROM part
 """)
 def unit_variance(spark, folder):
@@ -40,8 +40,8 @@ def unit_variance(spark, folder):
 
 
 @query("l2_normalize", """
-SELECT p_partkey, round(p_size / sqrt(p_size * p_size + p_retailprice * p_retailprice), 6) + 0.0 AS p_size,
-       round(p_retailprice / sqrt(p_size * p_size + p_retailprice * p_retailprice), 6) + 0.0 AS p_retailprice
+SELECT p_partkey, round(p_size / sqrt(p_size * p_size + p_retailprice * p_retailprice) + 1e-9, 6) + 0.0 AS p_size,
+       round(p_retailprice / sqrt(p_size * p_size + p_retailprice * p_retailprice) + 1e-9, 6) + 0.0 AS p_retailprice
 FROM part
 """)
 def l2_normalize(spark, folder):
@@ -53,7 +53,7 @@ def l2_normalize(spark, folder):
 @query("l2_normalize_vectors", """
 WITH v AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS position
            FROM embeddings)
-SELECT vec_id, CAST(position AS INTEGER) AS position, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 6) + 0.0 AS value
+SELECT vec_id, CAST(position AS INTEGER) AS position, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) + 1e-9, 6) + 0.0 AS value
 FROM v
 """)
 def l2_normalize_vectors(spark, folder):
@@ -74,7 +74,7 @@ GROUP BY feature
 """
 
 
-@query("anova_f", f"SELECT feature, round(f, 6) + 0.0 AS f_score FROM ({ANOVA_SQL})")
+@query("anova_f", f"SELECT feature, round(f + 1e-9, 6) + 0.0 AS f_score FROM ({ANOVA_SQL})")
 def anova(spark, folder):
     return anova_f(labelled_documents(spark, folder), FEATURES, "label").select(
         "feature", rounded("f_score").alias("f_score")
@@ -93,7 +93,7 @@ bins AS (SELECT feature, sum(n) AS size, sum(n * n) AS sq FROM cells GROUP BY fe
 after AS (SELECT feature, sum(size) AS total, sum(size - sq / size) AS impure FROM bins GROUP BY feature),
 classes AS (SELECT feature, sum(n) AS c FROM cells GROUP BY feature, label),
 before AS (SELECT feature, 1 - sum(c * c) / (sum(c) * sum(c)) AS prior FROM classes GROUP BY feature)
-SELECT feature, round(prior - impure / total, 6) + 0.0 AS gini_score FROM after JOIN before USING (feature)
+SELECT feature, round(prior - impure / total + 1e-9, 6) + 0.0 AS gini_score FROM after JOIN before USING (feature)
 """)
 def gini(spark, folder):
     return gini_scores(labelled_documents(spark, folder), FEATURES, "label").select(
@@ -102,7 +102,7 @@ def gini(spark, folder):
 
 
 @query("gaussian_nb_stats", f"""
-SELECT label, feature, count(*) AS n, round(avg(x), 4) + 0.0 AS mean, round(var_pop(x) / 1e6, 6) + 0.0 AS var
+SELECT label, feature, count(*) AS n, round(avg(x) + 1e-9, 4) + 0.0 AS mean, round(var_pop(x) / 1e6 + 1e-9, 6) + 0.0 AS var
 FROM ({_unfolded()}) GROUP BY label, feature
 """)
 def gaussian_nb_stats(spark, folder):
@@ -117,7 +117,7 @@ def _covariance_sql() -> str:
     for i, a in enumerate(FEATURES):
         for j in range(i, len(FEATURES)):
             parts.append(
-                f"SELECT label, {i} AS i, {j} AS j, count(*) AS n, round(covar_samp({a}, {FEATURES[j]}) / 1e3, 5) + 0.0 "
+                f"SELECT label, {i} AS i, {j} AS j, count(*) AS n, round(covar_samp({a}, {FEATURES[j]}) / 1e3 + 1e-9, 5) + 0.0 "
                 f"AS covariance FROM d GROUP BY label"
             )
     return f"WITH d AS ({DOCUMENTS_SQL}) " + " UNION ALL ".join(parts)
@@ -131,8 +131,8 @@ def qda_stats(spark, folder):
 
 
 @query("feature_statistics", f"""
-SELECT feature, round(avg(x), 5) + 0.0 AS mean, round(quantile_cont(x, 0.5), 5) + 0.0 AS median,
-       round(stddev_samp(x) / avg(x), 5) + 0.0 AS dispersion, round(min(x), 5) + 0.0 AS min, round(max(x), 5) + 0.0 AS max,
+SELECT feature, round(avg(x) + 1e-9, 5) + 0.0 AS mean, round(quantile_cont(x, 0.5) + 1e-9, 5) + 0.0 AS median,
+       round(stddev_samp(x) / avg(x) + 1e-9, 5) + 0.0 AS dispersion, round(min(x) + 1e-9, 5) + 0.0 AS min, round(max(x) + 1e-9, 5) + 0.0 AS max,
        count(*) - count(x) AS missing
 FROM ({_unfolded(['value', 'k'], "SELECT event_type, value, CASE WHEN k >= 10 THEN k END AS k FROM (SELECT event_type, value, CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS k FROM events)", 'event_type')})
 GROUP BY feature
@@ -147,9 +147,9 @@ def feature_statistics(spark, folder):
 
 
 @query("box_summary", f"""
-SELECT feature, label, count(x) AS count, round(min(x), 5) + 0.0 AS min, round(quantile_cont(x, 0.25), 5) + 0.0 AS q1,
-       round(quantile_cont(x, 0.5), 5) + 0.0 AS median, round(quantile_cont(x, 0.75), 5) + 0.0 AS q3,
-       round(max(x), 5) + 0.0 AS max, round(avg(x), 5) + 0.0 AS mean, round(any_value(f), 5) + 0.0 AS f_score
+SELECT feature, label, count(x) AS count, round(min(x) + 1e-9, 5) + 0.0 AS min, round(quantile_cont(x, 0.25) + 1e-9, 5) + 0.0 AS q1,
+       round(quantile_cont(x, 0.5) + 1e-9, 5) + 0.0 AS median, round(quantile_cont(x, 0.75) + 1e-9, 5) + 0.0 AS q3,
+       round(max(x) + 1e-9, 5) + 0.0 AS max, round(avg(x) + 1e-9, 5) + 0.0 AS mean, round(any_value(f) + 1e-9, 5) + 0.0 AS f_score
 FROM ({_unfolded()}) JOIN ({ANOVA_SQL}) USING (feature) GROUP BY feature, label
 """)
 def box_summary(spark, folder):
@@ -174,8 +174,8 @@ rows AS (SELECT o_orderpriority, sum(n) AS r FROM cells GROUP BY 1),
 columns AS (SELECT o_orderstatus, sum(n) AS c FROM cells GROUP BY 1),
 full_grid AS (SELECT o_orderpriority, o_orderstatus, coalesce(n, 0) AS n, r * c / (SELECT sum(n) FROM cells) AS e
               FROM rows CROSS JOIN columns LEFT JOIN cells USING (o_orderpriority, o_orderstatus))
-SELECT o_orderpriority, o_orderstatus, CAST(n AS BIGINT) AS observed, round(e, 5) + 0.0 AS expected,
-       round((n - e) * (n - e) / e, 5) + 0.0 AS chi2_part FROM full_grid
+SELECT o_orderpriority, o_orderstatus, CAST(n AS BIGINT) AS observed, round(e + 1e-9, 5) + 0.0 AS expected,
+       round((n - e) * (n - e) / e + 1e-9, 5) + 0.0 AS chi2_part FROM full_grid
 """)
 def crosstab_chi2(spark, folder):
     out = explore.sieve(table(spark, folder, "orders"), "o_orderpriority", "o_orderstatus")
@@ -188,7 +188,7 @@ def crosstab_chi2(spark, folder):
 @query("mosaic_shares", """
 SELECT CAST(least(floor((p_size - l1) / (h1 - l1) * 4), 3) AS INTEGER) AS p_size_bin,
        CAST(least(floor((p_retailprice - l2) / (h2 - l2) * 4), 3) AS INTEGER) AS p_retailprice_bin,
-       p_brand, count(*) AS n, round(count(*) / any_value(total), 6) + 0.0 AS share
+       p_brand, count(*) AS n, round(count(*) / any_value(total) + 1e-9, 6) + 0.0 AS share
 FROM part CROSS JOIN (SELECT CAST(min(p_size) AS DOUBLE) AS l1, CAST(max(p_size) AS DOUBLE) AS h1,
                              min(p_retailprice) AS l2, max(p_retailprice) AS h2, count(*) AS total FROM part)
 GROUP BY 1, 2, 3
@@ -200,8 +200,8 @@ def mosaic_shares(spark, folder):
 
 @query("linear_projection", """
 SELECT l_orderkey, l_linenumber,
-       round(a + b * cos(2 * pi() / 3) + c * cos(4 * pi() / 3), 6) + 0.0 AS x,
-       round(b * sin(2 * pi() / 3) + c * sin(4 * pi() / 3), 6) + 0.0 AS y
+       round(a + b * cos(2 * pi() / 3) + c * cos(4 * pi() / 3) + 1e-9, 6) + 0.0 AS x,
+       round(b * sin(2 * pi() / 3) + c * sin(4 * pi() / 3) + 1e-9, 6) + 0.0 AS y
 FROM (SELECT l_orderkey, l_linenumber,
              (l_quantity - min(l_quantity) OVER ()) / (max(l_quantity) OVER () - min(l_quantity) OVER ()) AS a,
              (l_discount - min(l_discount) OVER ()) / (max(l_discount) OVER () - min(l_discount) OVER ()) AS b,

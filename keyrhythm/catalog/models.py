@@ -19,6 +19,7 @@ from keyrhythm.operators.selection import anova_f, importance_table, ranked, rec
 from keyrhythm.operators.splits import stratified_split
 from keyrhythm.plans import classifiers as C
 from keyrhythm.plans import evaluate as E
+from keyrhythm.session import settled
 
 
 def _split(spark, folder):
@@ -26,7 +27,7 @@ def _split(spark, folder):
 
 
 def _assembled(spark, folder, columns=FEATURES):
-    rows = labelled_documents(spark, folder)
+    rows = settled(labelled_documents(spark, folder))
     return assemble(rows, columns, [F.col("doc_id").alias("key"), "label"])
 
 
@@ -136,13 +137,13 @@ def _few(rows: int) -> dict:
 
 @query("cv_accuracy")
 def cv_accuracy(spark, folder):
-    rows = _assembled(spark, folder).persist()
+    rows = _assembled(spark, folder)
     return E.cross_validate(rows, {"naive_bayes": C.naive_bayes()}, folds=10)
 
 
 @query("model_report")
 def model_report(spark, folder):
-    rows = labelled_documents(spark, folder).persist()
+    rows = settled(labelled_documents(spark, folder))
     return E.evaluate_models(rows, FEATURES, "label", "doc_id", _few(rows.count()))
 
 
@@ -154,13 +155,13 @@ def best_model(spark, folder):
 
 @query("rfe_rank")
 def rfe_rank(spark, folder):
-    ranks = recursive_elimination(labelled_documents(spark, folder), FEATURES, "label", C.forest(20, 5).fit)
+    ranks = recursive_elimination(settled(labelled_documents(spark, folder)), FEATURES, "label", C.forest(20, 5).fit)
     return spark.createDataFrame(sorted(ranks.items(), key=lambda r: r[1]), "feature string, rank int")
 
 
 @query("rfe_sweep")
 def rfe_sweep(spark, folder):
-    rows = labelled_documents(spark, folder).persist()
+    rows = settled(labelled_documents(spark, folder))
     return E.elimination_sweep(rows, FEATURES, "label", "doc_id", C.forest(10, 5), {"tree": C.tree(5)}, [4, 3, 2])
 
 
@@ -174,7 +175,7 @@ def kbest_rank(spark, folder):
 
 @query("kbest_sweep")
 def kbest_sweep(spark, folder):
-    rows = labelled_documents(spark, folder).persist()
+    rows = settled(labelled_documents(spark, folder))
     return E.k_best_sweep(rows, FEATURES, "label", "doc_id", {"naive_bayes": C.naive_bayes(), "tree": C.tree(5)})
 
 
@@ -203,6 +204,6 @@ def tree_nodes(spark, folder):
 
 @query("nomogram")
 def nomogram(spark, folder):
-    rows = labelled_documents(spark, folder).persist()
+    rows = settled(labelled_documents(spark, folder))
     model = C.logistic(rows.count()).fit(assemble(rows, FEATURES, ["label"]))
     return explore.nomogram(rows, model, FEATURES)

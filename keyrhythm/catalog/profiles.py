@@ -129,7 +129,7 @@ def mean_difference(spark, folder):
 @query("impute_group_mean", """
 WITH s AS (SELECT user_id, event_type, CASE WHEN count(*) > 12 THEN var_samp(value) END AS spread
            FROM events GROUP BY user_id, event_type)
-SELECT user_id, event_type, round(coalesce(spread, avg(spread) OVER (PARTITION BY user_id)) / 1e3, 6) + 0.0 AS spread
+SELECT user_id, event_type, round(coalesce(spread, avg(spread) OVER (PARTITION BY user_id)) / 1e3 + 1e-9, 6) + 0.0 AS spread
 FROM s
 """)
 def impute_group_mean(spark, folder):

@@ -24,24 +24,24 @@ def _seen(spark, folder, pairs="sliding"):
 
 
 @query("derive_latency", f"""
-SELECT event_id, user_id, round(latency_ms, 3) + 0.0 AS latency_ms FROM ({LAGGED}) WHERE earlier IS NOT NULL
+SELECT event_id, user_id, round(latency_ms + 1e-9, 3) + 0.0 AS latency_ms FROM ({LAGGED}) WHERE earlier IS NOT NULL
 """)
 def derive_latency(spark, folder):
     return _seen(spark, folder).select("event_id", "user_id", rounded("latency_ms", 3).alias("latency_ms"))
 
 
 @query("derive_transitions", f"""
-SELECT user_id, earlier || '_' || event_type AS direction, count(*) AS n, round(avg(latency_ms), 3) + 0.0 AS mean_ms
+SELECT user_id, earlier || '_' || event_type AS direction, count(*) AS n, round(avg(latency_ms) / 1e3 + 1e-9, 4) + 0.0 AS mean_s
 FROM ({LAGGED}) WHERE earlier IS NOT NULL GROUP BY 1, 2
 """)
 def derive_transitions(spark, folder):
     return _seen(spark, folder).groupBy("user_id", "direction").agg(
-        F.count("*").alias("n"), rounded(F.avg("latency_ms"), 3).alias("mean_ms")
+        F.count("*").alias("n"), rounded(F.avg("latency_ms") / 1e3, 4).alias("mean_s")
     )
 
 
 @query("derive_pairs", f"""
-SELECT event_id, user_id, earlier || '_' || event_type AS direction, round(latency_ms, 3) + 0.0 AS latency_ms
+SELECT event_id, user_id, earlier || '_' || event_type AS direction, round(latency_ms + 1e-9, 3) + 0.0 AS latency_ms
 FROM ({LAGGED}) WHERE place % 2 = 0
 """)
 def derive_pairs(spark, folder):
@@ -69,8 +69,8 @@ presses AS (SELECT user_id, seq, down, t AS up, CASE WHEN pressed = code THEN (t
             FROM paired WHERE action = 'up' AND a = 'down'),
 told AS (SELECT *, lag(hand) OVER w AS hand0, lag(down) OVER w AS down0, lag(up) OVER w AS up0
          FROM presses WINDOW w AS (PARTITION BY user_id ORDER BY down, seq))
-SELECT user_id, down AS at_us, hand, round(hold, 3) + 0.0 AS hold, hand0 || hand AS direction,
-       round((down - down0) / 1000.0, 3) + 0.0 AS latency, round((down - up0) / 1000.0, 3) + 0.0 AS flight
+SELECT user_id, down AS at_us, hand, round(hold + 1e-9, 3) + 0.0 AS hold, hand0 || hand AS direction,
+       round((down - down0) / 1000.0 + 1e-9, 3) + 0.0 AS latency, round((down - up0) / 1000.0 + 1e-9, 3) + 0.0 AS flight
 FROM told WHERE down0 IS NOT NULL
 """
 

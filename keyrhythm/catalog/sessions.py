@@ -11,7 +11,7 @@ from keyrhythm.functions.numeric import rounded, to_number
 from keyrhythm.plans.classifiers import tree
 from keyrhythm.plans.scoring import explode_sessions, score_sessions, session_features, session_statistics
 from keyrhythm.session import new_folder
-from keyrhythm.sources.files import session_from_array
+from keyrhythm.sources.files import sessions_from_posts
 from keyrhythm.sources.models import fit_pipeline, load_pipeline, save_model
 
 
@@ -44,9 +44,7 @@ def session_payloads(spark, folder) -> DataFrame:
 
 
 def sessions(spark, folder) -> DataFrame:
-    return session_payloads(spark, folder).select(
-        session_from_array(F.col("payload"), F.col("session_id")).alias("_s")
-    ).select("_s.*")
+    return sessions_from_posts(session_payloads(spark, folder))
 
 
 def _hand_sql(n: str) -> str:
@@ -54,12 +52,12 @@ def _hand_sql(n: str) -> str:
 
 
 KEYS_SQL = f"""
-words AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS at
+words AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS place
           FROM documents),
-lengths AS (SELECT doc_id, at, length(w) AS n, lag(length(w)) OVER (PARTITION BY doc_id ORDER BY at) AS n0
+lengths AS (SELECT doc_id, place, length(w) AS n, lag(length(w)) OVER (PARTITION BY doc_id ORDER BY place) AS n0
             FROM words WHERE length(w) > 0),
 keys AS (SELECT CAST(doc_id AS VARCHAR) AS session_id,
-                CAST(row_number() OVER (PARTITION BY doc_id ORDER BY at) - 1 AS INTEGER) AS position,
+                CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS INTEGER) AS position,
                 {_hand_sql('n')} AS hand, n * 25.0 AS hold, {_hand_sql('n0')} || {_hand_sql('n')} AS direction,
                 (n0 + n) * 40.0 AS latency, n0 * 15.0 AS flight FROM lengths WHERE n0 IS NOT NULL),
 valid AS (SELECT * FROM keys WHERE hold > 0 AND hold < 2000 AND latency > 0 AND latency < 2000)
@@ -108,7 +106,7 @@ def _cell_sql(name: str) -> str:
 
 
 @query("session_features", f"WITH {KEYS_SQL}, {_filled_sql()} SELECT CAST(doc_id AS VARCHAR) AS session_id, " + ", ".join(
-    f"round(coalesce({_cell_sql(c)}, 0), 5) + 0.0 AS {c}" for c in CHOSEN_FEATURES
+    f"round(coalesce({_cell_sql(c)}, 0) + 1e-9, 5) + 0.0 AS {c}" for c in CHOSEN_FEATURES
 ) + " FROM documents LEFT JOIN filled ON session_id = CAST(doc_id AS VARCHAR) GROUP BY doc_id")
 def features(spark, folder):
     out = session_features(sessions(spark, folder))
@@ -143,7 +141,7 @@ def model_reload(spark, folder):
 @query("session_flight", f"""
 WITH {KEYS_SQL}
 SELECT CAST(doc_id AS VARCHAR) AS session_id, """ + ", ".join(
-    f"round(avg(flight) FILTER (WHERE direction = '{d}'), 5) + 0.0 AS mean_{d}_flight_time" for d in FOUR_DIRECTIONS
+    f"round(avg(flight) FILTER (WHERE direction = '{d}') + 1e-9, 5) + 0.0 AS mean_{d}_flight_time" for d in FOUR_DIRECTIONS
 ) + " FROM documents LEFT JOIN valid ON session_id = CAST(doc_id AS VARCHAR) GROUP BY doc_id")
 def session_flight(spark, folder):
     from keyrhythm.operators.profile import Measure

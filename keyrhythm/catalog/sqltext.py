@@ -27,7 +27,7 @@ def stat(name: str, x: str, where: str | None = None) -> str:
 
 
 def rounded(expression: str, name: str, digits: int = 6) -> str:
-    return f"round({expression}, {digits}) + 0.0 AS {name}"
+    return f"round({expression} + 1e-9, {digits}) + 0.0 AS {name}"
 
 
 def scaled(name: str, expression: str) -> str:

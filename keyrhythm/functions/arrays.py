@@ -21,15 +21,24 @@ def array_mean(values: Column) -> Column:
     return F.when(F.size(values) > 0, total / F.greatest(F.size(values), F.lit(1)))
 
 
-def power_sum(values: Column, mean: Column, power: int) -> Column:
-    def raised(v: Column) -> Column:
+def central_sums(values: Column, mean: Column) -> Column:
+    """Struct of the summed second, third and fourth powers of the distances from the mean."""
+    start = F.struct(*[F.lit(0.0).alias(name) for name in ("m2", "m3", "m4")])
+
+    def add(sums: Column, v: Column) -> Column:
         away = v - mean
-        out = away
-        for _ in range(power - 1):
-            out = out * away
-        return out
+        square = away * away
+        return F.struct(
+            (sums["m2"] + square).alias("m2"), (sums["m3"] + square * away).alias("m3"),
+            (sums["m4"] + square * square).alias("m4"),
+        )
+
+    return F.aggregate(values, start, add)
 
-    return F.aggregate(values, F.lit(0.0), lambda a, v: a + raised(v))
+
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def array_statistics(values: Column) -> Column:
@@ -37,24 +46,27 @@ def array_statistics(values: Column) -> Column:
 
     An empty array gives NULLs; skew and kurtosis are NULL when the values do not differ.
     """
-    prepared = F.struct(F.array_sort(values).alias("v"), array_mean(values).alias("mean"))
-
     def measured(p: Column) -> Column:
-        v, mean, n = p["v"], p["mean"], F.size(p["v"])
-        flat = F.array_min(v) == F.array_max(v)
-        m2, m3, m4 = (power_sum(v, mean, k) for k in (2, 3, 4))
+        v, mean, n, sums = p["v"], p["mean"], F.size(p["v"]), p["sums"]
+        low, high = F.get(v, F.lit(0)), F.get(v, n - 1)
+        m2, flat = sums["m2"], low == high
         variance = F.when(n > 1, F.when(flat, F.lit(0.0)).otherwise(m2 / F.greatest(n - 1, F.lit(1))))
         return F.struct(
             mean.alias("mean"),
             array_quantile(v, 0.5).alias("median"),
-            F.array_max(v).alias("amax"),
-            F.array_min(v).alias("amin"),
+            high.alias("amax"),
+            low.alias("amin"),
             variance.alias("var"),
             F.sqrt(variance).alias("std"),
             (array_quantile(v, 0.75) - array_quantile(v, 0.25)).alias("iqr"),
-            F.when(~flat, (m3 / n) / F.pow(m2 / n, 1.5)).alias("skew"),
-            F.when(~flat, n * m4 / (m2 * m2) - 3.0).alias("kurtosis"),
+            F.when(~flat, (sums["m3"] / n) / F.pow(m2 / n, 1.5)).alias("skew"),
+            F.when(~flat, n * sums["m4"] / (m2 * m2) - 3.0).alias("kurtosis"),
         )
 
-    # One-element transform: the sorted array and its mean are computed once.
-    return F.element_at(F.transform(F.array(prepared), measured), 1)
+    def with_sums(p: Column) -> Column:
+        return F.struct(p["v"].alias("v"), p["mean"].alias("mean"), central_sums(p["v"], p["mean"]).alias("sums"))
+
+    def with_mean(v: Column) -> Column:
+        return F.struct(F.array_sort(v).alias("v"), array_mean(v).alias("mean"))
+
+    return bound(bound(bound(values, with_mean), with_sums), measured)

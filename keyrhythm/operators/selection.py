@@ -118,18 +118,13 @@ def recursive_elimination(df: DataFrame, columns: Sequence[str], label: str,
 
     Rank 1 is given to the ``keep`` features left at the end, rank 2 to the last one dropped, and
     so on. With ``keep=1`` the ranks hold every smaller selection: the best k are those ranked
-    1..k. Equal importances drop the later name first.
+    1..k. Equal importances drop the later name first. ``df`` is read once per round: settle it first.
     """
     left = list(columns)
     ranks: dict[str, int] = {}
-    data = df.select(label, *columns).persist()
-    try:
-        while len(left) > keep:
-            model = fit(assemble(data, left, [label]))
-            weights = importances(model, left)
-            worst = max(left, key=lambda name: (-weights[name], name))
-            ranks[worst] = len(left) - keep + 1
-            left.remove(worst)
-    finally:
-        data.unpersist()
+    while len(left) > keep:
+        weights = importances(fit(assemble(df, left, [label])), left)
+        worst = max(left, key=lambda name: (-weights[name], name))
+        ranks[worst] = len(left) - keep + 1
+        left.remove(worst)
     return {**{name: 1 for name in left}, **ranks}

@@ -46,7 +46,7 @@ def with_previous(df: DataFrame, key: str, order: Sequence[str], carried: Sequen
 
 
 def milliseconds_between(later: Column, earlier: Column) -> Column:
-    return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(1000.0)
+    return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / F.lit(1000.0)
 
 
 def latencies(df: DataFrame, key: str, ts: str, category: str, order: Sequence[str],

@@ -58,7 +58,7 @@ def weight_of_penalty(rows: int, c: float = 1.0) -> float:
 
 
 def logistic(rows: int) -> LogisticRegression:
-    return LogisticRegression(regParam=weight_of_penalty(rows), standardization=False, maxIter=100)
+    return LogisticRegression(regParam=weight_of_penalty(rows), standardization=False, maxIter=100, tol=1e-4)
 
 
 def tree(depth: int = 30, min_rows: int = 1, seed: int = 0) -> DecisionTreeClassifier:
@@ -75,7 +75,7 @@ def boosted(rounds: int = 200, depth: int = 5, rate: float = 1.0, seed: int = 0)
 
 
 def linear_margin(rows: int, probability: bool = True):
-    settings = dict(regParam=weight_of_penalty(rows), standardization=False, maxIter=100)
+    settings = dict(regParam=weight_of_penalty(rows), standardization=False, maxIter=100, tol=1e-3)
     return LinearMargin(**settings) if probability else LinearSVC(**settings)
 
 

@@ -14,6 +14,7 @@ from keyrhythm.operators.scaling import assemble, fit_scaling
 from keyrhythm.operators.selection import anova_f, ranked, recursive_elimination
 from keyrhythm.operators.splits import contiguous_folds, stratified_folds, stratified_split
 from keyrhythm.plans.classifiers import predictions
+from keyrhythm.session import settled
 
 
 def _stack(parts: list[DataFrame]) -> DataFrame:
@@ -47,14 +48,15 @@ def cross_validate(df: DataFrame, models: dict[str, Estimator], key: str = "key"
                    stratified: bool = False) -> DataFrame:
     """Rows (model, cv_mean, cv_std) of the accuracy. Blocks in key order unless ``stratified``."""
     split = stratified_folds(df, key, "label", folds) if stratified else contiguous_folds(df, key, folds)
-    split = split.persist()
+    split = settled(split)
     return cross_validated(fold_predictions(split, models, key), ["model"])
 
 
 def split_and_scale(df: DataFrame, columns: Sequence[str], label: str, key: str, test_share: float = 0.4,
                     seed: int = 0, scale: bool = True) -> tuple[DataFrame, DataFrame]:
     """Train and test rows (key, label, features); the scaling is learned on the train part only."""
-    split = stratified_split(df.select(key, label, *columns), key, label, test_share, seed).persist()
+    split = stratified_split(df.select(key, label, *columns), key, label, test_share, seed)
+    split = settled(split)
     train, test = split.where("is_test = 0"), split.where("is_test = 1")
     if scale:
         scaling = fit_scaling(train, columns)
@@ -71,7 +73,6 @@ def evaluate_models(df: DataFrame, columns: Sequence[str], label: str, key: str,
     contiguous folds on all rows, unscaled.
     """
     train, test = split_and_scale(df, columns, label, key, test_share, scale=scale)
-    train, test = train.persist(), test.persist()
     scores = model_metrics(test_predictions(train, test, models))
     if cv_on == "test":
         spread = cross_validate(test, models, folds=folds, stratified=True)
@@ -115,7 +116,8 @@ def k_best_sweep(df: DataFrame, columns: Sequence[str], label: str, key: str, mo
 
 def grid_search(df: DataFrame, estimator: Estimator, grid: list[dict], key: str = "key", folds: int = 5) -> DataFrame:
     """Rows (setting, accuracy) over stratified folds for each parameter map."""
-    split = stratified_folds(df, key, "label", folds).persist()
+    split = stratified_folds(df, key, "label", folds)
+    split = settled(split)
     search = CrossValidator(
         estimator=estimator, estimatorParamMaps=grid, numFolds=folds, foldCol="fold", parallelism=2,
         evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),

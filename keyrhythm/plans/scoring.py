@@ -46,29 +46,38 @@ def valid_keys(keys: Column, config: FeatureConfig, strict_categories: bool = Fa
 
 
 def session_statistics(sessions: DataFrame, measures: Sequence[Measure], stats: Sequence[str],
-                       config: FeatureConfig, strict_categories: bool = False, fill: bool = True) -> DataFrame:
-    """Sessions with one column per statistic, level and measure.
+                       config: FeatureConfig, strict_categories: bool = False, fill: bool = True,
+                       columns: Sequence[str] | None = None) -> DataFrame:
+    """Sessions with one column per statistic, level and measure, or only the named ``columns``.
 
     ``fill`` replaces a statistic that a level lacks by the mean over the levels the session has.
     A level without any key stays NULL.
     """
     out = sessions.withColumn("_keys", valid_keys(F.col("keys"), config, strict_categories))
+    per_level = {}
     for m in measures:
-        def values(level: str, m: Measure = m) -> Column:
+        def values(level: Column, m: Measure = m) -> Column:
             own = F.filter("_keys", lambda k: (k[m.category] == level) & k[m.value].isNotNull())
             return F.transform(own, lambda k: k[m.value])
 
-        out = out.withColumns({f"_{m.suffix}_{level}": array_statistics(values(level)) for level in m.levels})
-    columns = []
+        levels = F.array(*[F.lit(level) for level in m.levels])
+        per_level[f"_{m.suffix}"] = F.transform(levels, lambda level: array_statistics(values(level)))
+    out = out.withColumns(per_level)
+    wanted = []
     for m in measures:
         for stat in stats:
-            raw = {level: F.col(f"_{m.suffix}_{level}")[stat] for level in m.levels}
-            known = F.filter(F.array(*raw.values()), lambda v: v.isNotNull())
-            for level, value in raw.items():
-                present = F.col(f"_{m.suffix}_{level}")["mean"].isNotNull()
-                filled = F.when(present, F.coalesce(value, array_mean(known))) if fill else value
-                columns.append(filled.alias(feature_name(stat, level, m.suffix)))
-    return out.select("session_id", "profile", *columns)
+            every = F.col(f"_{m.suffix}")[stat]
+            typical = array_mean(F.filter(every, lambda v: v.isNotNull()))
+            for i, level in enumerate(m.levels):
+                name = feature_name(stat, level, m.suffix)
+                if columns is not None and name not in columns:
+                    continue
+                value = F.get(every, F.lit(i))
+                if fill:
+                    present = F.get(F.col(f"_{m.suffix}")["mean"], F.lit(i)).isNotNull()
+                    value = F.when(present, F.coalesce(value, typical))
+                wanted.append(value.alias(name))
+    return out.select("session_id", "profile", *wanted)
 
 
 def session_features(sessions: DataFrame, config: FeatureConfig | None = None,
@@ -80,7 +89,7 @@ def session_features(sessions: DataFrame, config: FeatureConfig | None = None,
     becomes 0.
     """
     config = config or FeatureConfig()
-    wide = session_statistics(sessions, config.measures, config.stats, config, strict_categories)
+    wide = session_statistics(sessions, config.measures, config.stats, config, strict_categories, columns=columns)
     known = {"Tremors": yes_no("profile.Tremors")}
     for level in levels:
         known[f"Sided_{level}"] = F.when(F.col("profile.Sided") == level, 1).otherwise(0)

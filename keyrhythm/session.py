@@ -53,3 +53,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def settled(df: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
+    """A table that loops of model fits read again and again.
+
+    Written once to the shared folder, so a lost executor costs a re-read and not the features'
+    whole lineage; cached; and, if it proves small, held in few partitions, because every
+    iteration of a fit pays for each task. A large table keeps its partitions.
+    """
+    written = cut_lineage(df)
+    tasks = max(1, -(-written.count() // rows_per_task))
+    if tasks < written.rdd.getNumPartitions():
+        written = written.coalesce(tasks)
+    return written.persist()

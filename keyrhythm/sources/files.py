@@ -58,16 +58,21 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SESSION_SCHEMA).json(path)
 
 
-def session_from_array(payload, session_id) -> DataFrame:
-    """The posted form of a session, ``[profile, key, key, ...]``, as (session_id, profile, keys).
-
-    Both are columns: the JSON text and the id.
-    """
-    items = F.from_json(payload, T.ArrayType(T.StringType()))
-    profile = F.from_json(F.get(items, F.lit(0)), SESSION_SCHEMA["profile"].dataType)
-    key = SESSION_SCHEMA["keys"].dataType.elementType
-    keys = F.transform(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), lambda k: F.from_json(k, key))
-    return F.struct(session_id.alias("session_id"), profile.alias("profile"), keys.alias("keys"))
+def sessions_from_posts(posts: DataFrame, session_id: str = "session_id", payload: str = "payload") -> DataFrame:
+    """Sessions from the posted form ``[profile, key, key, ...]`` held in a text column."""
+    profile, key = SESSION_SCHEMA["profile"].dataType, SESSION_SCHEMA["keys"].dataType.elementType
+    element = T.StructType([*profile.fields, *key.fields])
+    items = posts.select(F.col(session_id).alias("session_id"), F.from_json(payload, T.ArrayType(element)).alias("_items"))
+
+    def only(item, names):
+        return F.struct(*[item[c].alias(c) for c in names])
+
+    keys = F.slice("_items", F.lit(2), F.greatest(F.size("_items") - 1, F.lit(0)))
+    return items.select(
+        "session_id",
+        only(F.get("_items", F.lit(0)), profile.names).alias("profile"),
+        F.transform(keys, lambda k: only(k, key.names)).alias("keys"),
+    )
 
 
 def write_table(df: DataFrame, path: str, form: str = "csv") -> None:
