@@ -23,7 +23,7 @@ from keyrhythm.session import settled
 
 
 def _split(spark, folder):
-    return E.split_and_scale(labelled_documents(spark, folder), FEATURES, "label", "doc_id")
+    return E.split_and_scale(settled(labelled_documents(spark, folder)), FEATURES, "label", "doc_id")
 
 
 def _assembled(spark, folder, columns=FEATURES):

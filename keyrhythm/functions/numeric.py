@@ -43,7 +43,8 @@ def magnitude_bucket(value: Column | str, bits: int = 5) -> Column:
         .when(F.pow(F.lit(2.0), guess + 1) <= size, guess + 1)
         .otherwise(guess)
     )
-    step = F.pow(F.lit(2.0), exponent - bits)
+    # Numbers next to zero share one bucket, or their step would round to zero.
+    step = F.pow(F.lit(2.0), F.greatest(exponent, F.lit(-1000)) - bits)
     return F.when(value == 0, F.lit(0.0)).otherwise(F.floor(value / step) * step)
 
 
@@ -58,3 +59,15 @@ def equal_width_bin(value: Column | str, low: Column, high: Column, bins: int) -
     position = F.floor((value - low) / (high - low) * bins)
     bounded = F.least(F.greatest(position, F.lit(0)), F.lit(bins - 1)).cast("int")
     return F.when(value.isNull(), F.lit(None).cast("int")).when(high == low, F.lit(0)).otherwise(bounded)
+
+
+def all_known(columns) -> Column:
+    """No listed column is NULL.
+
+    Stated before a table is used twice: a join adds this test to one of the two uses only, and
+    then Spark cannot see that both can share one shuffle.
+    """
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).isNotNull()
+    return out

@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from keyrhythm.functions.numeric import all_known
+
 BUCKET = "_bucket"
 
 
@@ -25,13 +27,16 @@ def running_totals(
 ) -> DataFrame:
     """Add ``<name>`` (running total, own row included) and ``<name>_total`` for each sum.
 
-    ``bucket`` must never decrease along ``order`` (never increase when ``descending``).
-    Group, order and bucket values must not be NULL; ``order`` must be unique in a group.
+    ``bucket`` must never decrease along ``order`` (never increase when ``descending``), and
+    ``order`` must be unique in a group. Rows with a NULL group or bucket have no place and are left
+    out. The input is read twice, the second time only for a small partial aggregation of the group,
+    bucket and summed columns.
     """
     keys = [*groups, BUCKET]
     marked = df.withColumn(BUCKET, bucket)
     for name, value in sums.items():
         marked = marked.withColumn(f"_x_{name}", value)
+    marked = marked.where(all_known(keys))
     direction = F.desc if descending else F.asc
 
     per_bucket = marked.groupBy(*keys).agg(*[F.sum(f"_x_{n}").alias(f"_b_{n}") for n in sums])

@@ -20,7 +20,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from keyrhythm.functions.numeric import magnitude_bucket
+from keyrhythm.functions.numeric import all_known, magnitude_bucket
 
 # Names of the statistics as they appear in feature names.
 ALL_STATS = ["mean", "median", "amax", "amin", "var", "std", "iqr", "skew", "kurtosis"]
@@ -79,7 +79,7 @@ def profile_counts(
     ``"zero"`` for 0 and -3.
     """
     keys = list(keys)
-    placed = counts.withColumn("_edge", magnitude_bucket(value, bits))
+    placed = counts.withColumn("_edge", magnitude_bucket(value, bits)).where(all_known([*keys, "_edge"]))
     n, x = F.col("n"), F.col(value)
     buckets = placed.groupBy(*keys, "_edge").agg(F.sum(n).alias("_n"), F.sum(n * x).alias("_s"))
     group = Window.partitionBy(*keys)

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keyrhythm.functions.keys import hand_of
+from keyrhythm.functions.numeric import all_known
 
 CHUNK = "_chunk"
 
@@ -20,20 +21,25 @@ def with_previous(df: DataFrame, key: str, order: Sequence[str], carried: Sequen
                   chunk: Column, previous: str = "previous", position: str | None = None) -> DataFrame:
     """Add a struct of the previous row's ``carried`` columns (NULL on an entity's first row).
 
-    ``chunk`` must never decrease along ``order``; ``order`` must be unique per entity.
+    ``chunk`` must never decrease along ``order``; ``order`` must be unique per entity. Rows without
+    an entity or a time belong to no sequence and are left out.
     ``position`` also adds the 1-based place of the row in its entity's sequence.
+
+    Both uses of the rows read every column, so Spark shuffles them once and reads the input once;
+    select the columns that are needed beforehand.
     """
-    chunked = df.withColumn(CHUNK, chunk).repartition(key, CHUNK)
-    tail = F.struct(*[F.col(c) for c in carried])
+    chunked = df.withColumn(CHUNK, chunk).where(all_known([key, CHUNK])).repartition(key, CHUNK)
+    tail = F.struct(*carried)
+    whole = F.struct(*[c for c in df.columns if c != key])
     ends = chunked.groupBy(key, CHUNK).agg(
-        F.max_by(tail, F.struct(*order)).alias("_tail"), F.count("*").alias("_rows")
+        F.max_by(whole, F.struct(*order)).alias("_tail"), F.count("*").alias("_rows")
     )
     by_entity = Window.partitionBy(key).orderBy(CHUNK)
     earlier = by_entity.rowsBetween(Window.unboundedPreceding, -1)
     bridge = ends.select(
         key,
         CHUNK,
-        F.lag("_tail").over(by_entity).alias("_bridge"),
+        F.lag(F.struct(*[F.col(f"_tail.{c}").alias(c) for c in carried])).over(by_entity).alias("_bridge"),
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
     )
     in_chunk = Window.partitionBy(key, CHUNK).orderBy(*order)

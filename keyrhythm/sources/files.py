@@ -24,7 +24,7 @@ SESSION_SCHEMA = T.StructType([
 
 def read_profiles(spark: SparkSession, path: str, fields: Sequence[str] = tuple(PROFILE_FIELDS)) -> DataFrame:
     """One row per ``User_<id>.txt`` file of ``Key: value`` lines; every field stays text."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(
         id_from_profile_path(F.col("_metadata.file_path")).alias("user_id"), *profile_fields("value", fields)
     )
