@@ -8,6 +8,7 @@ from keyrhythm.catalog import sqltext
 from keyrhythm.catalog.registry import query, table
 from keyrhythm.config import CHOSEN_FEATURES, FOUR_DIRECTIONS, FeatureConfig
 from keyrhythm.functions.numeric import rounded, to_number
+from keyrhythm.operators.profile import Measure
 from keyrhythm.plans.classifiers import tree
 from keyrhythm.plans.scoring import explode_sessions, score_sessions, session_features, session_statistics
 from keyrhythm.session import new_folder
@@ -19,8 +20,8 @@ def _hand(length):
     return F.when(length <= 3, "L").when(length <= 6, "R").when(length <= 9, "S").otherwise("X")
 
 
-def session_payloads(spark, folder) -> DataFrame:
-    """(session_id, payload): the posted JSON array, profile first, one object per key after it."""
+def sessions(spark, folder) -> DataFrame:
+    """(session_id, profile, keys): one session per document."""
     lengths = F.transform(F.filter(F.split("text", " "), lambda w: F.length(w) > 0), lambda w: F.length(w))
     docs = table(spark, folder, "documents").select("doc_id", "lang", "n_chars", lengths.alias("_n"))
 
@@ -38,13 +39,14 @@ def session_payloads(spark, folder) -> DataFrame:
         F.lit("Female").alias("Gender"), F.when(F.col("n_chars") > 1000, "Yes").otherwise("No").alias("Tremors"),
         F.when(F.col("lang") == "en", "None").when(F.col("lang") == "fr", "Left").otherwise("Right").alias("Sided"),
     )
-    items = F.concat(F.array(F.to_json(profile)), F.transform(keys, lambda k: F.to_json(k)))
-    payload = F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
-    return docs.select(F.col("doc_id").cast("string").alias("session_id"), payload.alias("payload"))
+    return docs.select(F.col("doc_id").cast("string").alias("session_id"), profile.alias("profile"), keys.alias("keys"))
 
 
-def sessions(spark, folder) -> DataFrame:
-    return sessions_from_posts(session_payloads(spark, folder))
+def posted_sessions(spark, folder) -> DataFrame:
+    """The same sessions, written as the posted JSON array (profile first, then the keys) and read back."""
+    items = F.concat(F.array(F.to_json("profile")), F.transform("keys", lambda k: F.to_json(k)))
+    payload = F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+    return sessions_from_posts(sessions(spark, folder).select("session_id", payload.alias("payload")))
 
 
 def _hand_sql(n: str) -> str:
@@ -70,7 +72,7 @@ SELECT session_id, position, hand, CAST(hold AS DOUBLE) AS hold, direction, CAST
        CAST(flight AS DOUBLE) AS flight FROM keys
 """)
 def session_explode(spark, folder):
-    return explode_sessions(sessions(spark, folder)).select(
+    return explode_sessions(posted_sessions(spark, folder)).select(
         "session_id", "position", F.col("Hand").alias("hand"), to_number("`Hold time`").alias("hold"),
         F.col("Direction").alias("direction"), to_number("`Latency time`").alias("latency"),
         to_number("`Flight time`").alias("flight"),
@@ -144,8 +146,6 @@ SELECT CAST(doc_id AS VARCHAR) AS session_id, """ + ", ".join(
     f"round(avg(flight) FILTER (WHERE direction = '{d}') + 1e-9, 5) + 0.0 AS mean_{d}_flight_time" for d in FOUR_DIRECTIONS
 ) + " FROM documents LEFT JOIN valid ON session_id = CAST(doc_id AS VARCHAR) GROUP BY doc_id")
 def session_flight(spark, folder):
-    from keyrhythm.operators.profile import Measure
-
     measure = Measure("flight_time", "Direction", "Flight time", FOUR_DIRECTIONS)
     out = session_statistics(sessions(spark, folder), [measure], ["mean"], FeatureConfig(), fill=False)
     return out.select("session_id", *[rounded(c, 5).alias(c) for c in out.columns if c.startswith("mean_")])
