@@ -11,7 +11,7 @@ from keyrhythm.functions.numeric import rounded, to_number
 from keyrhythm.operators.profile import Measure
 from keyrhythm.plans.classifiers import tree
 from keyrhythm.plans.scoring import explode_sessions, score_sessions, session_features, session_statistics
-from keyrhythm.session import new_folder
+from keyrhythm.session import new_folder, settled
 from keyrhythm.sources.files import sessions_from_posts
 from keyrhythm.sources.models import fit_pipeline, load_pipeline, save_model
 
@@ -118,7 +118,8 @@ def features(spark, folder):
 def fitted_session_model(spark, folder):
     """A tree over the chosen features, fitted on the sessions whose documents have labels."""
     labels = table(spark, folder, "labels").select(F.col("doc_id").cast("string").alias("session_id"), F.col("quality").alias("label"))
-    rows = session_features(sessions(spark, folder)).join(labels, "session_id")
+    known = sessions(spark, folder).join(labels, "session_id", "left_semi")
+    rows = settled(session_features(known).join(labels, "session_id"))
     return fit_pipeline(rows, CHOSEN_FEATURES, tree(5))
 
 

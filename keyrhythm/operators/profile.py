@@ -79,7 +79,9 @@ def profile_counts(
     ``"zero"`` for 0 and -3.
     """
     keys = list(keys)
-    placed = counts.withColumn("_edge", magnitude_bucket(value, bits)).where(all_known([*keys, "_edge"]))
+    # Counted values are never NULL. Saying so of the edge keeps a join from testing it on raw rows.
+    edge = F.coalesce(magnitude_bucket(value, bits), F.lit(0.0))
+    placed = counts.where(all_known(keys)).withColumn("_edge", edge)
     n, x = F.col("n"), F.col(value)
     buckets = placed.groupBy(*keys, "_edge").agg(F.sum(n).alias("_n"), F.sum(n * x).alias("_s"))
     group = Window.partitionBy(*keys)
