@@ -27,16 +27,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that setting is missing does this choose one itself: a new temporary folder on
-    a local master, the warehouse folder (shared by definition) on anything else.
+    Only on a local master, where that setting is missing, does this choose one itself. On a cluster
+    there is no folder that is shared by definition, so a missing setting is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if spark.sparkContext.master.startswith("local"):
-        chosen = tempfile.mkdtemp(prefix="keyrhythm-")
-    else:
-        chosen = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    chosen = tempfile.mkdtemp(prefix="keyrhythm-")
     spark.conf.set("spark.checkpoint.dir", chosen)
     return chosen
 
