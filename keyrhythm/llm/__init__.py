@@ -1,4 +1,4 @@
 """Operations on text corpora: one module each, with its query on the given tables."""
 
-from keyrhythm.llm import line_dedup, mixing, near_dedup, outliers  # noqa: F401
+from keyrhythm.llm import decontaminate, line_dedup, mixing, near_dedup, outliers  # noqa: F401
 from keyrhythm.llm.registry import QUERIES, SQL  # noqa: F401

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from keyrhythm.llm import tokens
 from keyrhythm.llm.common import written
@@ -275,6 +275,18 @@ def near_duplicates(
                       F.coalesce(component == F.col("_id"), component.isNull()).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, marks: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``marks`` (of ``near_duplicates``) keeps, once each if id and text repeat."""
+    names = docs.columns
+    kept = marks.where("kept").select(F.coalesce(F.col(doc_id), F.lit(0)).alias("_k"), F.col(doc_id).isNull().alias("_none")).distinct()
+    keyed = docs.withColumns({"_k": F.coalesce(F.col(doc_id).cast("bigint"), F.lit(0)), "_none": F.col(doc_id).isNull(),
+                              "_h": F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit(3))})
+    nth = F.row_number().over(Window.partitionBy("_k", "_none").orderBy("_h"))
+    same = F.lag("_h").over(Window.partitionBy("_k", "_none").orderBy("_h"))
+    out = keyed.join(kept, ["_k", "_none"], "left_semi").withColumns({"_nth": nth, "_same": same})
+    return out.where((F.col("_nth") == 1) | (F.col("_same") != F.col("_h"))).select(*names)
+
+
 def _apart(members: DataFrame) -> DataFrame:
     """The nodes that still hold members of different components, with their sizes."""
     open_nodes = members.groupBy("_node").agg(
