@@ -1,4 +1,4 @@
 """Operations on text corpora: one module each, with its query on the given tables."""
 
-from keyrhythm.llm import chat, decontaminate, line_dedup, mixing, near_dedup, outliers, secrets, warc  # noqa: F401
+from keyrhythm.llm import chat, decontaminate, kneser_ney, line_dedup, mixing, near_dedup, outliers, secrets, warc  # noqa: F401
 from keyrhythm.llm.registry import QUERIES, SQL  # noqa: F401
