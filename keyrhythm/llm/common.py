@@ -32,3 +32,18 @@ def remove(spark: SparkSession, folders: Iterable[str]) -> None:
 def n_words(text: Column) -> Column:
     """Words of a text; 0 for NULL."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def packed(df: DataFrame, replaced: Iterable[str] = (), **named: str) -> DataFrame:
+    """All columns but the replaced ones in one struct ``_row``, and the ones needed under own names.
+
+    So no column that a caller brings along can clash with an operator's working columns.
+    """
+    gone = set(replaced)
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in gone]).alias("_row"),
+                     *[F.col(f"`{c}`").alias(name) for name, c in named.items()])
+
+
+def unpacked(df: DataFrame, *more: Column | str) -> DataFrame:
+    """The callers' columns again, and further ones."""
+    return df.select("_row.*", *more)

@@ -8,7 +8,8 @@ repeated for recall. Candidates pass a comparison of signatures and are confirme
 
 Copies by the thousand would stay together on every path. So the members of each first node are
 linked to its smallest member before anything else. Nodes whose members are all connected by then
-have nothing to add, and elsewhere only members that are not yet connected are compared.
+have nothing to add. In the others, members that have an alike but unconnected one are compared on
+full sets, the most alike first, until they are connected: links grow with members, not with pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from keyrhythm.llm import tokens
-from keyrhythm.llm.common import written
+from keyrhythm.llm.common import packed, unpacked, written
 from keyrhythm.llm.components import components
 from keyrhythm.llm.registry import query, table
 
@@ -136,28 +137,83 @@ def _sketch_filter(coordinates: int, least: int):
     return run
 
 
-def _compare_nodes(coordinates: int, least: int):
-    """All pairs inside each small node (rows of a node lie together) that are not yet connected."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one node after another (rows of a node lie together; nodes are small here)."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        node = batch.column("_node").to_numpy()
+        cuts = [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1).tolist(), len(batch)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if held and held[0].column("_node")[0].as_py() != node[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _unlinked(rows: pa.Table, coordinates: int, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(member, later members, tokens in common) for what is not yet connected and has alike signatures."""
+    comps = rows.column("_comp").to_numpy()
+    sig = np.frombuffer(b"".join(rows.column("_sig").to_pylist()), np.uint32).reshape(len(rows), coordinates)
+    for i in range(len(rows) - 1):
+        other = np.flatnonzero(comps[i + 1 :] != comps[i]) + i + 1
+        common = _alike(sig[other], sig[i])
+        near = common >= least
+        if near.any():
+            yield i, other[near], common[near]
+
+
+def _promising(coordinates: int, least: int):
+    """Members of small nodes that have an unconnected member with an alike signature in the same node."""
 
-    def pairs(rows: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        ids, comps = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(len(rows), coordinates)
-        for i in range(len(rows) - 1):
-            hit = np.flatnonzero((comps[i + 1 :] != comps[i]) & (_alike(sig[i + 1 :], sig[i]) >= least)) + i + 1
-            if len(hit):
-                yield np.minimum(ids[i], ids[hit]), np.maximum(ids[i], ids[hit])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches):
+            marked = np.zeros(len(rows), bool)
+            for i, others, _ in _unlinked(rows, coordinates, least):
+                marked[i] = True
+                marked[others] = True
+            if marked.any():
+                picked = rows.filter(pa.array(marked)).select(["_id", "_node", "_comp"]).combine_chunks()
+                yield from picked.to_batches()
+    return run
+
+
+def _link_nodes(coordinates: int, least: int, percent: int):
+    """Links that connect what is to be connected inside each node, confirmed on full sets.
+
+    The most alike pairs come first, and pairs that are connected by then are passed over: a node adds
+    fewer links than it has members. Of the nodes that two members share only the first looks at them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("_node", "_id", "_comp", "_sig"))):
-                if held and held[-1][0] != row[0]:
-                    for a, b in pairs(held):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-                    held = []
-                held.append(row)
-        for a, b in pairs(held):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        for rows in _runs(batches):
+            node = rows.column("_node")[0].as_py()
+            ids, comps = rows.column("_id").to_numpy(), rows.column("_comp").to_numpy()
+            shared = [set(n) for n in rows.column("_nodes").to_pylist()]
+            sets = [np.frombuffer(x.as_buffer(), U64) for x in rows.column("_set")]
+            pairs = [(-int(c), i, int(j)) for i, others, common in _unlinked(rows, coordinates, least) for j, c in zip(others, common)]
+            parent = {int(c): int(c) for c in comps}
+
+            def root(c: int) -> int:
+                while parent[c] != c:
+                    parent[c] = parent[parent[c]]
+                    c = parent[c]
+                return c
+
+            found = []
+            for _, i, j in sorted(pairs):
+                x, y = root(int(comps[i])), root(int(comps[j]))
+                if x == y or min(shared[i] & shared[j]) != node:
+                    continue
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                    parent[max(x, y)] = min(x, y)
+                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
     return run
 
 
@@ -198,20 +254,34 @@ class _Join:
         pairs = pairs.join(sig.withColumnsRenamed({"_id": "b", "_sig": "_sig_b"}), "b")
         return pairs.mapInArrow(_sketch_filter(self.coordinates, self.least), "a bigint, b bigint")
 
+    def sets(self, ids: DataFrame, name: str) -> DataFrame:
+        """Full sets of the given ids, taken anew from the texts."""
+        ids = written(ids.select("_id").distinct(), f"{name}-ids")
+        return written(self.docs.join(ids, "_id", "left_semi").mapInArrow(_sets(self.size), "_id bigint, _set binary"), f"{name}-sets")
+
     def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs whose full sets, taken anew from the texts, are similar enough."""
+        """The pairs whose full sets are similar enough."""
         pairs = written(pairs, f"{name}-candidates")
-        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), f"{name}-ids")
-        sets = self.docs.join(ids, "_id", "left_semi").mapInArrow(_sets(self.size), "_id bigint, _set binary")
-        sets = written(sets, f"{name}-sets")
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("_id")), name)
         both = pairs.join(sets.withColumnsRenamed({"_id": "a", "_set": "_set_a"}), "a")
         both = both.join(sets.withColumnsRenamed({"_id": "b", "_set": "_set_b"}), "b")
         return written(both.mapInArrow(_confirm(self.percent), "a bigint, b bigint"), name)
 
+    def linked(self, members: DataFrame) -> DataFrame:
+        """Links inside small nodes. Full sets go only to members with an alike, unconnected one."""
+        sig = self.reps.select("_id", "_sig")
+        alike = _by_node(members.select("_id", "_node", "_comp").join(sig, "_id"), "_sig").mapInArrow(
+            _promising(self.coordinates, self.least), "_id bigint, _node bigint, _comp bigint")
+        alike = written(alike, "path-alike")
+        nodes = alike.groupBy("_id").agg(F.collect_set("_node").alias("_nodes"))
+        rows = alike.join(nodes, "_id").join(sig, "_id").join(self.sets(alike, "path"), "_id")
+        return written(_by_node(rows, "_sig", "_nodes", "_set").mapInArrow(
+            _link_nodes(self.coordinates, self.least, self.percent), "a bigint, b bigint"), "path-links")
+
 
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 85,
-    trees: int = 12, coordinates: int = 128, node_limit: int = 256, max_depth: int = 12,
+    trees: int = 12, coordinates: int = 128, node_limit: int = 2048, max_depth: int = 12,
 ) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs``.
 
@@ -246,26 +316,24 @@ def near_duplicates(
 
     members = _apart(members.select("_id", "_node").join(found, members["_id"] == found["id"], "left")
                      .select("_id", "_node", F.coalesce("component", "_id").alias("_comp")))
-    candidates = []
-    sig = reps.select("_id", "_sig")
-    for depth in range(max_depth):
+    small, depth = [], 0
+    while True:
         members = written(members, "path-level")
-        small = members.where(F.col("_n") <= node_limit).select("_id", "_node", "_comp").join(sig, "_id")
-        candidates.append(written(_by_node(small, ["_node"]).mapInArrow(
-            _compare_nodes(coordinates, join.least), "a bigint, b bigint").distinct(), "path-candidates"))
+        small.append(members.where(F.col("_n") <= node_limit))
         large = members.where(F.col("_n") > node_limit)
+        depth += 1
         if large.isEmpty():
             break
-        below = large.select("_id", "_node", "_comp").join(sig, "_id").mapInArrow(
+        if depth > max_depth:
+            small.append(_blocks(large, node_limit))
+            break
+        below = large.select("_id", "_node", "_comp").join(reps.select("_id", "_sig"), "_id").mapInArrow(
             _branch(coordinates, join.share), "_id bigint, _node bigint, _comp bigint")
         members = _apart(below)
-    else:
-        candidates.append(_in_blocks(written(members, "path-rest"), sig, join, node_limit))
-    pairs = candidates[0]
-    for more in candidates[1:]:
-        pairs = pairs.unionByName(more)
-    links = links.unionByName(join.confirmed(pairs.distinct(), "path-links"))
-    found = written(components(links), "components")
+    rest = small[0]
+    for more in small[1:]:
+        rest = rest.unionByName(more)
+    found = written(components(links.unionByName(join.linked(rest))), "components")
 
     labelled = classes.join(found, classes["_rep"] == found["id"], "left").select(
         *key, F.coalesce("component", "_rep").alias("component_id"))
@@ -277,14 +345,13 @@ def near_duplicates(
 
 def one_of_each(docs: DataFrame, marks: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``marks`` (of ``near_duplicates``) keeps, once each if id and text repeat."""
-    names = docs.columns
-    kept = marks.where("kept").select(F.coalesce(F.col(doc_id), F.lit(0)).alias("_k"), F.col(doc_id).isNull().alias("_none")).distinct()
-    keyed = docs.withColumns({"_k": F.coalesce(F.col(doc_id).cast("bigint"), F.lit(0)), "_none": F.col(doc_id).isNull(),
-                              "_h": F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit(3))})
-    nth = F.row_number().over(Window.partitionBy("_k", "_none").orderBy("_h"))
-    same = F.lag("_h").over(Window.partitionBy("_k", "_none").orderBy("_h"))
-    out = keyed.join(kept, ["_k", "_none"], "left_semi").withColumns({"_nth": nth, "_same": same})
-    return out.where((F.col("_nth") == 1) | (F.col("_same") != F.col("_h"))).select(*names)
+    key = {"_k": F.coalesce(F.col("_id").cast("bigint"), F.lit(0)), "_none": F.col("_id").isNull()}
+    kept = marks.where("kept").select(F.col(doc_id).alias("_id")).withColumns(key).select(*key).distinct()
+    keyed = packed(docs, _id=doc_id, _text=text).withColumns({**key, "_h": F.xxhash64(F.coalesce(F.col("_text"), F.lit("")), F.lit(3))})
+    ordered = Window.partitionBy("_k", "_none").orderBy("_h")
+    out = keyed.drop("_id", "_text").join(kept, ["_k", "_none"], "left_semi").withColumns(
+        {"_nth": F.row_number().over(ordered), "_same": F.lag("_h").over(ordered)})
+    return unpacked(out.where((F.col("_nth") == 1) | (F.col("_same") != F.col("_h"))))
 
 
 def _apart(members: DataFrame) -> DataFrame:
@@ -294,25 +361,21 @@ def _apart(members: DataFrame) -> DataFrame:
     return members.join(open_nodes.select("_node", "_n"), "_node").select("_id", "_node", "_comp", "_n")
 
 
-def _by_node(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _by_node(rows: DataFrame, *columns: str) -> DataFrame:
     """Rows of a node side by side in one task; nodes are small here."""
-    node = F.col("_node") if keys == ["_node"] else F.xxhash64(*keys)
-    rows = rows.withColumn("_node", node).select("_node", "_id", "_comp", "_sig")
-    return rows.repartition("_node").sortWithinPartitions("_node", "_id")
+    return rows.select("_node", "_id", "_comp", *columns).repartition("_node").sortWithinPartitions("_node", "_id")
 
 
-def _in_blocks(members: DataFrame, sig: DataFrame, join: _Join, limit: int) -> DataFrame:
-    """Exhaustive comparison of what stayed large: every two blocks of a node meet in one small task.
+def _blocks(members: DataFrame, limit: int) -> DataFrame:
+    """Small nodes in which every two members of a node that stayed large meet.
 
-    Members are dealt to blocks by hash; a block joins the pair of blocks (i, j) for every j.
+    Members are dealt to blocks by hash; the members of block i join the pair (i, j) for every j.
     """
     blocks = F.ceil(2 * F.col("_n") / limit).cast("int")
     dealt = members.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.withColumns({"_i": F.least("_block", "_other"), "_j": F.greatest("_block", "_other")})
-    rows = dealt.select("_id", "_node", "_comp", "_i", "_j").join(sig, "_id")
-    return written(_by_node(rows, ["_node", "_i", "_j"]).mapInArrow(
-        _compare_nodes(join.coordinates, join.least), "a bigint, b bigint").distinct(), "path-candidates")
+    pair = F.xxhash64("_node", F.least("_block", "_other"), F.greatest("_block", "_other"))
+    return dealt.select("_id", pair.alias("_node"), "_comp", "_n")
 
 
 OP9_SQL = r"""
