@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keyrhythm.llm import tokens
-from keyrhythm.llm.common import written
+from keyrhythm.llm.common import packed, unpacked, written
 from keyrhythm.llm.registry import query, table
 
 #: 1: the word counts; 0: it may be any. Chosen so that single substitutions seldom hit all masks.
@@ -114,8 +114,9 @@ def _regions(table_bits):
                         d, e = document[c], min(b, c + 2048)
                         start, end = max(first[d], at[c] - AROUND), min(first[d + 1], at[e - 1] + SPAN + AROUND)
                         part, offsets = hashed[start:end], at[c:e] - start
-                        name = tokens.mixed(np.array([np.sum(part * tokens.mixed(np.arange(1, len(part) + 1, dtype=U64)))
-                                                      + np.sum(tokens.mixed(key[c:e] + offsets.astype(U64)))], U64))
+                        told = np.concatenate((part * tokens.mixed(np.arange(1, len(part) + 1, dtype=U64)),
+                                               tokens.mixed(key[c:e] + offsets.astype(U64))))
+                        name = tokens.mixed(np.array([np.sum(told)], U64))
                         for column, value in zip(out, (ids[lo + d], int(name.view(np.int64)[0]), part.tobytes(), offsets.tolist(),
                                                        key[c:e].view(np.int64).tolist())):
                             column.append(value)
@@ -191,9 +192,9 @@ def with_contamination(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id"
     """All columns of ``docs`` plus ``contaminated``, ``n_items``, ``first_item`` and ``agreed`` (the most)."""
     per_doc = found.groupBy(F.col(doc_id).alias("_id")).agg(
         F.count(F.lit(1)).alias("n_items"), F.min(item_id).alias("first_item"), F.max("agreed").alias("agreed"))
-    out = docs.drop("contaminated", "n_items", "first_item", "agreed")
-    out = out.join(per_doc, out[doc_id].eqNullSafe(per_doc["_id"]), "left")
-    return out.withColumns({"contaminated": F.col("n_items").isNotNull(), "n_items": F.coalesce("n_items", F.lit(0))}).drop("_id")
+    out = packed(docs, ["contaminated", "n_items", "first_item", "agreed"], _doc=doc_id)
+    out = out.join(per_doc, F.col("_doc").eqNullSafe(F.col("_id")), "left")
+    return unpacked(out, F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), "first_item", "agreed")
 
 
 @query("op7_decontaminate")

@@ -13,7 +13,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from keyrhythm.llm.common import LOWER, SPACES, UPPER, remove, written
+from keyrhythm.llm.common import LOWER, SPACES, UPPER, packed, remove, unpacked, written
 from keyrhythm.llm.registry import query, table
 from keyrhythm.session import new_folder
 
@@ -114,11 +114,12 @@ def drop_repeated_lines(
     columns named like the new ones are replaced. An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    docs = docs.withColumn(text, F.coalesce(F.col(text), F.lit("")))
+    names = docs.columns
+    docs = packed(docs, ["n_lines", "n_dropped"], _doc=doc_id, _text=text)
     shares = [i / batches for i in range(1, batches)]
-    borders = [b for b in (docs.agg(F.percentile_approx(doc_id, shares, 1000)).first()[0] or []) if b is not None]
-    keys = F.array_distinct(F.filter(F.transform(lines_of(F.col(text)), line_key), lambda k: F.length(k) >= min_chars))
-    lines = (docs.select(F.col(doc_id).alias("_id"), F.explode(keys).alias("_key"))
+    borders = [b for b in (docs.agg(F.percentile_approx("_doc", shares, 1000)).first()[0] or []) if b is not None]
+    keys = F.array_distinct(F.filter(F.transform(lines_of(F.col("_text")), line_key), lambda k: F.length(k) >= min_chars))
+    lines = (docs.select(F.col("_doc").alias("_id"), F.explode(keys).alias("_key"))
              .select("_id", *[c.alias(n) for c, n in zip(hashed(F.col("_key")), HASH)], _batch(F.col("_id"), borders).alias("_batch")))
     folder = new_folder(spark, "lines")
     lines.write.partitionBy("_batch").parquet(folder)
@@ -134,8 +135,8 @@ def drop_repeated_lines(
 
     losing = lines.join(repeated, HASH).where(~F.col("_id").eqNullSafe(F.col("keeper")))
     losing = losing.groupBy("_id").agg(F.collect_set(F.struct(*HASH)).alias("_losing"))
-    out = docs.join(losing, docs[doc_id].eqNullSafe(losing["_id"]), "left").drop("_id")
-    all_lines = lines_of(F.col(text))
+    out = docs.join(losing, F.col("_doc").eqNullSafe(F.col("_id")), "left")
+    all_lines = lines_of(F.col("_text"))
 
     def stays(line: Column) -> Column:
         h1, h2 = hashed(line_key(line))
@@ -143,8 +144,9 @@ def drop_repeated_lines(
 
     out = out.withColumn("_kept", F.when(F.col("_losing").isNull(), all_lines).otherwise(F.filter(all_lines, stays)))
     n_lines = F.size(all_lines).cast("bigint")
-    return (out.withColumns({"n_lines": n_lines, "n_dropped": n_lines - F.size("_kept")})
-            .withColumn(text, F.array_join("_kept", "\n")).drop("_losing", "_kept"))
+    out = unpacked(out, F.array_join("_kept", "\n").alias("_cleaned"), n_lines.alias("n_lines"), (n_lines - F.size("_kept")).alias("n_dropped"))
+    kept = [c for c in names if c not in ("n_lines", "n_dropped")]
+    return out.select(*[F.col("_cleaned").alias(text) if c == text else F.col(f"`{c}`") for c in kept], "n_lines", "n_dropped")
 
 
 OP10_SQL = r"""

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from keyrhythm.llm.common import n_words, written
+from keyrhythm.llm.common import n_words, packed, unpacked, written
 from keyrhythm.llm.registry import query, table
 
 SOURCE = ["_no_source", "_source"]
@@ -51,26 +51,26 @@ def mix_sources(
     by one. A NULL id is an id of its own; size 0 is never taken. An empty table gives an empty one.
     Input columns named like the new ones are replaced.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
-    rows = (sized.drop("source_size", "target", "epochs", "taken")
-            .withColumns({"_key": key, "_no_source": F.col(source).isNull(), "_source": F.coalesce(F.col(source), F.lit(""))})
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.lit(""))))
+    rows = (packed(sized, ["source_size", "target", "epochs", "taken"], _id=doc_id, _from=source, _size=size)
+            .withColumns({"_key": key, "_no_source": F.col("_from").isNull(), "_source": F.coalesce(F.col("_from"), F.lit(""))})
             .withColumn("_bucket", F.substring("_key", 1, hex_digits)))
-    buckets = written(rows.groupBy(*SOURCE, "_bucket").agg(F.sum(size).alias("_words")), "mix-buckets")
+    buckets = written(rows.groupBy(*SOURCE, "_bucket").agg(F.sum("_size").alias("_words")), "mix-buckets")
     per_source = targets(buckets.groupBy(*SOURCE).agg(F.sum("_words").alias("source_size")), list(weights), most)
     earlier = Window.partitionBy(*SOURCE).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (buckets.withColumn("_start", F.coalesce(F.sum("_words").over(earlier), F.lit(0))).drop("_words")
               .join(per_source, SOURCE))
-    inside = (Window.partitionBy(*SOURCE, "_bucket").orderBy("_key", doc_id, size)
+    inside = (Window.partitionBy(*SOURCE, "_bucket").orderBy("_key", "_id", "_size")
               .rowsBetween(Window.unboundedPreceding, -1))
     budget = F.floor("target")
     has_any = F.col("source_size") > 0
     out = rows.join(starts, [*SOURCE, "_bucket"]).withColumn(
-        "_before", F.col("_start") + F.coalesce(F.sum(size).over(inside), F.lit(0)))
+        "_before", F.col("_start") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
     out = out.withColumn("epochs", F.when(has_any, F.floor(budget / F.col("source_size"))).otherwise(0).cast("bigint"))
     rest = budget - F.col("epochs") * F.col("source_size") - F.col("_before")
-    part = F.greatest(F.lit(0), F.least(rest, F.col(size)))
-    return (out.withColumn("taken", (F.col("epochs") * F.col(size) + part).cast("bigint"))
-            .drop(*SOURCE, "_key", "_bucket", "_start", "_before"))
+    part = F.greatest(F.lit(0), F.least(rest, F.col("_size")))
+    taken = (F.col("epochs") * F.col("_size") + part).cast("bigint")
+    return unpacked(out, "source_size", "target", "epochs", taken.alias("taken"))
 
 
 OP8_SQL = r"""

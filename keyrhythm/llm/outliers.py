@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from keyrhythm.llm import tokens
-from keyrhythm.llm.common import written
+from keyrhythm.llm.common import packed, unpacked, written
 from keyrhythm.llm.registry import query, table
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_loud"]
@@ -89,7 +89,6 @@ def text_counts(column: pa.Array) -> dict[str, np.ndarray]:
 
 def with_counts(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
     """All columns (the text only if asked for) and the counts of ``COUNTS``."""
-    docs = docs.drop(*COUNTS)
     kept = [f for f in docs.schema.fields if keep_text or f.name != text]
     schema = T.StructType([*kept, *[T.StructField(c, T.LongType()) for c in COUNTS]])
     names = [f.name for f in kept]
@@ -180,11 +179,13 @@ def mark_outliers(
     groups of their own; repeated rows each count. Input columns named like the new ones are replaced.
     An empty table gives an empty one.
     """
-    docs = docs.drop("base_failed", "distance", "kept")
-    counted = written(with_counts(docs, text, keep_text), "text-counts")
+    new = [*COUNTS, "base_failed", "distance", "kept"]
+    names = [c for c in docs.columns if c not in new and (keep_text or c != text)]
+    docs = packed(docs, [*new, text], _tongue=lang, _from=source, _text=text)
+    counted = written(with_counts(docs, "_text", keep_text), "text-counts")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    tongue = _known(F.col(lang))
-    group = F.concat(tongue, F.lit("\n"), _known(F.col(source)))
+    tongue = _known(F.col("_tongue"))
+    group = F.concat(tongue, F.lit("\n"), _known(F.col("_from")))
     marked = counted.withColumns({"base_failed": failed, "_lang": tongue, "_group": group})
     sizes = marked.where(~F.col("base_failed")).groupBy("_lang", "_group").count()
     by_lang = sizes.groupBy("_lang").agg(F.sum("count").alias("_of_lang"))
@@ -205,7 +206,9 @@ def mark_outliers(
     judged = judged.select(*kept_columns, F.col("_d2").alias("distance"), (F.col("_d2") <= cutoff).alias("kept"))
     rejected = marked.where("base_failed").select(*kept_columns, F.lit(None).cast("double").alias("distance"),
                                                   F.lit(False).alias("kept"))
-    return judged.unionByName(rejected)
+    out = judged.unionByName(rejected)
+    out = unpacked(out, *[F.col("_text").alias(text)] * keep_text, *new)
+    return out.select(*[f"`{c}`" for c in names], *new)
 
 
 @query("op4_quality_outliers")
