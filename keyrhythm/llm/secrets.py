@@ -31,7 +31,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 #: Identifiers and placeholders that are no secrets, however they are written together.
 IDENTIFIERS = """
 abstract access account action active address admin after algorithm amount api application apply argument array assert async attribute
-auth author authorization available await base64 before begin binary boolean branch browser buffer build builder button bytes cache
+auth authentication author authorization available await base64 before begin binary boolean branch browser buffer build builder button bytes cache
 callback cancel category certificate changeme channel character check child class clear client close cluster code collection color column
 command comment commit common component config configuration connect connection console const constant constructor container content
 context continue control controller convert cookie copy count create created credential current custom database dataset date debug
@@ -68,16 +68,16 @@ class Novelty:
     """Marginal compressed size of a string, given what stands around it and a dictionary."""
 
     def __init__(self, identifiers: str = IDENTIFIERS, around: int = 256):
-        primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed = zstandard.ZstdCompressionDict(identifiers.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         settings = zstandard.ZstdCompressionParameters(compression_level=19, window_log=17, write_content_size=False, write_checksum=False,
                                                        write_dict_id=False, min_match=3)
         self.compress = zstandard.ZstdCompressor(dict_data=primed, compression_params=settings).compress
         self.around = around
 
     def of(self, text: str, start: int, end: int) -> float:
-        """Bytes that the string adds behind its surroundings, for each of its bytes."""
-        context = (text[max(0, start - self.around) : start] + " " + text[end : end + self.around] + " ").encode("utf-8", "replace")
-        string = text[start:end].encode("utf-8", "replace")
+        """Bytes that the string adds behind its surroundings, for each of its bytes; letters in lower case."""
+        context = (text[max(0, start - self.around) : start] + " " + text[end : end + self.around] + " ").lower().encode()
+        string = text[start:end].lower().encode()
         return (len(self.compress(context + string)) - len(self.compress(context))) / len(string)
 
 

@@ -5,8 +5,7 @@ its commit protocol takes care of repeated and lost tasks. Behind each block of
 empty gzip member, which readers of concatenated members skip.
 
 Reading: a task gets a range of bytes. It looks for gzip magic, takes a candidate for a member only
-if its header decodes to a WARC header and what follows the member is another member or the file's
-end, and owns the records that start inside its range, reading on past the end for the last one.
+if its header decodes to a WARC header and the members behind it follow one another, and owns the records that start inside its range, reading on past the end for the last one.
 """
 
 from __future__ import annotations
@@ -149,19 +148,37 @@ def follows(source: _Bytes, at: int) -> bool:
     return not source.until(at + 1) or (source.until(at + 3) and source.data[at - source.base : at - source.base + 3] == MAGIC)
 
 
+def trusted(source: _Bytes, at: int, end: int) -> bool:
+    """Whether the member at ``at`` is one of the file's own.
+
+    One that lies uncompressed inside another member's payload decodes as well; but its chain of
+    members breaks off with other bytes before the range ends. A damaged member, with magic but
+    undecodable, proves nothing against those before it.
+    """
+    first = at
+    while at < end:
+        got = decode(source, at)
+        if got is None:
+            return at > first
+        if not follows(source, got[1]):
+            return False
+        at = got[1]
+    return True
+
+
 def records(source: _Bytes, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     """(offset, content) of the records that start in [start, end)."""
-    at = source.find_magic(start, end)
+    at, known = source.find_magic(start, end), start == 0
     while at is not None and at < end:
-        got = decode(source, at)
-        if got is None or not follows(source, got[1]):
-            at = source.find_magic(at + 1, end)
+        known = known or trusted(source, at, end)
+        got = decode(source, at) if known else None
+        if got is None:
+            at, known = source.find_magic(at + 1, end), False
             continue
-        content, behind = got
-        if content:
-            yield at, content
-        source.drop(behind)
-        at = source.find_magic(behind, end) if behind < end else None
+        if got[0]:
+            yield at, got[0]
+        source.drop(got[1])
+        at = source.find_magic(got[1], end) if got[1] < end else None
 
 
 def parse(content: bytes) -> dict:
