@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from keyrhythm.session import new_folder
 
@@ -47,3 +47,18 @@ def packed(df: DataFrame, replaced: Iterable[str] = (), **named: str) -> DataFra
 def unpacked(df: DataFrame, *more: Column | str) -> DataFrame:
     """The callers' columns again, and further ones."""
     return df.select("_row.*", *more)
+
+
+def with_extremes(rows: DataFrame, group: str, value: str, spread: str, salts: int = 64) -> DataFrame:
+    """Add to each row its group's number of rows ``_n`` and smallest and largest value, ``_low`` and ``_high``.
+
+    A group is counted and joined in ``salts`` parts, chosen by a hash of ``spread``, so one that holds
+    a third of all rows is not one task's. The window sees at most ``salts`` rows of a group.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    parts = salted.groupBy(group, "_salt").agg(
+        F.count(F.lit(1)).alias("_n"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+    whole = Window.partitionBy(group)
+    parts = parts.select(group, "_salt", F.sum("_n").over(whole).alias("_n"), F.min("_low").over(whole).alias("_low"),
+                         F.max("_high").over(whole).alias("_high"))
+    return salted.join(parts, [group, "_salt"]).drop("_salt")

@@ -4,26 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from keyrhythm.llm.common import written
+from keyrhythm.llm.common import with_extremes, written
 
 
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """``(id, component)`` of every id in ``links(a, b)``: the smallest id that it reaches.
 
     Each round hangs all neighbours of an id on the smallest of them, first the larger neighbours,
-    then the smaller ones; only minima are gathered, so an id with very many links is no large group.
+    then the smaller ones; only minima are gathered, part by part, so an id with very many links is no
+    large group.
     Rounds end when a round changes nothing; each is written, so none is computed twice.
     """
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     before = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        smallest = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
-        large = both.join(smallest, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        large = with_extremes(both, "a", "b", "b").where("b > a").select(F.col("b").alias("a"), F.least("a", "_low").alias("b"))
         large = large.where("a <> b").distinct()
-        smallest = large.groupBy("a").agg(F.min("b").alias("low"))
-        hung = large.join(smallest, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
-        small = hung.unionByName(smallest.select("a", F.col("low").alias("b"))).distinct()
+        hung = with_extremes(large, "a", "b", "b").select(F.col("b").alias("a"), F.col("_low").alias("b")).where("a <> b")
+        small = hung.unionByName(large.groupBy("a").agg(F.min("b").alias("b"))).distinct()
         edges = written(small, "links")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:

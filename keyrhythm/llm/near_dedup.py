@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from keyrhythm.llm import tokens
-from keyrhythm.llm.common import packed, unpacked, written
+from keyrhythm.llm.common import packed, unpacked, with_extremes, written
 from keyrhythm.llm.components import components
 from keyrhythm.llm.registry import query, table
 
@@ -306,8 +306,8 @@ def near_duplicates(
 
     nodes = reps.select("_id", "_sig").mapInArrow(_branch(coordinates, join.share, trees), "_id bigint, _node bigint")
     nodes = written(nodes, "path-nodes")
-    shared = nodes.groupBy("_node").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_low")).where("_n > 1")
-    members = written(nodes.join(shared, "_node"), "path-members")
+    shared = with_extremes(nodes, "_node", "_id", "_id").where("_low <> _high")
+    members = written(shared.select("_id", "_node", "_low"), "path-members")
 
     stars = members.where("_id > _low").select(F.col("_low").alias("a"), F.col("_id").alias("b")).distinct()
     nearest = join.alike(stars).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -355,10 +355,9 @@ def one_of_each(docs: DataFrame, marks: DataFrame, doc_id: str = "doc_id", text:
 
 
 def _apart(members: DataFrame) -> DataFrame:
-    """The nodes that still hold members of different components, with their sizes."""
-    open_nodes = members.groupBy("_node").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo <> _hi")
-    return members.join(open_nodes.select("_node", "_n"), "_node").select("_id", "_node", "_comp", "_n")
+    """The members of nodes that still hold different components, with the nodes' sizes."""
+    apart = with_extremes(members, "_node", "_comp", "_id").where("_low <> _high")
+    return apart.select("_id", "_node", "_comp", "_n")
 
 
 def _by_node(rows: DataFrame, *columns: str) -> DataFrame:
