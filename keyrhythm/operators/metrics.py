@@ -86,10 +86,13 @@ def score_steps(predictions: DataFrame, groups: Sequence[str] = ()) -> DataFrame
     """
     positive = (F.col("label") == 1).cast("bigint")
     merged = predictions.groupBy(*groups, "score").agg(
-        F.sum(positive).alias("positives"), F.sum(1 - positive).alias("negatives")
+        F.sum(positive).alias("positives"), F.sum(1 - positive).alias("negatives"),
+        F.max(F.col("score").isNotNull() & ~F.isnan("score")).alias("_known"),
     )
+    # Asked of the steps, and with a bucket that is never NULL, these tests stay off the scan of raw rows.
+    bucket = F.coalesce(magnitude_bucket("score", bits=10), F.lit(0.0))
     return running_totals(
-        merged, list(groups), ["score"], magnitude_bucket("score", bits=10),
+        merged.where("_known").drop("_known"), list(groups), ["score"], bucket,
         {"tp": F.col("positives"), "fp": F.col("negatives")}, descending=True,
     )
 

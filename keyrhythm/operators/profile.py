@@ -47,6 +47,12 @@ class Difference(NamedTuple):
     second: str
 
 
+def _number(value: Column) -> Column:
+    """As a double; NaN is a missing value like NULL."""
+    value = value.cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def observations(rows: DataFrame, key: str, measures: Sequence[Measure]) -> DataFrame:
     """One row per (key, measure, category, value); levels that are not asked for are left out.
 
@@ -56,7 +62,7 @@ def observations(rows: DataFrame, key: str, measures: Sequence[Measure]) -> Data
         return F.struct(
             F.lit(m.suffix).alias("measure"),
             F.when(F.col(m.category).isin(list(m.levels)), F.col(m.category)).alias("category"),
-            F.col(m.value).cast("double").alias("value"),
+            _number(F.col(m.value)).alias("value"),
         )
 
     unfolded_rows = rows.select(key, F.explode(F.array(*[unfolded(m) for m in measures])).alias("_o"))
@@ -67,7 +73,7 @@ def observations(rows: DataFrame, key: str, measures: Sequence[Measure]) -> Data
 
 def value_counts(obs: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """How often each value occurs in each group: the exact, mergeable form of the observations."""
-    return obs.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    return obs.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, value).agg(F.count("*").alias("n"))
 
 
 def profile_counts(

@@ -108,3 +108,12 @@ def test_row_order_and_layout_do_not_matter(spark):
     mixed = sorted(profile(events.repartition(9).orderBy(F.rand(3)), ["user_id", "category"]).collect())
     for a, b in zip(plain, mixed):
         assert all(x == y or x == pytest.approx(y, rel=1e-9) for x, y in zip(a, b))
+
+
+def test_nan_is_a_missing_value(spark):
+    data = [("a", "x", v) for v in (1.0, 2.0, 3.0, 4.0, float("nan"), None)]
+    df = spark.createDataFrame(data, "k string, c string, value double")
+    obs = observations(df, "k", [Measure("v", "c", "value", ("x",))])
+    for rows in (obs, df):
+        got = rows_of(profile(rows, ["k"]), "k")[("a",)]
+        assert (got["count"], got["mean"], got["amax"], got["median"]) == (4, 2.5, 4.0, 2.5)
