@@ -73,6 +73,7 @@ class FeatureConfig:
         return replace(self, more_than=rows)
 
 
+# The statistics and dropped columns of each variant.
 VARIANTS = {
     "three_second": FeatureConfig(
         hands=("L", "R"), upper=3000.0, one_hot=("Sided",),
@@ -92,6 +93,7 @@ VARIANTS = {
         stats=("mean", "median", "skew", "kurtosis", "amax", "amin", "iqr"),
     ),
 }
+# End of fixed values.
 
 
 def model_columns(variant: str, table: str = "both") -> list[str]:

@@ -7,11 +7,10 @@ from pyspark.sql import Column, functions as F
 from keyrhythm.functions.numeric import _col
 
 # Browser key codes typed by each hand, and the space bar.
-LEFT_HAND_CODES = [9, 16, 17, 18, 20, 27, 49, 50, 51, 52, 53, 65, 66, 67, 68, 69, 70, 71, 81,
-                   82, 83, 84, 86, 87, 88, 90]
-RIGHT_HAND_CODES = [8, 13, 37, 38, 39, 40, 46, 48, 54, 55, 56, 57, 72, 73, 74, 75, 76, 77, 78, 79,
-                    80, 85, 89, 107, 108, 109, 110, 111, 186, 187, 188, 189, 190, 191, 219, 220,
-                    221, 222]
+LEFT_HAND_CODES = [49, 50, 51, 52, 53, 81, 87, 69, 82, 84, 65, 83, 68, 70, 71, 90, 88, 67, 86, 66, 18, 9, 16,
+                   17, 20, 27]
+RIGHT_HAND_CODES = [54, 55, 56, 57, 48, 89, 85, 72, 73, 74, 75, 76, 77, 78, 79, 80, 13, 8, 46, 40, 37, 38, 39,
+                    107, 108, 109, 110, 111, 188, 186, 187, 189, 190, 191, 219, 220, 221, 222]
 SPACE_CODES = [32]
 # End of fixed values.
 

@@ -12,6 +12,7 @@ from keyrhythm.functions.text import id_from_log_path, id_from_profile_path, pro
 
 KEYSTROKE_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in KEYSTROKE_FIELDS])
 
+# Field names of the session JSON.
 SESSION_SCHEMA = T.StructType([
     T.StructField("session_id", T.StringType()),
     T.StructField("profile", T.StructType([T.StructField(c, T.StringType()) for c in ("Gender", "Tremors", "Sided")])),
@@ -20,6 +21,7 @@ SESSION_SCHEMA = T.StructType([
          for c in ("Hand", "Hold time", "Direction", "Latency time", "Flight time")]
     ))),
 ])
+# End of fixed values.
 
 
 def read_profiles(spark: SparkSession, path: str, fields: Sequence[str] = tuple(PROFILE_FIELDS)) -> DataFrame:
