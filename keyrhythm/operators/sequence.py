@@ -18,12 +18,14 @@ CHUNK = "_chunk"
 
 
 def with_previous(df: DataFrame, key: str, order: Sequence[str], carried: Sequence[str],
-                  chunk: Column, previous: str = "previous", position: str | None = None) -> DataFrame:
+                  chunk: Column, previous: str = "previous", position: str | None = None,
+                  known: Sequence[str] = ()) -> DataFrame:
     """Add a struct of the previous row's ``carried`` columns (NULL on an entity's first row).
 
     ``chunk`` must never decrease along ``order``; ``order`` must be unique per entity. Rows without
     an entity or a time belong to no sequence and are left out.
-    ``position`` also adds the 1-based place of the row in its entity's sequence.
+    ``position`` also adds the 1-based place of the row in its entity's sequence, and ``known`` adds
+    ``last_<column>``, the last earlier value that is not NULL, of each listed column.
 
     Both uses of the rows read every column, so Spark shuffles them once and reads the input once;
     select the columns that are needed beforehand.
@@ -32,7 +34,8 @@ def with_previous(df: DataFrame, key: str, order: Sequence[str], carried: Sequen
     tail = F.struct(*carried)
     whole = F.struct(*[c for c in df.columns if c != key])
     ends = chunked.groupBy(key, CHUNK).agg(
-        F.max_by(whole, F.struct(*order)).alias("_tail"), F.count("*").alias("_rows")
+        F.max_by(whole, F.struct(*order)).alias("_tail"), F.count("*").alias("_rows"),
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_last_{c}") for c in known],
     )
     by_entity = Window.partitionBy(key).orderBy(CHUNK)
     earlier = by_entity.rowsBetween(Window.unboundedPreceding, -1)
@@ -41,6 +44,7 @@ def with_previous(df: DataFrame, key: str, order: Sequence[str], carried: Sequen
         CHUNK,
         F.lag(F.struct(*[F.col(f"_tail.{c}").alias(c) for c in carried])).over(by_entity).alias("_bridge"),
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
+        *[F.last(f"_last_{c}", ignorenulls=True).over(earlier).alias(f"_last_{c}") for c in known],
     )
     in_chunk = Window.partitionBy(key, CHUNK).orderBy(*order)
     out = chunked.join(bridge, [key, CHUNK]).withColumn(
@@ -48,7 +52,11 @@ def with_previous(df: DataFrame, key: str, order: Sequence[str], carried: Sequen
     )
     if position:
         out = out.withColumn(position, F.row_number().over(in_chunk) + F.col("_before"))
-    return out.drop(CHUNK, "_bridge", "_before")
+    so_far = in_chunk.rowsBetween(Window.unboundedPreceding, -1)
+    for c in known:
+        last = F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.col(f"_last_{c}"))
+        out = out.withColumn(f"last_{c}", last)
+    return out.drop(CHUNK, "_bridge", "_before", *[f"_last_{c}" for c in known])
 
 
 def milliseconds_between(later: Column, earlier: Column) -> Column:
@@ -73,55 +81,84 @@ def latencies(df: DataFrame, key: str, ts: str, category: str, order: Sequence[s
     )
 
 
-def accepted_presses(events: DataFrame, key: str = "user_id", ts: str = "ts", seq: str = "seq",
-                     code: str = "key_code", action: str = "action", chunk: Column | None = None) -> DataFrame:
-    """Key-down and key-up events -> one row per press with its release.
+def with_hold(used: DataFrame, key: str, ts: str, seq: str, code: str, action: str, chunk: Column) -> DataFrame:
+    """Add ``hold`` to every key-up: the time since its key's first accepted down after its last up.
+
+    A key-up whose key has no accepted down has no hold. Key-downs get NULL.
+    """
+    own = used.withColumn("_key", F.struct(key, code))
+    seen = with_previous(own, "_key", [ts, seq], [action], chunk, "_same")
+    first = (F.col(action) == "up") | F.col("_same").isNull() | (F.col(f"_same.{action}") == "up")
+    timed = with_previous(seen.where(first).drop("_same"), "_key", [ts, seq], [action, ts], chunk, "_same")
+    started = F.when(F.col(f"_same.{action}") == "down", F.col(f"_same.{ts}"))
+    ups = timed.where(F.col(action) == "up").withColumn("hold", milliseconds_between(F.col(ts), started))
+    downs = used.where(F.col(action) == "down").withColumn("hold", F.lit(None).cast("double"))
+    return downs.unionByName(ups.drop("_same", "_key"))
 
-    While a key is down, further downs are ignored. The first up after a press ends it; if that
-    up belongs to another key the press has no hold time.
+
+def accepted_presses(events: DataFrame, key: str = "user_id", ts: str = "ts", seq: str = "seq",
+                     code: str = "key_code", action: str = "action", chunk: Column | None = None,
+                     side: str = "current") -> DataFrame:
+    """Key-down and key-up events -> rows (key, down, seq, code, last_up, hold), one per press.
+
+    A down counts only if no other down came since the last up of any key. ``last_up`` is the time of
+    the last up before the press. ``side="current"``: ``hold`` is the press's own time until the first
+    up, NULL if that up is another key's; a press without an up is left out. ``side="previous"``:
+    ``hold`` is that of the last up before the press, NULL if that up had no accepted down.
     """
     chunk = F.date_trunc("hour", F.col(ts)) if chunk is None else chunk
-    known = with_previous(events, key, [ts, seq], [action], chunk)
-    opens = (F.col(action) == "down") & (
-        F.col("previous").isNull() | (F.col(f"previous.{action}") == "up")
-    )
-    used = known.where(opens | (F.col(action) == "up")).drop("previous")
-    paired = with_previous(used, key, [ts, seq], [action, ts, code], chunk)
-    released = (F.col(action) == "up") & (F.col(f"previous.{action}") == "down")
+    order = [ts, seq]
+    known = with_previous(events.select(key, ts, seq, code, action), key, order, [action, ts], chunk)
+    down, up = F.col(action) == "down", F.col(action) == "up"
+    opens = down & (F.col("previous").isNull() | (F.col(f"previous.{action}") == "up"))
+    used = known.where(opens | up).withColumn("last_up", F.when(down, F.col(f"previous.{ts}"))).drop("previous")
+    if side == "previous":
+        timed = with_hold(used, key, ts, seq, code, action, chunk)
+        paired = with_previous(timed, key, order, ["hold"], chunk)
+        return paired.where(down).select(
+            key, F.col(ts).alias("down"), F.col(seq).alias("seq"), F.col(code).alias("code"), "last_up",
+            F.col("previous.hold").alias("hold"),
+        )
+    paired = with_previous(used, key, order, [action, ts, seq, code, "last_up"], chunk)
     same = F.col(f"previous.{code}") == F.col(code)
-    return paired.where(released).select(
+    return paired.where(up & (F.col(f"previous.{action}") == "down")).select(
         key,
         F.col(f"previous.{ts}").alias("down"),
-        F.col(ts).alias("up"),
-        seq,
+        F.col(f"previous.{seq}").alias("seq"),
         F.col(f"previous.{code}").alias("code"),
+        F.col("previous.last_up").alias("last_up"),
         F.when(same, milliseconds_between(F.col(ts), F.col(f"previous.{ts}"))).alias("hold"),
     )
 
 
 def keystrokes_from_key_events(events: DataFrame, key: str = "user_id", ts: str = "ts", seq: str = "seq",
                                code: str = "key_code", action: str = "action", pairs: str = "sliding",
-                               side: str = "current", chunk: Column | None = None) -> DataFrame:
+                               side: str = "current", chunk: Column | None = None,
+                               unknown: str = "null") -> DataFrame:
     """Keystroke rows (Hand, Hold time, Direction, Latency time, Flight time) from key events.
 
     ``side="current"`` describes the later key of each pair, as the recorded logs do;
-    ``"previous"`` takes hand and hold time from the earlier key. A key that belongs to
-    no hand leaves Hand and Direction empty.
+    ``"previous"`` gives the hand of the earlier key and the hold of the last key-up before the later
+    one. Flight time runs from that last key-up, whichever key it belongs to. A key that belongs to no
+    hand leaves Hand and Direction empty; with ``unknown="typed"`` it stands as ``L`` when it is the
+    later key, and as the last known hand (``L`` at the start) when it is the earlier one.
     """
-    presses = accepted_presses(events, key, ts, seq, code, action, chunk)
-    presses = presses.withColumn("hand", hand_of("code"))
+    presses = accepted_presses(events, key, ts, seq, code, action, chunk, side).withColumn("hand", hand_of("code"))
     by_hour = F.date_trunc("hour", F.col("down")) if chunk is None else chunk
-    seen = with_previous(presses, key, ["down", "seq"], ["down", "up", "hand", "hold"], by_hour, position="_at")
+    typed = unknown == "typed"
+    seen = with_previous(presses, key, ["down", "seq"], ["down", "hand"], by_hour, position="_at",
+                         known=["hand"] if typed else ())
     if pairs == "disjoint":
         seen = seen.where(F.col("_at") % 2 == 0)
     earlier = F.col("previous")
-    subject = earlier if side == "previous" else F.struct("hand", "hold")
+    before = F.coalesce("last_hand", F.lit("L")) if typed else earlier["hand"]
+    later = F.coalesce("hand", F.lit("L")) if typed else F.col("hand")
     return seen.where(earlier.isNotNull()).select(
         key,
         F.col("down").alias("ts"),
-        subject["hand"].alias("Hand"),
-        subject["hold"].alias("Hold time"),
-        (F.concat(earlier["hand"], F.col("hand"))).alias("Direction"),
+        (before if side == "previous" else later).alias("Hand"),
+        F.col("hold").alias("Hold time"),
+        F.concat(before, later).alias("Direction"),
         milliseconds_between(F.col("down"), earlier["down"]).alias("Latency time"),
-        milliseconds_between(F.col("down"), earlier["up"]).alias("Flight time"),
+        milliseconds_between(F.col("down"), F.col("last_up")).alias("Flight time"),
     )

@@ -48,8 +48,8 @@ KEYS = [(0, 70, "down"), (80, 70, "up"), (200, 74, "down"), (220, 70, "down"), (
         (500, 32, "down"), (560, 32, "up"), (700, 255, "down"), (750, 255, "up")]
 
 
-def keystrokes(spark, **options):
-    df = spark.createDataFrame([("u", at(t), i, c, a) for i, (t, c, a) in enumerate(KEYS)],
+def keystrokes(spark, keys=KEYS, **options):
+    df = spark.createDataFrame([("u", at(t), i, c, a) for i, (t, c, a) in enumerate(keys)],
                                "user_id string, ts timestamp, seq int, key_code int, action string")
     rows = keystrokes_from_key_events(df, **options).orderBy("ts").collect()
     return [(r["Hand"], r["Hold time"], r["Direction"], r["Latency time"], r["Flight time"]) for r in rows]
@@ -57,10 +57,33 @@ def keystrokes(spark, **options):
 
 def test_key_events(spark):
     assert keystrokes(spark) == [
-        ("R", 100.0, "LR", 200.0, 120.0), ("S", 60.0, "RS", 300.0, 200.0), (None, 50.0, None, 200.0, 140.0),
+        ("R", 100.0, "LR", 200.0, 120.0), ("S", 60.0, "RS", 300.0, 190.0), (None, 50.0, None, 200.0, 140.0),
     ]
     assert keystrokes(spark, side="previous")[0] == ("L", 80.0, "LR", 200.0, 120.0)
+    assert keystrokes(spark, side="previous")[1] == ("R", None, "RS", 300.0, 190.0)
     assert len(keystrokes(spark, pairs="disjoint")) == 2
+    assert keystrokes(spark, side="previous", unknown="typed")[2] == ("S", 60.0, "SL", 200.0, 140.0)
+
+
+def test_flight_runs_from_the_last_key_up(spark):
+    keys = [(0, 65, "down"), (50, 66, "down"), (100, 65, "up"), (140, 66, "up"), (300, 75, "down"), (310, 75, "up")]
+    assert keystrokes(spark, keys) == [("R", 10.0, "LR", 300.0, 160.0)]
+    assert keystrokes(spark, keys, side="previous") == [("L", None, "LR", 300.0, 160.0)]
+
+
+def test_hold_runs_from_the_first_accepted_down(spark):
+    # B is released without an accepted down, so A counts again; its one up ends both downs.
+    keys = [(0, 65, "down"), (10, 66, "down"), (20, 66, "up"), (30, 65, "down"), (90, 65, "up"), (100, 75, "down")]
+    assert keystrokes(spark, keys, side="previous") == [
+        ("L", None, "LL", 30.0, 10.0), ("L", 90.0, "LR", 70.0, 10.0),
+    ]
+
+
+def test_unknown_keys_at_the_start_and_over_hours(spark):
+    hour = 3600_000
+    keys = [(t + d, c, a) for t, c in ((0, 255), (hour, 74), (2 * hour, 255), (4 * hour, 65)) for d, a in ((0, "down"), (50, "up"))]
+    rows = keystrokes(spark, keys, side="previous", unknown="typed")
+    assert [(r[0], r[2]) for r in rows] == [("L", "LR"), ("R", "RL"), ("R", "RL")]
 
 
 def test_hands(spark):
