@@ -23,7 +23,10 @@ def _hand(length):
 def sessions(spark, folder) -> DataFrame:
     """(session_id, profile, keys): one session per document."""
     lengths = F.transform(F.filter(F.split("text", " "), lambda w: F.length(w) > 0), lambda w: F.length(w))
-    docs = table(spark, folder, "documents").select("doc_id", "lang", "n_chars", lengths.alias("_n"))
+    # A file may be a single split; the texts are spread before the work on them.
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "n_chars", "text")
+    docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    docs = docs.select("doc_id", "lang", "n_chars", lengths.alias("_n"))
 
     def key(before, own):
         return F.struct(
@@ -79,7 +82,7 @@ def session_explode(spark, folder):
     )
 
 
-STATS = ("mean", "median", "amax", "amin", "var", "iqr", "skew", "kurtosis")
+STATS = FeatureConfig().stats
 
 
 def _filled_sql() -> str:
@@ -144,9 +147,10 @@ def model_reload(spark, folder):
 @query("session_flight", f"""
 WITH {KEYS_SQL}
 SELECT CAST(doc_id AS VARCHAR) AS session_id, """ + ", ".join(
-    f"round(avg(flight) FILTER (WHERE direction = '{d}') + 1e-9, 5) + 0.0 AS mean_{d}_flight_time" for d in FOUR_DIRECTIONS
+    sqltext.rounded(sqltext.stat(s, "CAST(flight AS DOUBLE)", f"direction = '{d}'"), f"{s}_{d}_flight_time", 5)
+    for s in STATS for d in FOUR_DIRECTIONS
 ) + " FROM documents LEFT JOIN valid ON session_id = CAST(doc_id AS VARCHAR) GROUP BY doc_id")
 def session_flight(spark, folder):
     measure = Measure("flight_time", "Direction", "Flight time", FOUR_DIRECTIONS)
-    out = session_statistics(sessions(spark, folder), [measure], ["mean"], FeatureConfig(), fill=False)
-    return out.select("session_id", *[rounded(c, 5).alias(c) for c in out.columns if c.startswith("mean_")])
+    out = session_statistics(sessions(spark, folder), [measure], STATS, FeatureConfig(), fill=False)
+    return out.select("session_id", *[rounded(c, 5).alias(c) for c in out.columns if c.endswith("_flight_time")])

@@ -1,72 +1,64 @@
-"""Statistics of an array inside its own row: no explode, no shuffle, no state.
+"""Statistics of the values inside each record, for all records of an Arrow batch at once.
 
-For records that carry their measurements with them, such as one posted typing session.
+For records that carry their measurements with them, such as one posted typing session: no
+explode, no shuffle, no state.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+from keyrhythm.functions.numeric import NUMBER_PATTERN
 
-def array_quantile(ordered: Column, p: float) -> Column:
-    """Linear-interpolation quantile of a sorted array; NULL for an empty one."""
-    at = (F.size(ordered) - 1) * F.lit(p)
-    low = F.get(ordered, F.floor(at).cast("int"))
-    high = F.get(ordered, F.ceil(at).cast("int"))
-    return low + (high - low) * (at - F.floor(at))
 
+def flat_strings(column: pa.Array) -> pa.Array:
+    """The strings of all lists of a batch, one after the other."""
+    return pc.list_flatten(column).cast(pa.string())
 
-def array_mean(values: Column) -> Column:
-    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-    return F.when(F.size(values) > 0, total / F.greatest(F.size(values), F.lit(1)))
 
+def flat_numbers(column: pa.Array) -> np.ndarray:
+    """The same as doubles; what is no plain number becomes NaN. Every different text is read once."""
+    texts = flat_strings(column).dictionary_encode()
+    known = texts.dictionary
+    plain = pc.if_else(pc.match_substring_regex(known, NUMBER_PATTERN), pc.utf8_trim_whitespace(known), None)
+    values = plain.cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)
+    places = texts.indices.fill_null(len(values)).to_numpy(zero_copy_only=False)
+    return np.append(values, np.nan)[places]
 
-def central_sums(values: Column, mean: Column) -> Column:
-    """Struct of the summed second, third and fourth powers of the distances from the mean."""
-    start = F.struct(*[F.lit(0.0).alias(name) for name in ("m2", "m3", "m4")])
 
-    def add(sums: Column, v: Column) -> Column:
-        away = v - mean
-        square = away * away
-        return F.struct(
-            (sums["m2"] + square).alias("m2"), (sums["m3"] + square * away).alias("m3"),
-            (sums["m4"] + square * square).alias("m4"),
-        )
+def grouped_statistics(group: np.ndarray, values: np.ndarray, groups: int) -> dict[str, np.ndarray]:
+    """mean, median, amax, amin, var, std, iqr, skew and kurtosis of each group's values.
 
-    return F.aggregate(values, start, add)
-
-
-def bound(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def array_statistics(values: Column) -> Column:
-    """Struct with mean, median, amax, amin, var, std, iqr, skew and kurtosis of an array of doubles.
-
-    An empty array gives NULLs; skew and kurtosis are NULL when the values do not differ.
+    NaN stands for what is not defined: everything for an empty group, the variance of one value,
+    skew and kurtosis of values that do not differ.
     """
-    def measured(p: Column) -> Column:
-        v, mean, n, sums = p["v"], p["mean"], F.size(p["v"]), p["sums"]
-        low, high = F.get(v, F.lit(0)), F.get(v, n - 1)
-        m2, flat = sums["m2"], low == high
-        variance = F.when(n > 1, F.when(flat, F.lit(0.0)).otherwise(m2 / F.greatest(n - 1, F.lit(1))))
-        return F.struct(
-            mean.alias("mean"),
-            array_quantile(v, 0.5).alias("median"),
-            high.alias("amax"),
-            low.alias("amin"),
-            variance.alias("var"),
-            F.sqrt(variance).alias("std"),
-            (array_quantile(v, 0.75) - array_quantile(v, 0.25)).alias("iqr"),
-            F.when(~flat, (sums["m3"] / n) / F.pow(m2 / n, 1.5)).alias("skew"),
-            F.when(~flat, n * sums["m4"] / (m2 * m2) - 3.0).alias("kurtosis"),
-        )
-
-    def with_sums(p: Column) -> Column:
-        return F.struct(p["v"].alias("v"), p["mean"].alias("mean"), central_sums(p["v"], p["mean"]).alias("sums"))
-
-    def with_mean(v: Column) -> Column:
-        return F.struct(F.array_sort(v).alias("v"), array_mean(v).alias("mean"))
-
-    return bound(bound(bound(values, with_mean), with_sums), measured)
+    order = np.lexsort((values, group))
+    group, values = group[order], values[order]
+    n = np.bincount(group, minlength=groups)
+    first = np.cumsum(n) - n
+    padded = np.append(values, np.nan)
+
+    def at(place: np.ndarray) -> np.ndarray:
+        return padded[np.where(n > 0, first + place, len(values))]
+
+    def quantile(p: float) -> np.ndarray:
+        place = np.maximum(n - 1, 0) * p
+        below = np.floor(place).astype(int)
+        low, high = at(below), at(np.ceil(place).astype(int))
+        return low + (high - low) * (place - below)
+
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = np.bincount(group, values, groups) / n
+        away = values - mean[group]
+        m2, m3, m4 = (np.bincount(group, away ** k, groups) for k in (2, 3, 4))
+        low, high = at(np.zeros(groups, int)), at(np.maximum(n - 1, 0))
+        same = low == high
+        var = np.where(n > 1, np.where(same, 0.0, m2 / (n - 1)), np.nan)
+        return {
+            "mean": mean, "median": quantile(0.5), "amax": high, "amin": low, "var": var, "std": np.sqrt(var),
+            "iqr": quantile(0.75) - quantile(0.25),
+            "skew": np.where(same, np.nan, (m3 / n) / (m2 / n) ** 1.5),
+            "kurtosis": np.where(same, np.nan, n * m4 / (m2 * m2) - 3.0),
+        }

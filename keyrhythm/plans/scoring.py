@@ -6,14 +6,16 @@ same function serves a batch table and a stream, needs no shuffle, and keeps no
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from keyrhythm.config import CHOSEN_FEATURES, LEVELS, FeatureConfig
-from keyrhythm.functions.arrays import array_mean, array_statistics
+from keyrhythm.functions.arrays import flat_numbers, flat_strings, grouped_statistics
 from keyrhythm.functions.encode import yes_no
-from keyrhythm.functions.numeric import to_number
 from keyrhythm.operators.profile import Measure, feature_name
 
 
@@ -23,26 +25,8 @@ def explode_sessions(sessions: DataFrame) -> DataFrame:
     return rows.select("session_id", "profile.*", "position", "key.*")
 
 
-def _typed(key: Column) -> Column:
-    durations = [to_number(key[c]).alias(c) for c in ("Hold time", "Latency time", "Flight time")]
-    return F.struct(key["Hand"].alias("Hand"), key["Direction"].alias("Direction"), *durations)
-
-
-def _in_range(key: Column, upper: float) -> Column:
-    tests = [(key[c] > 0) & (key[c] < upper) for c in ("Hold time", "Latency time")]
-    return tests[0] & tests[1]
-
-
-def valid_keys(keys: Column, config: FeatureConfig, strict_categories: bool = False) -> Column:
-    """Typed keystrokes in range. ``strict_categories`` also asks for a known hand and direction,
-    without which a key is left out of *all* statistics."""
-    typed = F.transform(keys, _typed)
-    kept = F.filter(typed, lambda k: _in_range(k, config.upper))
-    if strict_categories:
-        kept = F.filter(
-            kept, lambda k: k["Hand"].isin(list(config.hands)) & k["Direction"].isin(list(config.directions))
-        )
-    return kept
+DURATIONS = ("Hold time", "Latency time", "Flight time")
+CATEGORIES = ("Hand", "Direction")
 
 
 def session_statistics(sessions: DataFrame, measures: Sequence[Measure], stats: Sequence[str],
@@ -51,33 +35,59 @@ def session_statistics(sessions: DataFrame, measures: Sequence[Measure], stats:
     """Sessions with one column per statistic, level and measure, or only the named ``columns``.
 
     ``fill`` replaces a statistic that a level lacks by the mean over the levels the session has.
-    A level without any key stays NULL.
+    A level without any key stays NULL, as does everything of a session without keys.
+    ``strict_categories`` also asks for a known hand and direction, without which a key is left out of
+    *all* statistics. The keys of an Arrow batch of sessions are read and summarised together.
     """
-    out = sessions.withColumn("_keys", valid_keys(F.col("keys"), config, strict_categories))
-    per_level = {}
-    for m in measures:
-        def values(level: Column, m: Measure = m) -> Column:
-            own = F.filter("_keys", lambda k: (k[m.category] == level) & k[m.value].isNotNull())
-            return F.transform(own, lambda k: k[m.value])
-
-        levels = F.array(*[F.lit(level) for level in m.levels])
-        per_level[f"_{m.suffix}"] = F.transform(levels, lambda level: array_statistics(values(level)))
-    out = out.withColumns(per_level)
-    wanted = []
-    for m in measures:
-        for stat in stats:
-            every = F.col(f"_{m.suffix}")[stat]
-            typical = array_mean(F.filter(every, lambda v: v.isNotNull()))
-            for i, level in enumerate(m.levels):
-                name = feature_name(stat, level, m.suffix)
-                if columns is not None and name not in columns:
-                    continue
-                value = F.get(every, F.lit(i))
-                if fill:
-                    present = F.get(F.col(f"_{m.suffix}")["mean"], F.lit(i)).isNotNull()
-                    value = F.when(present, F.coalesce(value, typical))
-                wanted.append(value.alias(name))
-    return out.select("session_id", "profile", *wanted)
+    names = [
+        (m, stat, i, feature_name(stat, level, m.suffix))
+        for m in measures for stat in stats for i, level in enumerate(m.levels)
+    ]
+    names = [n for n in names if columns is None or n[3] in columns]
+    measures = [m for m in measures if any(n[0] == m for n in names)]
+    hands, directions, upper = list(config.hands), list(config.directions), config.upper
+
+    def place(texts: pa.Array, levels: Sequence[str]) -> np.ndarray:
+        """The number of each text's level, -1 for any other."""
+        return pc.index_in(texts, pa.array(list(levels), pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)
+
+    def batch_columns(batch: pa.RecordBatch) -> list[pa.Array]:
+        rows = batch.num_rows
+        owner = pc.list_parent_indices(batch.column("Hand")).to_numpy(zero_copy_only=False)
+        texts = {c: flat_strings(batch.column(c)) for c in CATEGORIES}
+        numbers = {c: flat_numbers(batch.column(c)) for c in DURATIONS}
+        kept = np.ones(len(owner), bool)
+        for c in ("Hold time", "Latency time"):
+            kept &= (numbers[c] > 0) & (numbers[c] < upper)
+        if strict_categories:
+            kept &= (place(texts["Hand"], hands) >= 0) & (place(texts["Direction"], directions) >= 0)
+        told = {}
+        for m in measures:
+            level = place(texts[m.category], m.levels)
+            own = kept & (level >= 0) & ~np.isnan(numbers[m.value])
+            found = grouped_statistics(owner[own] * len(m.levels) + level[own], numbers[m.value][own], rows * len(m.levels))
+            cells = {stat: v.reshape(rows, len(m.levels)) for stat, v in found.items()}
+            if fill:
+                for stat in stats:
+                    here = ~np.isnan(cells[stat])
+                    typical = np.where(here, cells[stat], 0.0).sum(1) / np.maximum(here.sum(1), 1)
+                    typical[~here.any(1)] = np.nan
+                    gap = ~here & ~np.isnan(cells["mean"])
+                    cells[stat] = np.where(gap, typical[:, None], cells[stat])
+            told[m.suffix] = cells
+        out = [told[m.suffix][stat][:, i] for m, stat, i, _ in names]
+        return [pa.array(v, pa.float64(), mask=np.isnan(v)) for v in out]
+
+    def summarised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [batch.column("session_id"), batch.column("profile"), *batch_columns(batch)]
+            yield pa.RecordBatch.from_arrays(values, names=["session_id", "profile", *[n[3] for n in names]])
+
+    keys = [F.col("keys")[c].cast("array<string>").alias(c) for c in (*CATEGORIES, *DURATIONS)]
+    rows = sessions.select("session_id", "profile", *keys)
+    schema = T.StructType([rows.schema["session_id"], rows.schema["profile"],
+                           *[T.StructField(n[3], T.DoubleType()) for n in names]])
+    return rows.mapInArrow(summarised, schema)
 
 
 def session_features(sessions: DataFrame, config: FeatureConfig | None = None,
