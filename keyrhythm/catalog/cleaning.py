@@ -30,7 +30,8 @@ def profile_parse(spark, folder):
     raw = table(spark, folder, "customer").select(path.alias("path"), line.alias("text"))
     fields = raw.select(
         id_from_profile_path("path").alias("user_id"),
-        *profile_fields("text", ["name", "nation", "balance", "segment"]),
+        *[f.alias(n) for f, n in zip(profile_fields("text", ["Name", "Nation", "Balance", "Segment"]),
+                                     ["name", "nation", "balance", "segment"])],
     )
     return fields.withColumn("balance", to_number("balance"))
 
@@ -62,6 +63,14 @@ def recode_binary(spark, folder):
     return table(spark, folder, "customer").select("c_custkey", true_false(text).alias("flag"))
 
 
+@query("recode_keep", """
+SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '------' WHEN c_acctbal > 4000 THEN '1' ELSE '0' END AS flag FROM customer
+""")
+def recode_keep(spark, folder):
+    text = F.when(F.col("c_acctbal") < 0, "------").when(F.col("c_acctbal") > 4000, "True").otherwise("False")
+    return table(spark, folder, "customer").select("c_custkey", true_false(text, "keep").alias("flag"))
+
+
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 

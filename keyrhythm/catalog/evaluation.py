@@ -151,6 +151,7 @@ moves AS (SELECT *, lag(tpr, 1, 0.0) OVER (ORDER BY score DESC) AS tpr0, lag(fpr
 
 @query("roc_points", STEPS_SQL + """
 SELECT score AS threshold, round(fpr + 1e-9, 6) + 0.0 AS fpr, round(tpr + 1e-9, 6) + 0.0 AS tpr FROM points
+UNION ALL SELECT CAST('infinity' AS DOUBLE), 0.0, 0.0
 """)
 def roc_points(spark, folder):
     points = M.roc_points(rule_predictions(spark, folder))

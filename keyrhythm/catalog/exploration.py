@@ -185,6 +185,32 @@ def crosstab_chi2(spark, folder):
     )
 
 
+def _chi2_sql(feature: str, expression: str) -> str:
+    """Total chi-squared; for an even number of degrees of freedom its tail is a finite sum."""
+    return f"""
+SELECT '{feature}' AS feature, round(x + 1e-9, 6) + 0.0 AS chi2, CAST(df AS INTEGER) AS freedom,
+       round(exp(-x / 2) * list_sum(list_transform(range(CAST(df // 2 AS BIGINT)), lambda k: pow(x / 2, k) / factorial(CAST(k AS INTEGER))))
+             + 1e-9, 6) + 0.0 AS p
+FROM (SELECT sum((coalesce(n, 0) - e) * (coalesce(n, 0) - e) / e) AS x,
+             (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS df
+      FROM (SELECT a, b, r * c / t AS e FROM (SELECT a, count(*) AS r FROM ({expression}) GROUP BY a)
+            CROSS JOIN (SELECT b, count(*) AS c FROM ({expression}) GROUP BY b)
+            CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS t FROM ({expression})))
+      LEFT JOIN (SELECT a, b, count(*) AS n FROM ({expression}) GROUP BY a, b) USING (a, b))
+"""
+
+
+@query("chi2_scores", _chi2_sql("priority", "SELECT o_orderpriority AS a, o_orderstatus AS b FROM orders") + " UNION ALL " + _chi2_sql(
+    "year", "SELECT year(o_orderdate) AS a, o_orderstatus AS b FROM orders"
+))
+def chi2_scores(spark, folder):
+    rows = table(spark, folder, "orders").select(
+        F.col("o_orderpriority").alias("priority"), F.year("o_orderdate").alias("year"), "o_orderstatus"
+    )
+    out = explore.chi2_scores(rows, ["priority", "year"], "o_orderstatus")
+    return out.select("feature", rounded("chi2").alias("chi2"), "freedom", rounded("p").alias("p"))
+
+
 @query("mosaic_shares", """
 SELECT CAST(least(floor((p_size - l1) / (h1 - l1) * 4), 3) AS INTEGER) AS p_size_bin,
        CAST(least(floor((p_retailprice - l2) / (h2 - l2) * 4), 3) AS INTEGER) AS p_retailprice_bin,

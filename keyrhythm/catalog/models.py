@@ -176,7 +176,8 @@ def kbest_rank(spark, folder):
 @query("kbest_sweep")
 def kbest_sweep(spark, folder):
     rows = settled(labelled_documents(spark, folder))
-    return E.k_best_sweep(rows, FEATURES, "label", "doc_id", {"naive_bayes": C.naive_bayes(), "tree": C.tree(5)})
+    return E.k_best_sweep(rows, FEATURES, "label", "doc_id", {"naive_bayes": C.naive_bayes(), "tree": C.tree(5)},
+                          range(len(FEATURES), 1, -1))
 
 
 @query("grid_search")

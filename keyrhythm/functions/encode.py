@@ -9,21 +9,24 @@ from pyspark.sql import Column, DataFrame, functions as F
 from keyrhythm.functions.numeric import _col
 
 
-def recode(column: Column | str, codes: Mapping[str, int]) -> Column:
-    """Replace the listed texts by integers. Other values have no code and become NULL."""
+def recode(column: Column | str, codes: Mapping[str, int], others: str = "null") -> Column:
+    """Replace the listed texts by integers. Other values have no code and become NULL.
+
+    ``others="keep"`` leaves them unchanged; the column is then text, codes included.
+    """
     column = _col(column)
     out = None
     for text, code in codes.items():
         out = F.when(column == text, code) if out is None else out.when(column == text, code)
-    return out.cast("int")
+    return F.coalesce(out.cast("string"), column) if others == "keep" else out.cast("int")
 
 
-def true_false(column: Column | str) -> Column:
-    return recode(column, {"True": 1, "False": 0})
+def true_false(column: Column | str, others: str = "null") -> Column:
+    return recode(column, {"True": 1, "False": 0}, others)
 
 
-def yes_no(column: Column | str) -> Column:
-    return recode(column, {"Yes": 1, "No": 0})
+def yes_no(column: Column | str, others: str = "null") -> Column:
+    return recode(column, {"Yes": 1, "No": 0}, others)
 
 
 def null_unless_in(column: Column | str, allowed: Sequence) -> Column:
@@ -31,11 +34,6 @@ def null_unless_in(column: Column | str, allowed: Sequence) -> Column:
     return F.when(column.isin(list(allowed)), column)
 
 
-def keep_where(value: Column | str, category: Column | str, allowed: Sequence) -> Column:
-    """The value where its category is a known one, NULL elsewhere."""
-    return F.when(_col(category).isin(list(allowed)), _col(value))
-
-
 def indicators(column: str, levels: Sequence[str], prefix: str | None = None) -> list[Column]:
     """One 0/1 column per level, named ``<prefix>_<level>``; all levels are kept."""
     prefix = prefix or column
@@ -45,11 +43,9 @@ def indicators(column: str, levels: Sequence[str], prefix: str | None = None) ->
     ]
 
 
-def observed_levels(df: DataFrame, column: str, at_most: int = 1000) -> list[str]:
-    """The sorted levels of a categorical column. Refuses a column that is no category."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(at_most + 1).collect()
-    if len(rows) > at_most:
-        raise ValueError(f"{column} has more than {at_most} levels; name the levels instead")
+def observed_levels(df: DataFrame, column: str) -> list[str]:
+    """The sorted levels of a categorical column; each becomes a column of the encoded table."""
+    rows = df.select(column).where(F.col(column).isNotNull()).distinct().collect()
     return sorted(row[0] for row in rows)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -9,16 +10,19 @@ from pyspark.sql import Column, functions as F
 from keyrhythm.functions.numeric import _col
 
 
-def line_values(text: Column | str) -> Column:
-    """The value of every non-empty line: what follows the last ``': '``, trimmed."""
-    lines = F.filter(F.split(_col(text), "\r?\n"), lambda line: F.length(F.trim(line)) > 0)
-    return F.transform(lines, lambda line: F.trim(F.element_at(F.split(line, ": "), -1)))
+def profile_fields(text: Column | str, names: Sequence[str]) -> list[Column]:
+    """One text column per ``Key: value`` line, found by its key: what follows the last ``': '``, trimmed.
 
+    A key without a line gives NULL, one without a value an empty text.
+    """
+    lines = F.transform(F.split(_col(text), "\r?\n"), F.trim)
 
-def profile_fields(text: Column | str, names: Sequence[str]) -> list[Column]:
-    """One text column per expected line, in file order."""
-    values = line_values(text)
-    return [F.get(values, F.lit(i)).alias(name) for i, name in enumerate(names)]
+    def value(name: str) -> Column:
+        own = F.get(F.filter(lines, lambda line: line.startswith(f"{name}:")), F.lit(0))
+        told = F.regexp_replace(own, rf"^{re.escape(name)}:\s*", "")
+        return F.trim(F.element_at(F.split(told, ": "), -1))
+
+    return [value(name).alias(name) for name in names]
 
 
 def file_name(path: Column | str) -> Column:

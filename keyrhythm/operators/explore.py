@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.stat import ChiSquareTest
 from pyspark.sql import DataFrame, functions as F
 
 from keyrhythm.operators.profile import profile
@@ -61,6 +63,24 @@ def sieve(df: DataFrame, first: str, second: str) -> DataFrame:
     )
 
 
+def chi2_scores(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
+    """Rows (feature, chi2, freedom, p): independence of each categorical column from the label.
+
+    Rows with a NULL in the label or any of the columns are left out.
+    """
+    names = [*columns, label]
+    known = df.select(*[F.col(c).cast("string").alias(c) for c in names]).dropna()
+    coded = [f"_{c}" for c in names]
+    indexed = StringIndexer(inputCols=names, outputCols=coded).fit(known).transform(known)
+    rows = VectorAssembler(inputCols=coded[:-1], outputCol="_x").transform(indexed)
+    found = ChiSquareTest.test(rows, "_x", coded[-1], flatten=True)
+    feature = F.get(F.array(*[F.lit(c) for c in columns]), F.col("featureIndex"))
+    return found.select(
+        feature.alias("feature"), F.col("statistic").alias("chi2"), F.col("degreesOfFreedom").alias("freedom"),
+        F.col("pValue").alias("p"),
+    )
+
+
 def mosaic(df: DataFrame, first: str, second: str, label: str, bins: int = 4) -> DataFrame:
     """Share of each (bin of first, bin of second, class) in all rows with both values."""
     bounds = ranges(df, [first, second])

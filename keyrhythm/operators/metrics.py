@@ -98,12 +98,15 @@ def score_steps(predictions: DataFrame, groups: Sequence[str] = ()) -> DataFrame
 
 
 def roc_points(predictions: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    steps = score_steps(predictions, groups)
-    return steps.select(
-        *groups, F.col("score").alias("threshold"),
-        share(F.col("fp"), F.col("fp_total")).alias("fpr"),
-        share(F.col("tp"), F.col("tp_total")).alias("tpr"),
-    )
+    """Rows (threshold, fpr, tpr), one per distinct score, and the start (infinity, 0, 0)."""
+    def point(threshold: Column, fp: Column, tp: Column) -> Column:
+        return F.struct(threshold.cast("double").alias("threshold"), fp.alias("fpr"), tp.alias("tpr"))
+
+    own = point(F.col("score"), share(F.col("fp"), F.col("fp_total")), share(F.col("tp"), F.col("tp_total")))
+    start = point(F.lit(float("inf")), F.lit(0.0), F.lit(0.0))
+    highest = F.col("tp") + F.col("fp") == F.col("positives") + F.col("negatives")
+    points = F.explode(F.when(highest, F.array(start, own)).otherwise(F.array(own))).alias("_p")
+    return score_steps(predictions, groups).select(*groups, points).select(*groups, "_p.*")
 
 
 def ranking_scores(predictions: DataFrame, groups: Sequence[str] = ()) -> DataFrame:

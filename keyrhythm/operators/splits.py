@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from keyrhythm.functions.numeric import magnitude_bucket
 from keyrhythm.operators.prefix import positions
 
 
@@ -13,10 +12,24 @@ def shuffled_order(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
 
 
-def key_bucket(df: DataFrame, key: str) -> Column:
-    """A bucket that follows the order of the key: by magnitude, or by the first letters."""
-    kind = dict(df.dtypes)[key]
-    return F.substring(F.col(key), 1, 4) if kind == "string" else magnitude_bucket(key, bits=12)
+def key_bucket(df: DataFrame, key: str, parts: int = 128, per_part: int = 64) -> Column:
+    """A bucket number that follows the order of the key, whatever its type and values.
+
+    The borders are quantiles of ``parts * per_part`` randomly chosen keys, so the buckets are about
+    even. They decide only how the work is spread: every row is placed, NULL keys first.
+    """
+    chosen = df.select(key).where(F.col(key).isNotNull()).orderBy(F.rand(7)).limit(parts * per_part).orderBy(key)
+    sample = [row[0] for row in chosen.collect()]
+    places = sorted({len(sample) * i // parts for i in range(1, parts)} & set(range(len(sample))))
+    borders = [b for n, b in enumerate(sample[i] for i in places) if n == 0 or b != sample[places[n - 1]]]
+
+    def below(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(key) < F.lit(borders[middle]), below(low, middle)).otherwise(below(middle + 1, high))
+
+    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(below(0, len(borders)))
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_share: float = 0.4, seed: int = 0) -> DataFrame:
@@ -24,10 +37,11 @@ def stratified_split(df: DataFrame, key: str, label: str, test_share: float = 0.
 
     The hash is uniform, so its first three digits cut every label into 4096 even buckets.
     """
-    marked = df.withColumn("_order", shuffled_order(key, seed))
-    placed = positions(marked, [label], ["_order", key], F.substring("_order", 1, 3), "_at", "_of")
+    # Inside a struct a missing label is a group like any other.
+    marked = df.withColumn("_order", shuffled_order(key, seed)).withColumn("_label", F.struct(label))
+    placed = positions(marked, ["_label"], ["_order", key], F.substring("_order", 1, 3), "_at", "_of")
     wanted = F.floor(F.col("_of") * F.lit(test_share) + 0.5)
-    return placed.withColumn("is_test", (F.col("_at") <= wanted).cast("int")).drop("_order", "_at", "_of")
+    return placed.withColumn("is_test", (F.col("_at") <= wanted).cast("int")).drop("_label", "_order", "_at", "_of")
 
 
 def contiguous_folds(df: DataFrame, key: str, folds: int = 10) -> DataFrame:
@@ -45,5 +59,5 @@ def contiguous_folds(df: DataFrame, key: str, folds: int = 10) -> DataFrame:
 
 def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5) -> DataFrame:
     """Add ``fold``: every label is dealt over the folds in key order."""
-    placed = positions(df, [label], [key], key_bucket(df, key), "_at", "_of")
-    return placed.withColumn("fold", ((F.col("_at") - 1) % folds).cast("int")).drop("_at", "_of")
+    placed = positions(df.withColumn("_label", F.struct(label)), ["_label"], [key], key_bucket(df, key), "_at", "_of")
+    return placed.withColumn("fold", ((F.col("_at") - 1) % folds).cast("int")).drop("_label", "_at", "_of")

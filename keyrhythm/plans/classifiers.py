@@ -88,23 +88,20 @@ def naive_bayes() -> NaiveBayes:
     return NaiveBayes(modelType="gaussian")
 
 
-def line_up(rows: int, inputs: int, key: str = "key", effort: float = 1.0, k: int = 5) -> dict[str, Estimator]:
-    """All classifiers by name. ``effort`` scales the number of trees and rounds."""
-    def some(n: int) -> int:
-        return max(2, int(round(n * effort)))
-
-    depth = 30 if effort >= 1 else 5
+def line_up(rows: int, inputs: int, key: str = "key", k: int = 5, trees: int = 200, rounds: int = 200,
+            depth: int = 30, boosted_depth: int = 5, perceptron_rounds: int = 100) -> dict[str, Estimator]:
+    """All classifiers by name."""
     return {
         "logistic": logistic(rows),
         "neighbours": NearestNeighbours(k=k, keyCol=key),
         "tree": tree(depth),
-        "forest": forest(some(200), 5),
+        "forest": forest(trees, 5),
         "naive_bayes": naive_bayes(),
-        "boosted": boosted(some(200), 5 if effort >= 1 else 3),
+        "boosted": boosted(rounds, boosted_depth),
         "margin": linear_margin(rows),
-        "perceptron": perceptron(inputs, rounds=some(100)),
+        "perceptron": perceptron(inputs, rounds=perceptron_rounds),
         "discriminant": QuadraticDiscriminant(),
-        "adaboost": AdaBoost(rounds=some(200), rate=0.5),
+        "adaboost": AdaBoost(rounds=rounds, rate=0.5),
     }
 
 

@@ -91,11 +91,21 @@ def best_model(report: DataFrame, metric: str = "accuracy") -> DataFrame:
 
 def sweep(df: DataFrame, ordered: Sequence[str], counts: Sequence[int], label: str, key: str,
           models: dict[str, Estimator], test_share: float = 0.4) -> DataFrame:
-    """Rows (features, model, accuracy): each model on the first k of an ordered feature list."""
+    """Rows (features, model, accuracy): each model on the first k of an ordered feature list.
+
+    Rows are split once and columns are scaled once, since neither depends on k.
+    """
+    if max(counts) > len(ordered):
+        raise ValueError(f"cannot choose {max(counts)} of {len(ordered)} features")
+    split = settled(stratified_split(df.select(key, label, *ordered), key, label, test_share))
+    train, test = split.where("is_test = 0"), split.where("is_test = 1")
+    scaling = fit_scaling(train, ordered)
+    train, test = settled(scaling.apply(train)), settled(scaling.apply(test))
+    keep = [F.col(key).alias("key"), F.col(label).alias("label")]
     parts = []
     for k in counts:
-        train, test = split_and_scale(df, ordered[:k], label, key, test_share)
-        told = test_predictions(train, test, models)
+        chosen = ordered[:k]
+        told = test_predictions(assemble(train, chosen, keep), assemble(test, chosen, keep), models)
         parts.append(told.select(F.lit(int(k)).alias("features"), *told.columns))
     return accuracy(_stack(parts), ["features", "model"])
 
@@ -110,8 +120,7 @@ def elimination_sweep(df: DataFrame, columns: Sequence[str], label: str, key: st
 def k_best_sweep(df: DataFrame, columns: Sequence[str], label: str, key: str, models: dict[str, Estimator],
                  counts: Sequence[int] = tuple(range(15, 1, -1)), test_share: float = 0.3) -> DataFrame:
     order = [r["feature"] for r in ranked(anova_f(df, columns, label), "f_score").collect()]
-    usable = [k for k in counts if k <= len(order)]
-    return sweep(df, order, usable, label, key, models, test_share)
+    return sweep(df, order, counts, label, key, models, test_share)
 
 
 def grid_search(df: DataFrame, estimator: Estimator, grid: list[dict], key: str = "key", folds: int = 5) -> DataFrame:

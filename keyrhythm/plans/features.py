@@ -9,6 +9,7 @@ from keyrhythm.functions.encode import null_unless_in, one_hot, true_false
 from keyrhythm.operators.filters import inside, keys_of, large_groups, mild_or_untreated, semi_join_spread
 from keyrhythm.operators.impute import handle_missing, negatives_to_mean
 from keyrhythm.operators.profile import observations, profile, widen
+from keyrhythm.session import cut_lineage
 from keyrhythm.sources.files import typed_keystrokes
 
 
@@ -55,7 +56,8 @@ def feature_tables(profiles: DataFrame, keystrokes: DataFrame, config: FeatureCo
     In ``both`` a user needs a valid hold row; latency columns may be missing.
     """
     cohort = clean_profiles(users_with_logs(profiles, keystrokes), config)
-    stats = statistics(valid_keystrokes(keystrokes, cohort, config), config)
+    # Settled once, so that the log is read for one set of statistics and not for each of the tables.
+    stats = cut_lineage(statistics(valid_keystrokes(keystrokes, cohort, config), config))
     needed = list(dict.fromkeys([*config.stats, *(["mean"] if config.differences else [])]))
     parts = {
         "both": (config.measures, "hold_time", None),

@@ -142,7 +142,7 @@ def test_report_of_models(spark, blobs):
 
 def test_every_classifier_fits(spark, blobs):
     rows = features(blobs)
-    for name, model in C.line_up(240, 3, effort=0.02).items():
+    for name, model in C.line_up(240, 3, trees=4, rounds=4, depth=5, boosted_depth=3, perceptron_rounds=2).items():
         assert C.predictions(model.fit(rows), rows).where("prediction IS NOT NULL").count() == 240, name
 
 

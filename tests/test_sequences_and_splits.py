@@ -10,7 +10,7 @@ from keyrhythm.functions.keys import hand_of
 from keyrhythm.functions.numeric import magnitude_bucket
 from keyrhythm.operators.prefix import positions, running_totals
 from keyrhythm.operators.sequence import keystrokes_from_key_events, latencies, with_previous
-from keyrhythm.operators.splits import contiguous_folds, stratified_folds, stratified_split
+from keyrhythm.operators.splits import contiguous_folds, key_bucket, stratified_folds, stratified_split
 
 START = dt.datetime(2024, 1, 1, 10, 0, 0)
 
@@ -138,3 +138,20 @@ def test_stratified(spark):
     folds = stratified_folds(df, "key", "label", 5).groupBy("label", "fold").count().collect()
     ones = [r["count"] for r in folds if r["label"] == 1]
     assert ones == [6] * 5
+
+
+@pytest.mark.parametrize("key", ["user_{:014d}", 1_700_000_000_000, "2024"])
+def test_key_buckets_follow_any_key(spark, key):
+    """Long common prefixes, large numbers and dates are spread alike; NULL keys stay."""
+    number = F.col("id")
+    value = F.concat(F.lit("user_"), F.lpad(number.cast("string"), 14, "0")) if key == "user_{:014d}" else (
+        number + F.lit(key) if isinstance(key, int) else F.date_add(F.lit(dt.date(2024, 1, 1)), number.cast("int")))
+    df = spark.range(20_000).select(value.alias("key"), (number % 3).alias("label"))
+    df = df.unionByName(spark.range(2).select(F.lit(None).cast(df.schema["key"].dataType).alias("key"), F.lit(None).cast("bigint").alias("label")))
+    sizes = df.groupBy(key_bucket(df, "key").alias("b")).agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    sizes = sizes.orderBy("b").collect()
+    assert len(sizes) > 100 and max(r["n"] for r in sizes) < 600
+    assert all(a["hi"] < b["lo"] for a, b in zip(sizes[1:], sizes[2:]))
+    assert contiguous_folds(df, "key", 10).groupBy("fold").count().agg(F.sum("count"), F.max("count")).first()[:] == (20_002, 2001)
+    assert stratified_folds(df, "key", "label", 5).count() == 20_002
+    assert stratified_split(df.where("key IS NOT NULL"), "key", "label").count() == 20_000
