@@ -15,7 +15,7 @@ def profile_fields(text: Column | str, names: Sequence[str]) -> list[Column]:
 
     A key without a line gives NULL, one without a value an empty text.
     """
-    lines = F.transform(F.split(_col(text), "\r?\n"), F.trim)
+    lines = F.transform(F.split(_col(text), "\r?\n"), lambda line: F.trim(line))
 
     def value(name: str) -> Column:
         own = F.get(F.filter(lines, lambda line: line.startswith(f"{name}:")), F.lit(0))
