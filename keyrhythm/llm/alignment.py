@@ -29,8 +29,8 @@ from keyrhythm.llm.common import written
 from keyrhythm.llm.registry import query, table
 
 TOKENIZERS = "/opt/tokenizers"
-#: Characters of text that are aligned at a time; a longer text is aligned alone.
-CHUNK = 1 << 22
+#: Bytes of text that are aligned at a time; a longer text is aligned alone.
+CHUNK = 1 << 20
 #: The split pattern of the byte-level vocabulary, and the mark for a space in pieces.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MARK = "▁"
@@ -196,16 +196,16 @@ def align_chunk(texts: list[str], left: ByteTokenizer, right: PieceTokenizer, to
     return [*map(pa.array, columns.values()), pa.array(digests, pa.string()), pa.ListArray.from_arrays(offsets, pairs)]
 
 
-def chunked(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``CHUNK`` characters."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > CHUNK:
+def chunked(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``CHUNK`` bytes."""
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if held and held + size > CHUNK:
             yield start, i
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def align_texts(docs: DataFrame, folder: str, byte_file: str, piece_file: str) -> DataFrame:
@@ -216,9 +216,12 @@ def align_texts(docs: DataFrame, folder: str, byte_file: str, piece_file: str) -
         left, right, told = tokenizers(folder, byte_file, piece_file)
         names = ["_row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"]
         for batch in batches:
-            texts = [t or "" for t in batch.column("_text").to_pylist()]
-            for start, end in chunked(texts):
-                yield pa.RecordBatch.from_arrays([batch.column("_row")[start:end], *align_chunk(texts[start:end], left, right, told)], names=names)
+            column = batch.column("_text")
+            for start, end in chunked(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+                texts = [t or "" for t in column[start:end].to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("_row")[start:end], *align_chunk(texts, left, right, told)], names=names)
+                # What a chunk needed is given back to the machine, not kept for the next one.
+                pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(align, f"_row {kind}, {ALIGNED}")
 

@@ -106,7 +106,7 @@ def test_odd_and_empty_tables(spark, vendors):
 
 def test_texts_are_taken_whole_in_chunks(monkeypatch):
     monkeypatch.setattr(alignment, "CHUNK", 10)
-    assert list(chunked(["a" * 4, "b" * 7, "", "c" * 30, "d"])) == [(0, 1), (1, 3), (3, 4), (4, 5)]
+    assert list(chunked([4, 7, 0, 30, 1])) == [(0, 1), (1, 3), (3, 4), (4, 5)]
     assert list(chunked([])) == []
 
 
