@@ -6,6 +6,7 @@ from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
+from keyrhythm.catalog import modelsql as Q
 from keyrhythm.catalog.documents import DOCUMENTS_SQL, FEATURES, labelled_documents
 from keyrhythm.catalog.exploration import ANOVA_SQL
 from keyrhythm.catalog.registry import query, table
@@ -13,13 +14,17 @@ from keyrhythm.functions.numeric import rounded
 from keyrhythm.operators import explore
 from keyrhythm.operators.boosting import AdaBoost
 from keyrhythm.operators.gaussian import QuadraticDiscriminant
-from keyrhythm.operators.neighbours import nearest_neighbours, neighbour_vote
+from keyrhythm.operators.neighbours import NearestNeighbours, ProjectionIndex, nearest_neighbours, neighbour_vote
 from keyrhythm.operators.scaling import assemble
 from keyrhythm.operators.selection import anova_f, importance_table, ranked, recursive_elimination
 from keyrhythm.operators.splits import stratified_split
 from keyrhythm.plans import classifiers as C
 from keyrhythm.plans import evaluate as E
-from keyrhythm.session import settled
+from keyrhythm.session import new_folder, settled
+from keyrhythm.sources.models import fit_pipeline, load_pipeline, save_model
+
+#: Rounds of the boosted models in the report, of which six are fitted each.
+REPORT_ROUNDS = 50
 
 
 def _split(spark, folder):
@@ -54,7 +59,7 @@ def rf_predict(spark, folder):
 
 @query("gbt_predict")
 def gbt_predict(spark, folder):
-    return _told(spark, folder, lambda train: C.boosted(20, 5))
+    return _told(spark, folder, lambda train: C.boosted(200, 5))
 
 
 @query("svm_predict")
@@ -69,7 +74,7 @@ def mlp_predict(spark, folder):
 
 @query("adaboost_predict")
 def adaboost_predict(spark, folder):
-    return _told(spark, folder, lambda train: AdaBoost(rounds=10, rate=0.5))
+    return _told(spark, folder, lambda train: AdaBoost(rounds=200, rate=0.5))
 
 
 BAYES_SQL = f"""
@@ -131,38 +136,197 @@ def knn_predict(spark, folder):
     return told.select("vec_id", "label", neighbour_vote(F.col("neighbours")).alias("prediction"))
 
 
-def _few(rows: int) -> dict:
-    return {"logistic": C.logistic(rows), "tree": C.tree(5), "naive_bayes": C.naive_bayes()}
+#: Two features with few values each, on which SQL can state every classifier below.
+FEW = ["few_lines", "few_digits"]
+FEW_SQL = f"SELECT doc_id, label, least(lines, 20) AS few_lines, least(digits, 20) AS few_digits FROM ({DOCUMENTS_SQL})"
+
+
+def _few(spark, folder):
+    rows = labelled_documents(spark, folder).select(
+        "doc_id", "label", F.least("lines", F.lit(20.0)).alias("few_lines"), F.least("digits", F.lit(20.0)).alias("few_digits"))
+    return settled(rows)
+
+
+def _members() -> dict:
+    return {"bayes": C.naive_bayes(), "discriminant": QuadraticDiscriminant(), "neighbours": NearestNeighbours(5)}
+
+
+MEMBERS_SQL = f"{Q.bayes(2)}, {Q.discriminant()}, {Q.neighbours(2)}"
+
+
+@query("adaboost_stumps", f"""
+WITH {Q.cases(FEW_SQL, "doc_id", FEW, "all")}, {Q.stumps(2, 0.5, 2)}
+SELECT key, CAST(prediction AS INTEGER) AS prediction FROM ({Q.predicted("boosted")})
+""")
+def adaboost_stumps(spark, folder):
+    """Two rounds of stumps: the reweighting and the second stump are those of the rule."""
+    rows = assemble(_few(spark, folder), FEW, [F.col("doc_id").alias("key"), "label"])
+    return C.predictions(AdaBoost(rounds=2, rate=0.5, maxDepth=1).fit(rows), rows).select("key", "prediction")
+
+
+def _vote_rows(spark, folder, how):
+    rows = assemble(_few(spark, folder), FEW, [F.col("doc_id").alias("key"), "label"])
+    model = C.hard_vote(_members()) if how == "hard" else C.soft_vote(_members())
+    return C.predictions(model.fit(rows), rows).select("key", "prediction")
 
 
-@query("cv_accuracy")
+HARD_SQL = f"""SELECT key, prediction FROM (
+  SELECT key, prediction, count(*) AS n FROM (
+    {Q.predicted("bayes")} UNION ALL {Q.predicted("discriminant")} UNION ALL {Q.predicted("neighbours")}) GROUP BY key, prediction)
+QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, prediction) = 1"""
+
+
+@query("voting_hard", f"""
+WITH {Q.cases(FEW_SQL, "doc_id", FEW, "all")}, {MEMBERS_SQL}
+SELECT key, CAST(prediction AS INTEGER) AS prediction FROM ({HARD_SQL})
+""")
+def voting_hard(spark, folder):
+    """Three fitted classifiers and the majority of their labels."""
+    return _vote_rows(spark, folder, "hard")
+
+
+@query("voting_soft", f"""
+WITH {Q.cases(FEW_SQL, "doc_id", FEW, "all")}, {MEMBERS_SQL}
+SELECT key, CAST(class AS INTEGER) AS prediction FROM (
+  SELECT key, class, sum(p) AS p FROM (
+    {Q.probabilities("bayes")} UNION ALL {Q.probabilities("discriminant")} UNION ALL SELECT held, key, label, class, score AS p FROM neighbours)
+  GROUP BY key, class)
+QUALIFY row_number() OVER (PARTITION BY key ORDER BY round(p, 9) DESC, class) = 1
+""")
+def voting_soft(spark, folder):
+    """Three fitted classifiers and the mean of their probabilities."""
+    return _vote_rows(spark, folder, "soft")
+
+
+def _reloaded(spark, rows, models: dict):
+    """Predictions of pipelines that were fitted, saved and loaded again."""
+    parts = []
+    for name, model in models.items():
+        path = new_folder(spark, f"model-{name}")
+        save_model(fit_pipeline(rows, FEW, model), path)
+        told = C.predictions(load_pipeline(path), rows.withColumn("key", F.col("doc_id")))
+        parts.append(told.select(F.lit(name).alias("model"), "key", "prediction", rounded("score").alias("score")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query("own_model_reload", f"""
+WITH {Q.cases(FEW_SQL, "doc_id", FEW, "all")}, {MEMBERS_SQL}, {Q.stumps(2, 0.5, 2)}, told AS (
+SELECT 'discriminant' AS model, key, prediction FROM ({Q.predicted("discriminant")})
+UNION ALL SELECT 'neighbours', key, prediction FROM ({Q.predicted("neighbours")})
+UNION ALL SELECT 'voting', key, prediction FROM ({HARD_SQL})
+UNION ALL SELECT 'adaboost', key, prediction FROM ({Q.predicted("boosted")}))
+SELECT model, key, CAST(prediction AS INTEGER) AS prediction FROM told
+""")
+def own_model_reload(spark, folder):
+    """The library's own models after a round trip through files, each inside a pipeline."""
+    rows = _few(spark, folder).withColumn("key", F.col("doc_id"))
+    models = {"discriminant": QuadraticDiscriminant(), "neighbours": NearestNeighbours(5), "voting": C.hard_vote(_members()),
+              "adaboost": AdaBoost(rounds=2, rate=0.5, maxDepth=1)}
+    return _reloaded(spark, rows, models).drop("score")
+
+
+@query("margin_reload")
+def margin_reload(spark, folder):
+    rows = _few(spark, folder).withColumn("key", F.col("doc_id"))
+    return _reloaded(spark, rows, {"margin": C.linear_margin(rows.count())})
+
+
+@query("cv_accuracy", f"""
+WITH {Q.cases(DOCUMENTS_SQL, "doc_id", FEATURES, "blocks:10")}, {Q.bayes(len(FEATURES))},
+a AS (SELECT held, avg(CAST(label = prediction AS DOUBLE)) AS a FROM ({Q.predicted("bayes")}) GROUP BY held)
+SELECT 'naive_bayes' AS model, round(avg(a) + 1e-9, 6) + 0.0 AS cv_mean, round(stddev_pop(a) + 1e-9, 6) + 0.0 AS cv_std FROM a
+""")
 def cv_accuracy(spark, folder):
-    rows = _assembled(spark, folder)
-    return E.cross_validate(rows, {"naive_bayes": C.naive_bayes()}, folds=10)
+    told = E.cross_validate(_assembled(spark, folder), {"naive_bayes": C.naive_bayes()}, folds=10)
+    return told.select("model", rounded("cv_mean").alias("cv_mean"), rounded("cv_std").alias("cv_std"))
 
 
 @query("model_report")
 def model_report(spark, folder):
+    """The whole line-up of classifiers: split, scaled and cross-validated."""
     rows = settled(labelled_documents(spark, folder))
-    return E.evaluate_models(rows, FEATURES, "label", "doc_id", _few(rows.count()))
+    return E.evaluate_models(rows, FEATURES, "label", "doc_id", C.line_up(rows.count(), len(FEATURES), rounds=REPORT_ROUNDS), by_label=True)
 
 
-@query("best_model")
+@query("model_report_all_rows")
+def model_report_all_rows(spark, folder):
+    """Ten contiguous folds of all rows, unscaled, for the classifiers that fit in one pass or a few."""
+    rows = settled(labelled_documents(spark, folder))
+    chosen = ("logistic", "neighbours", "tree", "naive_bayes", "discriminant")
+    line_up = C.line_up(rows.count(), len(FEATURES))
+    return E.evaluate_models(rows, FEATURES, "label", "doc_id", {m: line_up[m] for m in chosen}, folds=10, cv_on="all")
+
+
+BEST_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS model, avg(CAST(label = prediction AS DOUBLE)) AS value FROM ({Q.predicted(name)})" for name in ("bayes", "discriminant", "neighbours"))
+
+
+@query("best_model", f"""
+WITH {Q.cases(FEW_SQL, "doc_id", FEW, "split:0.4")}, {MEMBERS_SQL}
+SELECT model, 'accuracy' AS metric, round(value + 1e-9, 6) + 0.0 AS value FROM ({BEST_SQL}) ORDER BY round(value, 9) DESC, model LIMIT 1
+""")
 def best_model(spark, folder):
-    train, test = _split(spark, folder)
-    return E.best_model(E.model_metrics(E.test_predictions(train, test, _few(train.count()))))
+    train, test = E.split_and_scale(_few(spark, folder), FEW, "label", "doc_id", scale=False)
+    best = E.best_model(E.model_metrics(E.test_predictions(train, test, _members())))
+    return best.select("model", "metric", rounded("value").alias("value"))
+
+
+WIDTH = 6
+VECTORS_SQL = "SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}] AS e{i}" for i in range(WIDTH)) + " FROM embeddings"
+
+
+@query("test_and_score", f"""
+WITH {Q.cases(VECTORS_SQL, "vec_id", [f"e{i}" for i in range(WIDTH)], "dealt:5")}, {Q.bayes(WIDTH)},
+told AS ({Q.predicted("bayes")}), probable AS ({Q.probabilities("bayes")}),
+classes AS (SELECT DISTINCT held, label AS class FROM told),
+cells AS (SELECT held, c.class, count(*) FILTER (WHERE label = c.class) AS support, count(*) FILTER (WHERE prediction = c.class) AS predicted,
+                 count(*) FILTER (WHERE label = c.class AND prediction = c.class) AS hits FROM told JOIN classes c USING (held) GROUP BY held, c.class),
+scores AS (SELECT held, avg(CASE WHEN predicted = 0 THEN 0 ELSE hits / predicted END) AS precision, avg(hits / support) AS recall,
+                  avg(2 * hits / (support + predicted)) AS f1 FROM cells GROUP BY held),
+ranked AS (SELECT held, class, p AS score, label = class AS hit FROM probable SEMI JOIN classes USING (held, class)),
+aucs AS (SELECT held, avg(auc) AS auc FROM ({Q.auc("ranked", "held, class")}) GROUP BY held),
+wide AS (SELECT held, (SELECT avg(CAST(label = prediction AS DOUBLE)) FROM told t WHERE t.held = s.held) AS accuracy, auc, f1, precision, recall
+         FROM scores s JOIN aucs USING (held))
+SELECT 'naive_bayes' AS model, CAST(held AS INTEGER) AS fold, metric, round(value + 1e-9, 6) + 0.0 AS value
+FROM wide UNPIVOT (value FOR metric IN (accuracy, auc, f1, precision, recall))
+""")
+def test_and_score(spark, folder):
+    """Ten classes over five folds: accuracy, and AUC, precision, recall and F1 averaged over the classes."""
+    rows = table(spark, folder, "embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(WIDTH)])
+    rows = assemble(settled(rows), [f"e{i}" for i in range(WIDTH)], [F.col("vec_id").alias("key"), "label"])
+    told = E.test_and_score(rows, {"naive_bayes": C.naive_bayes()}, folds=5)
+    return told.select("model", "fold", "metric", rounded("value").alias("value"))
+
+
+@query("knn_index_recall")
+def knn_index_recall(spark, folder):
+    """The projection index tuned to a recall of 0.9, and what it finds of the exact neighbours of all queries."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    split = settled(stratified_split(vectors, "vec_id", "label"))
+    train, asked = split.where("is_test = 0"), split.where("is_test = 1")
+    index = ProjectionIndex(train, "vec_id", "x", "label", bucket_rows=64).tune(asked, 5)
+    found = index.search(asked, 5).select("vec_id", F.col("neighbours.neighbour").alias("found"))
+    exact = nearest_neighbours(train, asked, 5, "vec_id", "x", "label").select("vec_id", F.col("neighbours.neighbour").alias("exact"))
+    both = found.join(exact, "vec_id").agg(
+        F.sum(F.size(F.array_intersect("found", "exact"))).alias("hits"), F.sum(F.size("exact")).alias("wanted"))
+    return both.select(F.lit(2 ** index.planes.normals.shape[1]).alias("buckets"), F.lit(index.probes).alias("probes"),
+                       rounded(F.lit(index.measured)).alias("tuned"), rounded(F.col("hits") / F.col("wanted")).alias("recall"))
 
 
 @query("rfe_rank")
 def rfe_rank(spark, folder):
-    ranks = recursive_elimination(settled(labelled_documents(spark, folder)), FEATURES, "label", C.forest(20, 5).fit)
+    ranks = recursive_elimination(settled(labelled_documents(spark, folder)), FEATURES, "label", C.forest(100, 5).fit)
     return spark.createDataFrame(sorted(ranks.items(), key=lambda r: r[1]), "feature string, rank int")
 
 
 @query("rfe_sweep")
 def rfe_sweep(spark, folder):
+    """The whole list of feature counts, on the split and over folds."""
     rows = settled(labelled_documents(spark, folder))
-    return E.elimination_sweep(rows, FEATURES, "label", "doc_id", C.forest(10, 5), {"tree": C.tree(5)}, [4, 3, 2])
+    return E.elimination_sweep(rows, FEATURES, "label", "doc_id", C.forest(100, 5), {"tree": C.tree(5)}, range(len(FEATURES), 0, -1), folds=3)
 
 
 @query("kbest_rank", f"""
@@ -177,7 +341,7 @@ def kbest_rank(spark, folder):
 def kbest_sweep(spark, folder):
     rows = settled(labelled_documents(spark, folder))
     return E.k_best_sweep(rows, FEATURES, "label", "doc_id", {"naive_bayes": C.naive_bayes(), "tree": C.tree(5)},
-                          range(len(FEATURES), 1, -1))
+                          range(len(FEATURES), 1, -1), folds=3)
 
 
 @query("grid_search")

@@ -8,6 +8,7 @@ from keyrhythm.catalog import sqltext
 from keyrhythm.catalog.registry import query, table
 from keyrhythm.functions.encode import indicators
 from keyrhythm.functions.numeric import rounded, to_number
+from keyrhythm.operators import sketch
 from keyrhythm.operators.filters import inside
 from keyrhythm.operators.impute import fill_with_group_mean
 from keyrhythm.operators.profile import ALL_STATS, Difference, Measure, observations, profile, wide_profile
@@ -169,7 +170,7 @@ DIFFERENCE = Difference("click_view_mean_difference", "latency_time", "click_vie
 def events_with_latency(spark, folder) -> DataFrame:
     rows = table(spark, folder, "events").select("event_id", "user_id", "event_type", "value", "ts")
     seen = latencies(
-        rows, "user_id", "ts", "event_type", ["ts", "event_id"], F.date_trunc("day", "ts"), separator="_"
+        rows, "user_id", "ts", "event_type", ["ts", "event_id"], separator="_"
     )
     return seen.withColumn("latency_s", F.col("latency_ms") / 1000.0).where(
         inside(["value"], 200.0) & inside(["latency_s"], 100000.0)
@@ -256,3 +257,30 @@ def select_optimal(spark, folder):
 
 
 assert set(STATS) == set(ALL_STATS)
+
+
+def _rank_flags(df, keys, quartiles=(("q1", 0.25), ("median", 0.5), ("q3", 0.75))):
+    """Whether each sketched quartile's true rank is as near as stated. ``df`` has the rows and their group's quartiles."""
+    far = 2 * sketch.rank_error()
+    n = F.count("*")
+    flags = []
+    for name, p in quartiles:
+        below, upto = F.sum((F.col("value") < F.col(name)).cast("bigint")), F.sum((F.col("value") <= F.col(name)).cast("bigint"))
+        flags.append(((below / n <= p + far) & (upto / n >= p - far)).alias(f"{name}_near"))
+    return df.groupBy(*keys).agg(*flags)
+
+
+@query("sketched_profile", f"""
+SELECT l_returnflag, count(*) AS count, {_price_sql(["mean", "amax", "amin", "var", "std", "skew", "kurtosis"])},
+       true AS q1_near, true AS median_near, true AS q3_near
+FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R') GROUP BY l_returnflag
+""")
+def sketched_profile(spark, folder):
+    """Statistics from mergeable sketches: states by ship year, merged. Moments are exact, quartiles within the stated rank error."""
+    rows = table(spark, folder, "lineitem").where(F.col("l_returnflag").isin("A", "N", "R")).select(
+        "l_returnflag", F.year("l_shipdate").alias("year"), F.col("l_extendedprice").alias("value"))
+    merged = sketch.merged_states(sketch.states(rows, ["l_returnflag", "year"]), ["l_returnflag"])
+    told = sketch.statistics(merged, ["l_returnflag"])
+    near = _rank_flags(rows.join(F.broadcast(told.select("l_returnflag", "q1", "median", "q3")), "l_returnflag"), ["l_returnflag"])
+    kept = ["mean", "amax", "amin", "var", "std", "skew", "kurtosis"]
+    return told.select("l_returnflag", "count", *_price_stats(kept)).join(near, "l_returnflag")

@@ -1,7 +1,7 @@
-"""Raw profile texts and keystroke logs to the feature tables, in every variant.
+"""Raw profile files and keystroke logs to the feature tables, in every variant.
 
-A customer is a user with a profile text; an event is a line of the user's log, written as tab-separated
-text and read again.
+A customer is a user with a profile file; an event is a line of the user's log file. Both are written
+under the recorder's names and read back with the readers of the raw formats.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from keyrhythm.catalog import sqltext
 from keyrhythm.catalog.registry import query, table
 from keyrhythm.config import KEYSTROKE_FIELDS, LEVELS, PROFILE_FIELDS, VARIANTS
 from keyrhythm.functions.numeric import rounded
-from keyrhythm.functions.text import profile_fields
 from keyrhythm.plans.features import feature_tables
 from keyrhythm.session import new_folder
-from keyrhythm.sources.files import KEYSTROKE_SCHEMA, read_tsv_table, write_table
+from keyrhythm.sources.files import list_files, read_keystrokes, read_profiles, typed_keystrokes
+from keyrhythm.sources.raw import write_log_files, write_profile_files
 
 MORE_THAN = 50
 
@@ -37,7 +37,9 @@ def profiles(spark, folder):
     texts = table(spark, folder, "customer").select(
         F.lpad(key.cast("string"), 10, "0").alias("user_id"), F.concat(*lines).alias("text")
     )
-    return texts.select("user_id", *profile_fields("text", PROFILE_FIELDS))
+    path = new_folder(spark, "users")
+    write_profile_files(texts, path)
+    return read_profiles(spark, path)
 
 
 def keystrokes(spark, folder):
@@ -46,15 +48,17 @@ def keystrokes(spark, folder):
         F.col("event_type") == "purchase", "S").otherwise("X")
     later = F.when(n % 3 == 0, "L").when(n % 3 == 1, "R").otherwise("S")
     told = {
-        "user_id": F.lpad(F.col("user_id").cast("string"), 10, "0"), "Date": F.lit("160801"),
+        "user_id": F.lpad(F.col("user_id").cast("string"), 10, "0"),
+        "Date": F.when(n % 2 == 0, "160801").otherwise("160902"),
         "Timestamp": F.lit("10:00:00.000"), "Hand": hand, "Direction": F.concat(hand, later),
         "Hold time": F.concat(F.floor(F.col("value") * 25).cast("string"), F.lit(".5")),
         "Latency time": F.when(n % 97 == 0, "1C").otherwise((n * 7919 % 3500).cast("string")),
         "Flight time": F.lit("0100.0"),
     }
     path = new_folder(spark, "logs")
-    write_table(table(spark, folder, "events").select(*[told[c].alias(c) for c in KEYSTROKE_FIELDS]), path, "tsv")
-    return read_tsv_table(spark, path, KEYSTROKE_SCHEMA).withColumn("file_id", F.col("user_id"))
+    rows = table(spark, folder, "events").select(*[told[c].alias(c) for c in KEYSTROKE_FIELDS], "event_id")
+    write_log_files(rows, path, KEYSTROKE_FIELDS, ["event_id"])
+    return read_keystrokes(spark, path)
 
 
 RAW_SQL = f"""
@@ -113,3 +117,26 @@ for _variant in VARIANTS:
     _register(_variant, "both")
 _register("wide", "hold")
 _register("wide", "latency")
+
+
+@query("raw_file_list", """
+SELECT 'User_' || lpad(CAST(c_custkey AS VARCHAR), 10, '0') || '.txt' AS file, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS user_id,
+       CAST(row_number() OVER (ORDER BY c_custkey) AS BIGINT) AS place FROM customer
+""")
+def raw_file_list(spark, folder):
+    """The sorted list of profile files with the id of each."""
+    texts = table(spark, folder, "customer").select(F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("user_id"), F.lit("Gender: Male\r\n").alias("text"))
+    path = new_folder(spark, "users")
+    write_profile_files(texts, path)
+    return list_files(spark, path)
+
+
+@query("raw_keystrokes", """
+SELECT lpad(CAST(user_id AS VARCHAR), 10, '0') AS file_id, CASE event_id % 2 WHEN 0 THEN '160801' ELSE '160902' END AS "Date",
+       CAST(floor(value * 25) + 0.5 AS DOUBLE) AS hold, CASE WHEN event_id % 97 <> 0 THEN CAST(event_id * 7919 % 3500 AS DOUBLE) END AS latency
+FROM events
+""")
+def raw_keystrokes(spark, folder):
+    """Log files read back: the id of the file name, and times of which corrupt ones are missing."""
+    rows = typed_keystrokes(keystrokes(spark, folder))
+    return rows.select("file_id", "Date", F.col("Hold time").alias("hold"), F.col("Latency time").alias("latency"))

@@ -19,7 +19,7 @@ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 def _seen(spark, folder, pairs="sliding"):
     rows = table(spark, folder, "events").select("event_id", "user_id", "event_type", "ts")
     return latencies(
-        rows, "user_id", "ts", "event_type", ["ts", "event_id"], F.date_trunc("day", "ts"), pairs, separator="_"
+        rows, "user_id", "ts", "event_type", ["ts", "event_id"], pairs=pairs, separator="_"
     )
 
 

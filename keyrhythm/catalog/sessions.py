@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from keyrhythm.catalog import sqltext
+from keyrhythm.catalog import modelsql, sqltext
 from keyrhythm.catalog.registry import query, table
 from keyrhythm.config import CHOSEN_FEATURES, FOUR_DIRECTIONS, FeatureConfig
 from keyrhythm.functions.numeric import rounded, to_number
+from keyrhythm.operators.gaussian import QuadraticDiscriminant
 from keyrhythm.operators.profile import Measure
 from keyrhythm.plans.classifiers import tree
 from keyrhythm.plans.scoring import explode_sessions, score_sessions, session_features, session_statistics
@@ -118,12 +119,12 @@ def features(spark, folder):
     return out.select("session_id", *[rounded(c, 5).alias(c) for c in CHOSEN_FEATURES])
 
 
-def fitted_session_model(spark, folder):
-    """A tree over the chosen features, fitted on the sessions whose documents have labels."""
+def fitted_session_model(spark, folder, classifier=None, columns=tuple(CHOSEN_FEATURES)):
+    """A classifier (a tree, if none is given) over chosen features, fitted on the sessions whose documents have labels."""
     labels = table(spark, folder, "labels").select(F.col("doc_id").cast("string").alias("session_id"), F.col("quality").alias("label"))
     known = sessions(spark, folder).join(labels, "session_id", "left_semi")
     rows = settled(session_features(known).join(labels, "session_id"))
-    return fit_pipeline(rows, CHOSEN_FEATURES, tree(5))
+    return fit_pipeline(rows, list(columns), classifier or tree(5))
 
 
 @query("session_score")
@@ -131,17 +132,35 @@ def session_score(spark, folder):
     return score_sessions(sessions(spark, folder), fitted_session_model(spark, folder))
 
 
-@query("model_reload", "SELECT CAST(doc_id AS VARCHAR) AS session_id, 1 AS same FROM documents")
+#: Two features on which SQL can state the discriminant.
+SCORED = ("mean_L_hold_time", "mean_LR_latency_time")
+
+
+def fitted_discriminant(spark, folder):
+    return fitted_session_model(spark, folder, QuadraticDiscriminant(), SCORED)
+
+
+DISCRIMINANT_SQL = f"""
+WITH {KEYS_SQL}, {_filled_sql()},
+f AS (SELECT CAST(doc_id AS VARCHAR) AS key, {", ".join(f"CAST(coalesce({_cell_sql(c)}, 0) AS DOUBLE) AS x{i}" for i, c in enumerate(SCORED))}
+      FROM documents LEFT JOIN filled ON session_id = CAST(doc_id AS VARCHAR) GROUP BY doc_id),
+cases AS (SELECT 0 AS held, key, quality AS label, x0, x1, false AS test FROM f JOIN labels ON key = CAST(doc_id AS VARCHAR)
+          UNION ALL SELECT 0, key, NULL, x0, x1, true FROM f), {modelsql.discriminant()}
+SELECT key AS session_id, CAST(prediction AS INTEGER) AS prediction FROM ({modelsql.predicted("discriminant")})
+"""
+
+
+@query("session_score_discriminant", DISCRIMINANT_SQL)
+def session_score_discriminant(spark, folder):
+    return score_sessions(sessions(spark, folder), fitted_discriminant(spark, folder))
+
+
+@query("model_reload", DISCRIMINANT_SQL)
 def model_reload(spark, folder):
-    model = fitted_session_model(spark, folder)
+    """What the model tells after it was saved and loaded again."""
     path = new_folder(spark, "model")
-    save_model(model, path)
-    rows = session_features(sessions(spark, folder))
-    before = model.transform(rows).select("session_id", F.col("prediction").alias("before"))
-    after = load_pipeline(path).transform(rows).select("session_id", F.col("prediction").alias("after"))
-    return before.join(after, "session_id").select(
-        "session_id", (F.col("before") == F.col("after")).cast("int").alias("same")
-    )
+    save_model(fitted_discriminant(spark, folder), path)
+    return score_sessions(sessions(spark, folder), load_pipeline(path))
 
 
 @query("session_flight", f"""

@@ -45,6 +45,9 @@ class FeatureConfig:
     differences: tuple[Difference, ...] = ()
     missing: str = "keep"
     degenerate: str = "null"
+    #: Exact quartiles, or ones from a sketch of ``sketch_size`` that needs a single shuffle.
+    exact: bool = True
+    sketch_size: int = 400
     negatives: str = "drop"
     levels: dict = field(default_factory=lambda: dict(LEVELS))
 

@@ -50,13 +50,10 @@ def sieve(df: DataFrame, first: str, second: str) -> DataFrame:
     rows = cells.groupBy(first).agg(F.sum("observed").alias("_row"))
     columns = cells.groupBy(second).agg(F.sum("observed").alias("_column"))
     total = cells.agg(F.sum("observed")).scalar()
-    names = F.array_sort(F.collect_set(second))
-    # Every pair of levels, the empty ones too: the level list is as short as the category.
-    levels = cells.select(names.alias("_all")).scalar()
-    grid = rows.select(first, "_row", F.explode(levels).alias(second))
     expected = F.col("_row").cast("double") * F.col("_column") / total
     observed = F.coalesce(F.col("observed"), F.lit(0)).cast("bigint")
-    full = grid.join(columns, second).join(cells, [first, second], "left")
+    # Every pair of levels is a row of the answer, the empty ones too.
+    full = rows.crossJoin(columns).join(cells, [first, second], "left")
     return full.select(
         first, second, observed.alias("observed"), expected.alias("expected"),
         ((observed - expected) * (observed - expected) / expected).alias("chi2_part"),

@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from keyrhythm.operators.stored import Stored
 from keyrhythm.operators.voting import most_likely
 
 
@@ -65,7 +66,7 @@ def _overall_mean(df: DataFrame, vector: str) -> tuple[int, list[float]]:
     return len(means), means
 
 
-class QuadraticDiscriminant(Estimator, HasFeaturesCol, HasLabelCol):
+class QuadraticDiscriminant(Estimator, HasFeaturesCol, HasLabelCol, Stored):
     """One full Gaussian per class; ``ridge`` is added to the diagonal of a singular covariance."""
 
     def __init__(self, featuresCol: str = "features", labelCol: str = "label", ridge: float = 1e-6):
@@ -73,6 +74,9 @@ class QuadraticDiscriminant(Estimator, HasFeaturesCol, HasLabelCol):
         self._set(featuresCol=featuresCol, labelCol=labelCol)
         self.ridge = ridge
 
+    def plain(self) -> dict:
+        return {"ridge": self.ridge}
+
     def _fit(self, dataset: DataFrame) -> "QuadraticDiscriminantModel":
         label = self.getLabelCol()
         rows = dataset.select(label, vector_to_array(self.getFeaturesCol()).alias("_x"))
@@ -95,12 +99,29 @@ class QuadraticDiscriminant(Estimator, HasFeaturesCol, HasLabelCol):
         return QuadraticDiscriminantModel(classes, self.getFeaturesCol())
 
 
-class QuadraticDiscriminantModel(Model, HasFeaturesCol):
-    def __init__(self, classes: dict, features: str):
+class QuadraticDiscriminantModel(Model, HasFeaturesCol, Stored):
+    """``classes``: label -> (mean, inverse covariance, log determinant, log prior)."""
+
+    def __init__(self, classes: dict, features: str = "features"):
         super().__init__()
         self._set(featuresCol=features)
         self.classes = classes
 
+    def tables(self) -> dict[str, DataFrame]:
+        rows = [
+            (label, [float(v) for v in mean], [float(v) for v in inverse.ravel()], float(logdet), float(prior))
+            for label, (mean, inverse, logdet, prior) in self.classes.items()
+        ]
+        kind = "label int, mean array<double>, inverse array<double>, logdet double, prior double"
+        return {"classes": SparkSession.active().createDataFrame(rows, kind)}
+
+    @classmethod
+    def restored(cls, plain: dict, tables: dict[str, DataFrame], parts: dict) -> "QuadraticDiscriminantModel":
+        return cls({
+            r["label"]: (np.array(r["mean"]), np.array(r["inverse"]).reshape(len(r["mean"]), -1), r["logdet"], r["prior"])
+            for r in tables["classes"].collect()
+        })
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         classes = self.classes
         width = max(classes) + 1

@@ -36,9 +36,9 @@ def handle_missing(wide: DataFrame, columns: Sequence[str], how: str) -> DataFra
     if how == "zero":
         return wide.fillna(0, subset=columns)
     if how == "mean":
-        means = wide.agg(*[F.avg(c).alias(c) for c in columns]).first().asDict()
-        known = {c: m for c, m in means.items() if m is not None}
-        return wide.fillna(known) if known else wide
+        means = wide.agg(F.struct(*[F.avg(c).alias(c) for c in columns])).scalar()
+        filled = {c: F.coalesce(F.col(c), F.col("_means")[c]) for c in columns}
+        return wide.withColumn("_means", means).withColumns(filled).drop("_means")
     if how == "error":
         checks = {
             c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"missing value in {c}")).cast("double"))

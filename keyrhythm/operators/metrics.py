@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from keyrhythm.functions.numeric import magnitude_bucket, share
+from keyrhythm.functions.numeric import share
 from keyrhythm.operators.prefix import running_totals
+from keyrhythm.operators.ranges import with_range
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:
@@ -82,19 +83,19 @@ def score_steps(predictions: DataFrame, groups: Sequence[str] = ()) -> DataFrame
     """One row per distinct score, highest first, with running counts of both classes.
 
     Equal scores are merged before anything is ordered, and the running counts are taken per
-    score bucket, so no task sees all rows.
+    range of scores, cut at sampled borders, so no task sees all rows.
     """
     positive = (F.col("label") == 1).cast("bigint")
     merged = predictions.groupBy(*groups, "score").agg(
         F.sum(positive).alias("positives"), F.sum(1 - positive).alias("negatives"),
         F.max(F.col("score").isNotNull() & ~F.isnan("score")).alias("_known"),
     )
-    # Asked of the steps, and with a bucket that is never NULL, these tests stay off the scan of raw rows.
-    bucket = F.coalesce(magnitude_bucket("score", bits=10), F.lit(0.0))
+    steps = with_range(merged.where("_known").drop("_known"), "_range", ["score"], [*groups, "score"])
+    # Asked of the steps, and with a range that is never NULL, these tests stay off the scan of raw rows.
     return running_totals(
-        merged.where("_known").drop("_known"), list(groups), ["score"], bucket,
+        steps, list(groups), ["score"], F.coalesce("_range", F.lit(0)),
         {"tp": F.col("positives"), "fp": F.col("negatives")}, descending=True,
-    )
+    ).drop("_range")
 
 
 def roc_points(predictions: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
@@ -130,6 +131,25 @@ def ranking_scores(predictions: DataFrame, groups: Sequence[str] = ()) -> DataFr
     )
 
 
+def class_aucs(predictions: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """Rows (class, auc) of predictions with ``scores`` (a probability per class): each class against all others, in one pass.
+
+    Classes without rows in a group are left out.
+    """
+    unfolded = predictions.select(*groups, F.col("label").alias("_own"), F.posexplode("scores").alias("class", "score"))
+    against = unfolded.select(*groups, "class", "score", (F.col("_own") == F.col("class")).cast("int").alias("label"))
+    ranks = ranking_scores(against, [*groups, "class"]).select(*groups, "class", "auc")
+    held = predictions.select(*groups, F.col("label").cast("int").alias("class")).distinct()
+    return ranks.join(held, [*groups, "class"], "left_semi")
+
+
+def label_ranking(predictions: DataFrame, groups: Sequence[str] = ("model",)) -> DataFrame:
+    """Rows (model, metric, value): AUC and average precision of the predicted labels, taken as scores."""
+    bare = predictions.withColumn("score", F.col("prediction").cast("double"))
+    told = F.create_map(F.lit("label_auc"), F.col("auc"), F.lit("label_average_precision"), F.col("average_precision"))
+    return ranking_scores(bare, list(groups)).select(*groups, F.explode(told).alias("metric", "value"))
+
+
 def accuracy(predictions: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     hit = (F.col("label") == F.col("prediction")).cast("double")
     return predictions.groupBy(*groups).agg(F.avg(hit).alias("accuracy"))

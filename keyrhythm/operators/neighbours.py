@@ -1,35 +1,50 @@
-"""Exact k nearest neighbours.
-
-A training table whose measured size is below ``broadcast_bytes`` is broadcast once and every
-query row is answered where it lies. A larger one is cut into cells around pivots and each cell
-into distance rings. The triangle inequality tells from the ring table alone which rings can hold
-one of a query's k nearest, so a query travels only to those rings (an equi join on the ring's
-block). Each block of bounded size gives at most k candidates per query, and the best k of those
-are the exact answer. No pair is ever emitted that is not a candidate.
+"""k nearest neighbours, exact for tables of any size, and an index for when nearly all of them will do.
+
+- A training table whose measured size is below ``broadcast_bytes`` is broadcast once and every query
+  row is answered where it lies.
+- Narrow vectors: a larger table is cut into cells around pivots and each cell into distance rings.
+  The triangle inequality tells from the ring table alone which rings can hold one of a query's k
+  nearest, so a query travels only to those rings (an equi join on the ring's block).
+- Wide vectors, of which rings prune little: both tables are cut into blocks of bounded size, and every
+  block of queries meets every block of points once.
+- ``ProjectionIndex``: points lie in buckets by the signs of random projections, and a query looks into
+  the buckets that are most likely to hold its neighbours, as many as a measured recall asks for.
+
+In all forms a block gives at most k candidates per query, and the best k of those are the answer. No
+pair is ever emitted that is not a candidate. Keys may be of any type that can be ordered.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from keyrhythm.operators.stored import Stored
 from keyrhythm.operators.voting import majority
 from keyrhythm.session import cut_lineage
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+#: Vectors up to this width are searched by rings, wider ones by tiles.
+NARROW = 8
 
 
-def k_smallest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int, cells: int = 4_000_000):
-    """For each query row: positions of its k nearest points and their squared distances.
+def k_smallest(queries: np.ndarray, points: np.ndarray, k: int, cells: int = 4_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query row: places of its k nearest points and their squared distances.
 
     Fast products pick the candidates with some slack; the candidates' distances are then taken
-    exactly, and equal distances are ordered by id.
+    exactly, and equal distances are ordered by the points' places: put the points in order of their key.
     """
     k = min(k, len(points))
+    if not k:
+        return
     norms = (points * points).sum(axis=1)
     step = max(1, cells // max(1, len(points)))
     for start in range(0, len(queries), step):
@@ -42,7 +57,7 @@ def k_smallest(queries: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int,
             near = np.flatnonzero(rough[row] <= limit[row] + slack[row])
             away = points[near] - block[row]
             exact = (away * away).sum(axis=1)
-            best = np.lexsort((ids[near], exact))[:k]
+            best = np.lexsort((near, exact))[:k]
             yield start + row, near[best], exact[best]
 
 
@@ -50,32 +65,130 @@ def _dense(values: pd.Series) -> np.ndarray:
     return np.stack(values.to_numpy()).astype(float)
 
 
-def measured_size(train: DataFrame, vector: str) -> int:
-    """Bytes of the training matrix in memory."""
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def _objects(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Text as plain objects: the string columns of pandas may come in several chunks, which Spark does not take back."""
+    return pdf.astype({c: object for c in pdf.columns if pd.api.types.is_string_dtype(pdf[c].dtype)})
+
+
+class Size(NamedTuple):
+    bytes: int
+    width: int
+
+
+def measured(train: DataFrame, vector: str) -> Size:
+    """Bytes of the training matrix in memory, and how wide it is."""
     row = train.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("d")).first()
-    return int(row["n"]) * (8 * int(row["d"] or 0) + 16)
+    width = int(row["d"] or 0)
+    return Size(int(row["n"]) * (8 * width + 16), width)
+
+
+class Points:
+    """A training table that a task holds: keys in order, labels, vectors."""
+
+    def __init__(self, rows: pa.Table | pa.StructArray, key: str, label: str, vector: str):
+        if isinstance(rows, pa.StructArray):
+            rows = pa.table({c: rows.field(c) for c in (key, label, vector)})
+        rows = rows.sort_by(key)
+        self.keys, self.labels, x = (_whole(rows[c]) for c in (key, label, vector))
+        self.x = _matrix(x) if len(x) else np.empty((0, 0))
+
+    def lists(self, queries: np.ndarray, k: int) -> pa.Array:
+        """The neighbours of each query as a list of structs, nearest first."""
+        places, distances, counts = [], [], np.zeros(len(queries), np.int32)
+        for row, at, squared in k_smallest(queries, self.x, k):
+            places.append(at)
+            distances.append(np.sqrt(squared))
+            counts[row] = len(at)
+        at = pa.array(np.concatenate(places) if places else np.empty(0, int), pa.int64())
+        told = pa.StructArray.from_arrays(
+            [pa.array(np.concatenate(distances) if distances else np.empty(0)), self.keys.take(at), self.labels.take(at)],
+            names=["distance", "neighbour", "label"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), told)
+
+
+def _neighbours_type(key_type: str) -> str:
+    return f"array<struct<distance:double,neighbour:{key_type},label:int>>"
+
+
+def held_points(train: DataFrame, key: str, vector: str, label: str):
+    """The whole training table, which must be small, as a broadcast variable."""
+    rows = train.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), F.col(vector).alias("x")).toArrow()
+    return train.sparkSession.sparkContext.broadcast(Points(rows, "key", "label", "x"))
+
+
+def answered_by(shipped, queries: DataFrame, k: int, key_type: str, vector: str) -> DataFrame:
+    """Add ``neighbours`` (nearest first) to every query row where it lies."""
+    @F.arrow_udf(_neighbours_type(key_type))
+    def nearest(x: pa.Array) -> pa.Array:
+        return shipped.value.lists(_matrix(x), k)
+
+    return queries.withColumn("neighbours", nearest(F.col(vector).cast("array<double>")))
 
 
 def neighbours_by_broadcast(train: DataFrame, queries: DataFrame, k: int, key: str, vector: str,
                             label: str) -> DataFrame:
-    """Add ``neighbours`` (nearest first) to every query row; the training table must be small."""
-    held = train.select(key, label, vector).toPandas().sort_values(key, ignore_index=True)
-    shipped = train.sparkSession.sparkContext.broadcast(
-        (_dense(held[vector]), held[key].to_numpy(), held[label].to_numpy())
+    return answered_by(held_points(train, key, vector, label), queries, k, dict(train.dtypes)[key], vector)
+
+
+def merged(candidates: DataFrame, queries: DataFrame, k: int, key: str) -> DataFrame:
+    """Queries with the best k of their candidates (id, neighbour, label, distance). At most k rows per query and block arrive here."""
+    place = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
+    best = candidates.withColumn("_at", place).where(F.col("_at") <= k)
+    answers = best.groupBy(F.col("id").alias(key)).agg(
+        F.array_sort(F.collect_list(F.struct("distance", "neighbour", "label"))).alias("neighbours")
     )
+    return queries.join(answers, key, "left")
 
-    @F.pandas_udf("array<struct<distance: double, neighbour: bigint, label: int>>")
-    def nearest(x: pd.Series) -> pd.Series:
-        points, ids, labels = shipped.value
-        out = [None] * len(x)
-        for row, at, squared in k_smallest(_dense(x), points, ids, k):
-            out[row] = [
-                {"distance": float(np.sqrt(s)), "neighbour": int(ids[i]), "label": int(labels[i])}
-                for i, s in zip(at, squared)
-            ]
-        return pd.Series(out)
 
-    return queries.withColumn("neighbours", nearest(F.col(vector)))
+def neighbours_by_tiles(train: DataFrame, queries: DataFrame, k: int, key: str, vector: str, label: str,
+                        block_rows: int = 8192, query_rows: int = 2048) -> DataFrame:
+    """The same result by meeting every block of queries with every block of points; a task holds one of each."""
+    kind = dict(train.dtypes)[key]
+    points = train.select(F.col(key).alias("id"), F.col(label).cast("int").alias("label"), F.col(vector).cast("array<double>").alias("x"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_struct_array()
+            for start in range(0, len(rows), block_rows):
+                part = rows[start:start + block_rows]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part)], names=["points"])
+
+    blocks = cut_lineage(points.mapInArrow(cut, f"points array<struct<id:{kind},label:int,x:array<double>>>").withColumn(
+        "share", F.monotonically_increasing_id()))
+    shares = max(1, blocks.count())
+    query_parts = max(1, -(-queries.count() // query_rows))
+    asked = queries.groupBy(F.pmod(F.xxhash64(key), F.lit(query_parts)).cast("int").alias("part")).agg(
+        F.collect_list(F.struct(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x"))).alias("asked"))
+    left = blocks.select("points", F.pmod(F.xxhash64("share"), F.lit(shares)).cast("int").alias("share"),
+                         F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))).alias("part"))
+    right = asked.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for points, asked in zip(batch.column(0), batch.column(1)):
+                held, rows = Points(points.values, "id", "label", "x"), asked.values
+                yield from _candidates(held, rows.field("id"), _matrix(rows.field("x")), k)
+
+    found = left.join(right, ["part", "share"]).select("points", "asked").mapInArrow(
+        answer, f"id {kind}, neighbour {kind}, label int, distance double")
+    return merged(found, queries, k, key)
+
+
+def _candidates(held: Points, ids: pa.Array, x: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """(id, neighbour, label, distance) of each query's k nearest points."""
+    told = held.lists(x, k)
+    rows = told.flatten()
+    owner = pa.array(np.repeat(np.arange(len(told)), told.value_lengths().to_numpy()), pa.int64())
+    yield pa.RecordBatch.from_arrays([ids.take(owner), rows.field("neighbour"), rows.field("label"), rows.field("distance")],
+                                     names=["id", "neighbour", "label", "distance"])
 
 
 def neighbours_by_rings(train: DataFrame, queries: DataFrame, k: int, key: str, vector: str, label: str,
@@ -91,9 +204,9 @@ def neighbours_by_rings(train: DataFrame, queries: DataFrame, k: int, key: str,
             x = _dense(pdf["x"])
             cell = np.empty(len(x), dtype=int)
             squared = np.empty(len(x))
-            for row, at, s in k_smallest(x, centres, np.arange(len(centres)), 1):
+            for row, at, s in k_smallest(x, centres, 1):
                 cell[row], squared[row] = at[0], s[0]
-            yield pdf.assign(cell=cell, radius=np.sqrt(squared))
+            yield _objects(pdf).assign(cell=cell, radius=np.sqrt(squared))
 
     plain = train.select(
         F.col(key).alias("id"), F.col(label).cast("int").alias("label"), F.col(vector).cast("array<double>").alias("x")
@@ -118,7 +231,7 @@ def neighbours_by_rings(train: DataFrame, queries: DataFrame, k: int, key: str,
 
     def to_rings(batches):
         # A query's vector is repeated for every ring it may need, so few rows are held at a time.
-        for pdf in batches:
+        for pdf in map(_objects, batches):
             for start in range(0, len(pdf), 256):
                 yield from routes(pdf.iloc[start:start + 256])
 
@@ -157,36 +270,138 @@ def neighbours_by_rings(train: DataFrame, queries: DataFrame, k: int, key: str,
         F.explode(F.sequence(F.lit(0), F.lit(int(query_parts) - 1))).alias("share"),
     )
 
-    def best_of_block(points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    return merged(_block_answers(stored, routed, k, kind), queries, k, key)
+
+
+def _block_answers(stored: DataFrame, routed: DataFrame, k: int, kind: str) -> DataFrame:
+    """Candidates (id, neighbour, label, distance) of the queries that were sent to each (block, part, share)."""
+    def best_of_block(points: pa.Table, asked: pa.Table) -> pa.Table:
         if not len(points) or not len(asked):
-            return pd.DataFrame({"id": [], "neighbour": [], "label": [], "distance": []})
-        points = points.sort_values("id", ignore_index=True)
-        ids, labels, names = points["id"].to_numpy(), points["label"].to_numpy(), asked["id"].to_numpy()
-        frames = [
-            pd.DataFrame({"id": names[row], "neighbour": ids[at], "label": labels[at], "distance": np.sqrt(s)})
-            for row, at, s in k_smallest(_dense(asked["x"]), _dense(points["x"]), ids, k)
-        ]
-        return pd.concat(frames, ignore_index=True)
+            kinds = [points.schema.field("id").type, points.schema.field("id").type, pa.int32(), pa.float64()]
+            return pa.table([pa.array([], k) for k in kinds], names=["id", "neighbour", "label", "distance"])
+        held = Points(points, "id", "label", "x")
+        asked = asked.combine_chunks()
+        ids, x = (_whole(asked[c]) for c in ("id", "x"))
+        return pa.Table.from_batches(list(_candidates(held, ids, _matrix(x), k)))
 
     on = ["block", "part", "share"]
-    candidates = stored.groupBy(*on).cogroup(routed.groupBy(*on)).applyInPandas(
+    return stored.groupBy(*on).cogroup(routed.groupBy(*on)).applyInArrow(
         best_of_block, f"id {kind}, neighbour {kind}, label int, distance double"
     )
-    # At most k rows per query and block arrive here.
-    place = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
-    best = candidates.withColumn("_at", place).where(F.col("_at") <= k)
-    answers = best.groupBy(F.col("id").alias(key)).agg(
-        F.array_sort(F.collect_list(F.struct("distance", "neighbour", "label"))).alias("neighbours")
-    )
-    return queries.join(answers, key, "left")
+
+
+class Planes(NamedTuple):
+    """Random hyperplanes through a point; a bucket's number has a bit for each plane that its points lie above."""
+
+    mean: np.ndarray
+    normals: np.ndarray
+
+    @property
+    def codes(self) -> np.ndarray:
+        bits = self.normals.shape[1]
+        return (np.arange(2**bits)[:, None] >> np.arange(bits)) & 1
+
+    def bucket(self, x: np.ndarray) -> np.ndarray:
+        return (((x - self.mean) @ self.normals) > 0) @ (1 << np.arange(self.normals.shape[1]))
+
+    def order(self, x: np.ndarray) -> np.ndarray:
+        """All buckets for each query, the likeliest first: the fewer and the closer planes lie between, the likelier."""
+        side = (x - self.mean) @ self.normals
+        squares, above, codes = side**2, side > 0, self.codes.T
+        # The squared distances to all planes between the query and a bucket.
+        cost = (squares * above) @ (1 - codes) + (squares * ~above) @ codes
+        return np.argsort(cost, axis=1, kind="stable")
+
+
+class ProjectionIndex:
+    """Points in buckets by the signs of random projections, searched by as many buckets as a recall asks for.
+
+    Fitted on at most ``sample`` points, chosen by a hash of their key: their mean is what projections
+    are taken around. Every point is indexed; a bucket of more than ``block_rows`` is cut into parts.
+    ``tune`` finds for a sample of queries, answered exactly, how far down each query's list of
+    buckets, nearest first, its true neighbours lie, and sets ``probes`` to the smallest number that
+    reaches ``recall``, which is then measured as ``measured``. Untuned, all buckets are searched.
+    """
+
+    def __init__(self, train: DataFrame, key: str = "key", vector: str = "x", label: str = "label", bucket_rows: int = 2000,
+                 block_rows: int = 20_000, most_bits: int = 10, sample: int = 10_000, seed: int = 0):
+        self.key, self.vector, self.label, self.block_rows = key, vector, label, block_rows
+        self.kind = dict(train.dtypes)[key]
+        chosen = train.select(key, vector).orderBy(F.xxhash64(key), key).limit(sample).toArrow()
+        x = _matrix(_whole(chosen[vector]))
+        bits = int(np.clip(np.ceil(np.log2(max(1, train.count() / bucket_rows))), 1, min(most_bits, x.shape[1])))
+        normals, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(x.shape[1], bits)))
+        self.planes = Planes(x.mean(axis=0), normals)
+        self.probes = 2**bits
+        self.measured: float | None = None
+        self.placed = cut_lineage(self._placed(train))
+        self.counts = {r["block"]: r["n"] for r in self.placed.groupBy("block").agg(F.count("*").alias("n")).collect()}
+
+    def _placed(self, train: DataFrame) -> DataFrame:
+        planes = self.planes
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield _objects(pdf).assign(block=planes.bucket(_dense(pdf["x"])).astype(np.int32))
+
+        plain = train.select(F.col(self.key).alias("id"), F.col(self.label).cast("int").alias("label"),
+                             F.col(self.vector).cast("array<double>").alias("x"))
+        return plain.mapInPandas(place, f"id {self.kind}, label int, x array<double>, block int")
+
+    def tune(self, queries: DataFrame, k: int, recall: float = 0.9, sample: int = 200) -> "ProjectionIndex":
+        """Choose ``probes`` on at most ``sample`` queries, answered by brute force over all points."""
+        asked = queries.select(self.key, self.vector).orderBy(F.xxhash64(self.key), self.key).limit(sample)
+        train = self.placed.select(F.col("id").alias(self.key), F.col("x").alias(self.vector), F.col("label").alias(self.label))
+        exact = neighbours_by_tiles(train, asked, k, self.key, self.vector, self.label).select(
+            F.col(self.vector).alias("x"), F.col("neighbours.neighbour").alias("near"))
+        true = exact.withColumn("neighbour", F.explode("near")).join(
+            self.placed.select(F.col("id").alias("neighbour"), "block"), "neighbour").select("x", "block").toPandas()
+        if not len(true):
+            return self
+        places = np.argmax(self.planes.order(_dense(true["x"])) == true["block"].to_numpy()[:, None], axis=1)
+        reached = np.cumsum(np.bincount(places, minlength=len(self.planes.codes))) / len(places)
+        self.probes = int(np.argmax(reached >= recall)) + 1
+        self.measured = float(reached[self.probes - 1])
+        return self
+
+    def search(self, queries: DataFrame, k: int, query_rows: int = 50_000) -> DataFrame:
+        """Queries with ``neighbours``, found in their ``probes`` likeliest buckets."""
+        parts = {b: max(1, -(-n // self.block_rows)) for b, n in self.counts.items()}
+        shares = max(1, -(-queries.count() // query_rows))
+        by_bucket = np.array([parts.get(b, 0) for b in range(len(self.planes.codes))])
+        planes, probes = self.planes, self.probes
+
+        def routes(batches):
+            for pdf in map(_objects, batches):
+                for start in range(0, len(pdf), 1024):
+                    asked = pdf.iloc[start:start + 1024]
+                    probed = planes.order(_dense(asked["x"]))[:, :probes]
+                    row, block = np.repeat(np.arange(len(asked)), probed.shape[1]), probed.ravel()
+                    repeat = by_bucket[block]
+                    part = np.concatenate([np.arange(r) for r in repeat]).astype(int)
+                    row, block = np.repeat(row, repeat), np.repeat(block, repeat)
+                    for cut in range(0, len(row), 16384):
+                        sent = asked.iloc[row[cut:cut + 16384]]
+                        yield pd.DataFrame({"id": sent["id"].to_numpy(), "x": sent["x"].to_numpy(), "share": sent["share"].to_numpy(),
+                                            "block": block[cut:cut + 16384], "part": part[cut:cut + 16384]})
+
+        asked = queries.select(F.col(self.key).alias("id"), F.col(self.vector).cast("array<double>").alias("x"),
+                               F.pmod(F.xxhash64(self.key), F.lit(shares)).cast("int").alias("share"))
+        routed = asked.mapInPandas(routes, f"id {self.kind}, x array<double>, share int, block int, part int")
+        count = F.get(F.array(*[F.lit(max(1, int(p))) for p in by_bucket]), F.col("block"))
+        stored = self.placed.select("id", "label", "x", "block", F.pmod(F.xxhash64("id"), count).cast("int").alias("part"),
+                                    F.explode(F.sequence(F.lit(0), F.lit(int(shares) - 1))).alias("share"))
+        return merged(_block_answers(stored, routed, k, self.kind), queries, k, self.key)
 
 
 def nearest_neighbours(train: DataFrame, queries: DataFrame, k: int, key: str = "key", vector: str = "x",
                        label: str = "label", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Queries with ``neighbours``: array of (distance, neighbour, label), nearest first."""
-    if measured_size(train, vector) <= broadcast_bytes:
+    """Queries with ``neighbours``: array of (distance, neighbour, label), nearest first, ties by key. Keys are unique."""
+    size = measured(train, vector)
+    if size.bytes <= broadcast_bytes:
         return neighbours_by_broadcast(train, queries, k, key, vector, label)
-    return neighbours_by_rings(train, queries, k, key, vector, label)
+    form = neighbours_by_rings if size.width <= NARROW else neighbours_by_tiles
+    return form(train, queries, k, key, vector, label)
 
 
 def neighbour_vote(neighbours: Column) -> Column:
@@ -194,8 +409,8 @@ def neighbour_vote(neighbours: Column) -> Column:
     return majority(F.transform(neighbours, lambda n: n["label"]))
 
 
-class NearestNeighbours(Estimator, HasFeaturesCol, HasLabelCol):
-    """k-nearest-neighbour classifier. Rows need a unique integer ``keyCol``."""
+class NearestNeighbours(Estimator, HasFeaturesCol, HasLabelCol, Stored):
+    """k-nearest-neighbour classifier for any number of classes. Rows need a unique ``keyCol`` of any type that can be ordered."""
 
     def __init__(self, k: int = 5, keyCol: str = "key", featuresCol: str = "features", labelCol: str = "label",
                  broadcast_bytes: int = BROADCAST_BYTES):
@@ -203,27 +418,53 @@ class NearestNeighbours(Estimator, HasFeaturesCol, HasLabelCol):
         self._set(featuresCol=featuresCol, labelCol=labelCol)
         self.k, self.key, self.broadcast_bytes = k, keyCol, broadcast_bytes
 
+    def plain(self) -> dict:
+        return {"k": self.k, "keyCol": self.key, "broadcast_bytes": self.broadcast_bytes}
+
     def _fit(self, dataset: DataFrame) -> "NearestNeighboursModel":
         train = dataset.select(
-            F.col(self.key), F.col(self.getLabelCol()).cast("int").alias("_label"),
-            vector_to_array(self.getFeaturesCol()).alias("_x"),
+            F.col(self.key).alias("key"), F.col(self.getLabelCol()).cast("int").alias("label"),
+            vector_to_array(self.getFeaturesCol()).alias("x"),
         )
-        return NearestNeighboursModel(self, train)
+        classes = max(2, (train.agg(F.max("label")).first()[0] or 0) + 1)
+        return NearestNeighboursModel(train, classes, self.k, self.key, self.broadcast_bytes, self.getFeaturesCol())
+
 
+class NearestNeighboursModel(Model, HasFeaturesCol, Stored):
+    """Holds the training table. A small one is collected and broadcast at its first use and kept."""
 
-class NearestNeighboursModel(Model, HasFeaturesCol):
-    def __init__(self, settings: NearestNeighbours, train: DataFrame):
+    def __init__(self, train: DataFrame, classes: int, k: int, keyCol: str, broadcast_bytes: int, features: str = "features"):
         super().__init__()
-        self._set(featuresCol=settings.getFeaturesCol())
-        self.settings, self.train = settings, train
+        self._set(featuresCol=features)
+        self.train, self.classes, self.k, self.key, self.broadcast_bytes = train, classes, k, keyCol, broadcast_bytes
+        self._size, self._held = None, None
+
+    def plain(self) -> dict:
+        return {"classes": self.classes, "k": self.k, "keyCol": self.key, "broadcast_bytes": self.broadcast_bytes}
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {"train": self.train}
+
+    @classmethod
+    def restored(cls, plain: dict, tables: dict[str, DataFrame], parts: dict) -> "NearestNeighboursModel":
+        return cls(tables["train"], **plain)
+
+    def neighbours(self, asked: DataFrame) -> DataFrame:
+        """(key, x) rows with their ``neighbours``."""
+        if self._size is None:
+            self._size = measured(self.train, "x")
+        if self._size.bytes > self.broadcast_bytes:
+            form = neighbours_by_rings if self._size.width <= NARROW else neighbours_by_tiles
+            return form(self.train, asked, self.k, "key", "x", "label")
+        if self._held is None:
+            self._held = held_points(self.train, "key", "x", "label")
+        return answered_by(self._held, asked, self.k, dict(self.train.dtypes)["key"], "x")
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        s = self.settings
-        asked = dataset.withColumn("_x", vector_to_array(self.getFeaturesCol()))
-        told = nearest_neighbours(self.train, asked, s.k, s.key, "_x", "_label", s.broadcast_bytes)
-        positive = F.size(F.filter("neighbours", lambda n: n["label"] == 1)) / F.size("neighbours")
+        row = F.struct(*[F.col(f"`{c}`") for c in dataset.columns]).alias("_row")
+        told = self.neighbours(dataset.select(F.col(self.key).alias("key"), vector_to_array(self.getFeaturesCol()).alias("x"), row))
+        votes = F.transform(F.sequence(F.lit(0), F.lit(self.classes - 1)), lambda c: F.size(
+            F.filter("neighbours", lambda n: n["label"] == c)) / F.size("neighbours"))
         return told.select(
-            *dataset.columns,
-            array_to_vector(F.array(1.0 - positive, positive)).alias("probability"),
-            neighbour_vote(F.col("neighbours")).cast("double").alias("prediction"),
+            "_row.*", array_to_vector(votes).alias("probability"), neighbour_vote(F.col("neighbours")).cast("double").alias("prediction"),
         )

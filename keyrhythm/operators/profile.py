@@ -4,10 +4,10 @@ All statistics of a group, quantiles included, come from one pass over the rows:
 
 1. equal values of a group are counted, with partial aggregation before the shuffle, so a group
    with billions of rows shrinks to its distinct values in every map task;
-2. the counts are summed per value bucket; a window over this small table gives each bucket its
-   starting rank and each group its mean;
-3. the counted values take these up (joined on group *and* bucket, so a heavy group stays spread
-   over its buckets), and central moments and order statistics are summed up with partial
+2. the counts are summed per range of values, cut at sampled borders; a window over this small table
+   gives each range its starting rank and each group its mean;
+3. the counted values take these up (joined on group *and* range, so a heavy group stays spread
+   over its ranges), and central moments and order statistics are summed up with partial
    aggregation.
 
 No step needs the values of one group in one task.
@@ -20,7 +20,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from keyrhythm.functions.numeric import all_known, magnitude_bucket
+from keyrhythm.functions.numeric import all_known
+from keyrhythm.operators.ranges import with_range
 
 # Names of the statistics as they appear in feature names.
 ALL_STATS = ["mean", "median", "amax", "amin", "var", "std", "iqr", "skew", "kurtosis"]
@@ -53,10 +54,10 @@ def _number(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def observations(rows: DataFrame, key: str, measures: Sequence[Measure]) -> DataFrame:
+def observations(rows: DataFrame, key: str, measures: Sequence[Measure], keep: Sequence[str] = ()) -> DataFrame:
     """One row per (key, measure, category, value); levels that are not asked for are left out.
 
-    The measures are unfolded from the same scan.
+    The measures are unfolded from the same scan. ``keep`` are further columns, such as the time.
     """
     def unfolded(m: Measure) -> Column:
         return F.struct(
@@ -65,8 +66,8 @@ def observations(rows: DataFrame, key: str, measures: Sequence[Measure]) -> Data
             _number(F.col(m.value)).alias("value"),
         )
 
-    unfolded_rows = rows.select(key, F.explode(F.array(*[unfolded(m) for m in measures])).alias("_o"))
-    return unfolded_rows.select(key, "_o.measure", "_o.category", "_o.value").where(
+    unfolded_rows = rows.select(key, *keep, F.explode(F.array(*[unfolded(m) for m in measures])).alias("_o"))
+    return unfolded_rows.select(key, *keep, "_o.measure", "_o.category", "_o.value").where(
         F.col(key).isNotNull() & F.col("category").isNotNull() & F.col("value").isNotNull()
     )
 
@@ -77,7 +78,7 @@ def value_counts(obs: DataFrame, keys: Sequence[str], value: str = "value") -> D
 
 
 def profile_counts(
-    counts: DataFrame, keys: Sequence[str], value: str = "value", degenerate: str = "null", bits: int = 5
+    counts: DataFrame, keys: Sequence[str], value: str = "value", degenerate: str = "null"
 ) -> DataFrame:
     """All statistics of counted values: ``keys, count, q1, q3`` and every name in ALL_STATS.
 
@@ -85,9 +86,9 @@ def profile_counts(
     ``"zero"`` for 0 and -3.
     """
     keys = list(keys)
+    known = counts.where(all_known(keys))
     # Counted values are never NULL. Saying so of the edge keeps a join from testing it on raw rows.
-    edge = F.coalesce(magnitude_bucket(value, bits), F.lit(0.0))
-    placed = counts.where(all_known(keys)).withColumn("_edge", edge)
+    placed = with_range(known, "_edge", [value], [*keys, value]).withColumn("_edge", F.coalesce("_edge", F.lit(0)))
     n, x = F.col("n"), F.col(value)
     buckets = placed.groupBy(*keys, "_edge").agg(F.sum(n).alias("_n"), F.sum(n * x).alias("_s"))
     group = Window.partitionBy(*keys)
@@ -162,10 +163,9 @@ def profile_counts(
     )
 
 
-def profile(obs: DataFrame, keys: Sequence[str], value: str = "value", degenerate: str = "null",
-            bits: int = 5) -> DataFrame:
+def profile(obs: DataFrame, keys: Sequence[str], value: str = "value", degenerate: str = "null") -> DataFrame:
     """Exact statistics of every group; see the module text for how a heavy group is spread."""
-    return profile_counts(value_counts(obs, keys, value), keys, value, degenerate, bits)
+    return profile_counts(value_counts(obs, keys, value), keys, value, degenerate)
 
 
 def profile_small_groups(obs: DataFrame, keys: Sequence[str], value: str = "value",

@@ -13,24 +13,28 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keyrhythm.functions.keys import hand_of
 from keyrhythm.functions.numeric import all_known
+from keyrhythm.operators.ranges import with_range
 
 CHUNK = "_chunk"
 
 
 def with_previous(df: DataFrame, key: str, order: Sequence[str], carried: Sequence[str],
-                  chunk: Column, previous: str = "previous", position: str | None = None,
+                  chunk: Column | None = None, previous: str = "previous", position: str | None = None,
                   known: Sequence[str] = ()) -> DataFrame:
     """Add a struct of the previous row's ``carried`` columns (NULL on an entity's first row).
 
-    ``chunk`` must never decrease along ``order``; ``order`` must be unique per entity. Rows without
-    an entity or a time belong to no sequence and are left out.
+    ``chunk`` must never decrease along ``order``; ``order`` must be unique per entity. Without one, the
+    order is cut at sampled borders, so an entity with a third of all rows gets its share of the chunks,
+    and one that has them in a short time does too. Rows without an entity or a time belong to no
+    sequence and are left out.
     ``position`` also adds the 1-based place of the row in its entity's sequence, and ``known`` adds
     ``last_<column>``, the last earlier value that is not NULL, of each listed column.
 
     Both uses of the rows read every column, so Spark shuffles them once and reads the input once;
     select the columns that are needed beforehand.
     """
-    chunked = df.withColumn(CHUNK, chunk).where(all_known([key, CHUNK])).repartition(key, CHUNK)
+    cut = with_range(df, CHUNK, order, [key, *order]) if chunk is None else df.withColumn(CHUNK, chunk)
+    chunked = cut.where(all_known([key, CHUNK])).repartition(key, CHUNK)
     tail = F.struct(*carried)
     whole = F.struct(*[c for c in df.columns if c != key])
     ends = chunked.groupBy(key, CHUNK).agg(
@@ -64,7 +68,7 @@ def milliseconds_between(later: Column, earlier: Column) -> Column:
 
 
 def latencies(df: DataFrame, key: str, ts: str, category: str, order: Sequence[str],
-              chunk: Column, pairs: str = "sliding", separator: str = "") -> DataFrame:
+              chunk: Column | None = None, pairs: str = "sliding", separator: str = "") -> DataFrame:
     """Transition and elapsed time from the previous row of the same entity.
 
     ``pairs="sliding"`` compares every row with the one before; ``"disjoint"`` only every second
@@ -81,7 +85,7 @@ def latencies(df: DataFrame, key: str, ts: str, category: str, order: Sequence[s
     )
 
 
-def with_hold(used: DataFrame, key: str, ts: str, seq: str, code: str, action: str, chunk: Column) -> DataFrame:
+def with_hold(used: DataFrame, key: str, ts: str, seq: str, code: str, action: str, chunk: Column | None) -> DataFrame:
     """Add ``hold`` to every key-up: the time since its key's first accepted down after its last up.
 
     A key-up whose key has no accepted down has no hold. Key-downs get NULL.
@@ -106,6 +110,7 @@ def accepted_presses(events: DataFrame, key: str = "user_id", ts: str = "ts", se
     up, NULL if that up is another key's; a press without an up is left out. ``side="previous"``:
     ``hold`` is that of the last up before the press, NULL if that up had no accepted down.
     """
+    # A person types a bounded number of keys in an hour, so an hour is a fair chunk of any typist's events.
     chunk = F.date_trunc("hour", F.col(ts)) if chunk is None else chunk
     order = [ts, seq]
     known = with_previous(events.select(key, ts, seq, code, action), key, order, [action, ts], chunk)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from keyrhythm.operators.prefix import positions
+from keyrhythm.operators.ranges import with_range
 
 
 def shuffled_order(key: str, seed: int) -> Column:
@@ -12,26 +13,6 @@ def shuffled_order(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
 
 
-def key_bucket(df: DataFrame, key: str, parts: int = 128, per_part: int = 64) -> Column:
-    """A bucket number that follows the order of the key, whatever its type and values.
-
-    The borders are quantiles of ``parts * per_part`` randomly chosen keys, so the buckets are about
-    even. They decide only how the work is spread: every row is placed, NULL keys first.
-    """
-    chosen = df.select(key).where(F.col(key).isNotNull()).orderBy(F.rand(7)).limit(parts * per_part).orderBy(key)
-    sample = [row[0] for row in chosen.collect()]
-    places = sorted({len(sample) * i // parts for i in range(1, parts)} & set(range(len(sample))))
-    borders = [b for n, b in enumerate(sample[i] for i in places) if n == 0 or b != sample[places[n - 1]]]
-
-    def below(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(F.col(key) < F.lit(borders[middle]), below(low, middle)).otherwise(below(middle + 1, high))
-
-    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(below(0, len(borders)))
-
-
 def stratified_split(df: DataFrame, key: str, label: str, test_share: float = 0.4, seed: int = 0) -> DataFrame:
     """Add ``is_test`` (0/1): per label exactly round(share * n) rows, chosen by a seeded order.
 
@@ -44,9 +25,15 @@ def stratified_split(df: DataFrame, key: str, label: str, test_share: float = 0.
     return placed.withColumn("is_test", (F.col("_at") <= wanted).cast("int")).drop("_label", "_order", "_at", "_of")
 
 
+def _in_key_order(df: DataFrame, groups: list[str], key: str) -> DataFrame:
+    """Add the place in the key's order and the size of the group. Rows with a NULL key come first."""
+    ranged = with_range(df, "_range", [key])
+    return positions(ranged, groups, [key], F.coalesce("_range", F.lit(-1)), "_at", "_of").drop("_range")
+
+
 def contiguous_folds(df: DataFrame, key: str, folds: int = 10) -> DataFrame:
     """Add ``fold``: blocks in key order; the first ``n mod folds`` blocks have one row more."""
-    placed = positions(df, [], [key], key_bucket(df, key), "_at", "_of")
+    placed = _in_key_order(df, [], key)
     at = F.col("_at") - 1
     size = F.floor(F.col("_of") / folds)
     longer = F.col("_of") % folds
@@ -59,5 +46,5 @@ def contiguous_folds(df: DataFrame, key: str, folds: int = 10) -> DataFrame:
 
 def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5) -> DataFrame:
     """Add ``fold``: every label is dealt over the folds in key order."""
-    placed = positions(df.withColumn("_label", F.struct(label)), ["_label"], [key], key_bucket(df, key), "_at", "_of")
+    placed = _in_key_order(df.withColumn("_label", F.struct(label)), ["_label"], key)
     return placed.withColumn("fold", ((F.col("_at") - 1) % folds).cast("int")).drop("_label", "_at", "_of")

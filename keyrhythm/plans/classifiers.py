@@ -13,35 +13,73 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol
 from pyspark.sql import DataFrame, functions as F
 
 from keyrhythm.operators.boosting import AdaBoost
 from keyrhythm.operators.gaussian import QuadraticDiscriminant
 from keyrhythm.operators.neighbours import NearestNeighbours
+from keyrhythm.operators.stored import Stored
 from keyrhythm.operators.voting import Voting
+from keyrhythm.plans.pool import fitted
 
 
-class LinearMargin(Estimator):
-    """Linear support vector machine, with probabilities from a logistic fit on its margin."""
+class LinearMargin(Estimator, HasFeaturesCol, HasLabelCol, Stored):
+    """Linear support vector machine with probabilities.
 
-    def __init__(self, **settings):
-        super().__init__()
-        self.settings = settings
+    The machine's margin is too sure on the rows that it was fitted on, so the logistic curve from
+    margin to probability is fitted on margins of rows that their machine has not seen: the rows are
+    dealt into ``folds`` by a hash of their features (equal rows stay together), and each fold is
+    told by a machine of the others. The machine that is kept is fitted on all rows.
+    """
 
-    def _fit(self, dataset: DataFrame) -> "LinearMarginModel":
-        machine = LinearSVC(**self.settings).fit(dataset)
-        told = machine.transform(dataset).drop("prediction")
-        curve = LogisticRegression(
-            featuresCol="rawPrediction", rawPredictionCol="_raw", labelCol=machine.getLabelCol(), regParam=1e-6
-        ).fit(told)
-        return LinearMarginModel(machine, curve)
+    def __init__(self, folds: int = 3, featuresCol: str = "features", labelCol: str = "label", **settings):
+        super().__init__()
+        self._set(featuresCol=featuresCol, labelCol=labelCol)
+        self.folds, self.settings = folds, settings
 
+    def plain(self) -> dict:
+        return {"folds": self.folds, **self.settings}
 
-class LinearMarginModel(Model):
+    def _fit(self, dataset: DataFrame) -> "LinearMarginModel":
+        features, label = self.getFeaturesCol(), self.getLabelCol()
+        machine = LinearSVC(featuresCol=features, labelCol=label, **self.settings)
+        fold = F.pmod(F.xxhash64(vector_to_array(features)), F.lit(self.folds))
+        rows = dataset.select(features, F.col(label).cast("double").alias(label), fold.alias("_fold")).persist()
+        try:
+            parts = [self._others(rows, i, label) for i in range(self.folds)]
+            # Its own machine for each fold and the one of all rows, at the same time.
+            *machines, kept = fitted([(machine, part) for part in (*parts, rows)], self.folds + 1)
+            told = [m.transform(rows.where(F.col("_fold") == i)).select(label, "rawPrediction") for i, m in enumerate(machines)]
+            unseen = told[0]
+            for part in told[1:]:
+                unseen = unseen.unionByName(part)
+            curve = LogisticRegression(
+                featuresCol="rawPrediction", rawPredictionCol="_raw", labelCol=label, regParam=1e-6
+            ).fit(unseen)
+            return LinearMarginModel(kept, curve)
+        finally:
+            rows.unpersist()
+
+    def _others(self, rows: DataFrame, fold: int, label: str) -> DataFrame:
+        """The rows of the other folds; all rows if those lack a class."""
+        others = rows.where(F.col("_fold") != fold)
+        known = others.agg(F.min(label).alias("low"), F.max(label).alias("high")).first()
+        return others if known["low"] != known["high"] else rows
+
+
+class LinearMarginModel(Model, Stored):
     def __init__(self, machine, curve):
         super().__init__()
         self.machine, self.curve = machine, curve
 
+    def parts(self) -> dict[str, Model]:
+        return {"machine": self.machine, "curve": self.curve}
+
+    @classmethod
+    def restored(cls, plain: dict, tables: dict, parts: dict) -> "LinearMarginModel":
+        return cls(**parts)
+
     @property
     def coefficients(self):
         return self.machine.coefficients
@@ -126,3 +164,19 @@ def predictions(model: Model, df: DataFrame, key: str = "key", label: str = "lab
         F.col(key), F.col(label).cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"),
         score.cast("double").alias("score"),
     )
+
+
+def class_scores(model: Model, df: DataFrame, key: str = "key", label: str = "label") -> DataFrame:
+    """Rows (key, label, prediction, scores) with a probability for each class.
+
+    A model without probabilities gives 1 to the class that it predicts and 0 to class 0 or 1 otherwise.
+    """
+    told = model.transform(df)
+    if "probability" in told.columns:
+        scores = vector_to_array("probability")
+    else:
+        scores = F.array((F.col("prediction") != 1).cast("double"), (F.col("prediction") == 1).cast("double"))
+    return told.select(
+        F.col(key), F.col(label).cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"),
+        scores.alias("scores"),
+    )

@@ -9,6 +9,7 @@ from keyrhythm.functions.encode import null_unless_in, one_hot, true_false
 from keyrhythm.operators.filters import inside, keys_of, large_groups, mild_or_untreated, semi_join_spread
 from keyrhythm.operators.impute import handle_missing, negatives_to_mean
 from keyrhythm.operators.profile import observations, profile, widen
+from keyrhythm.operators.sketch import profile_sketched
 from keyrhythm.session import cut_lineage
 from keyrhythm.sources.files import typed_keystrokes
 
@@ -43,11 +44,11 @@ def valid_keystrokes(keystrokes: DataFrame, cohort: DataFrame, config: FeatureCo
 
 
 def statistics(valid: DataFrame, config: FeatureConfig) -> DataFrame:
-    """Rows (user, measure, level, statistics)."""
-    return profile(
-        observations(valid, "user_id", config.measures), ["user_id", "measure", "category"],
-        degenerate=config.degenerate,
-    )
+    """Rows (user, measure, level, statistics), exact or with sketched quartiles as the settings say."""
+    obs, keys = observations(valid, "user_id", config.measures), ["user_id", "measure", "category"]
+    if config.exact:
+        return profile(obs, keys, degenerate=config.degenerate)
+    return profile_sketched(obs, keys, degenerate=config.degenerate, size=config.sketch_size)
 
 
 def feature_tables(profiles: DataFrame, keystrokes: DataFrame, config: FeatureConfig) -> dict[str, DataFrame]:

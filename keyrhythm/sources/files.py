@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from keyrhythm.config import KEYSTROKE_FIELDS, PROFILE_FIELDS
 from keyrhythm.functions.numeric import to_number
 from keyrhythm.functions.text import id_from_log_path, id_from_profile_path, profile_fields
+from keyrhythm.operators.prefix import positions
+from keyrhythm.operators.ranges import with_range
 
 KEYSTROKE_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in KEYSTROKE_FIELDS])
 
@@ -24,6 +26,14 @@ SESSION_SCHEMA = T.StructType([
 # End of fixed values.
 
 
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, user_id, place) of the profile files below a folder, in the order of their names. Contents are not read."""
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    ranged = with_range(files, "_range", ["file"])
+    placed = positions(ranged, [], ["file"], F.col("_range"), "place", "_of").drop("_range", "_of")
+    return placed.select("file", id_from_profile_path("file").alias("user_id"), "place")
+
+
 def read_profiles(spark: SparkSession, path: str, fields: Sequence[str] = tuple(PROFILE_FIELDS)) -> DataFrame:
     """One row per ``User_<id>.txt`` file of ``Key: value`` lines; every field stays text."""
     files = spark.read.text(path, wholetext=True)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from keyrhythm.config import FeatureConfig
+from keyrhythm.operators import sketch
 from keyrhythm.operators.profile import Measure, observations, profile_counts, value_counts
 from keyrhythm.plans.scoring import score_sessions
 from keyrhythm.sources.files import SESSION_SCHEMA
@@ -63,3 +64,27 @@ def running_counts(spark: SparkSession, checkpoint: str) -> DataFrame:
 def running_profile(spark: SparkSession, checkpoint: str, key: str) -> DataFrame:
     """Statistics of all rows seen so far, by the same formulas as in batch."""
     return profile_counts(running_counts(spark, checkpoint), [key, "measure", "category"])
+
+
+def start_window_states(rows: DataFrame, key: str, measures: Sequence[Measure], ts: str, checkpoint: str, sink: str,
+                        window: str = "1 hour", delay: str = "10 minutes", size: int = sketch.SIZE) -> StreamingQuery:
+    """Append the state of every (window, key, measure, level) to a Parquet table once its window is over.
+
+    The job's own state holds a bounded sketch for each group of the windows that are still open:
+    a window is dropped when the watermark (the latest time seen, less ``delay``) passes its end.
+    Rows that come later than that are not counted.
+    """
+    timed = observations(rows.withWatermark(ts, delay), key, measures, keep=[ts])
+    parts = sketch.states(timed, [F.window(ts, window).alias("window"), key, "measure", "category"], size=size)
+    return (
+        parts.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *[c for c in parts.columns if c != "window"])
+        .writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start(sink)
+    )
+
+
+def windowed_profile(spark: SparkSession, sink: str, key: str, by_window: bool = False) -> DataFrame:
+    """Statistics of the closed windows, each or all together by (key, measure, level)."""
+    keys = [*(["window_start", "window_end"] if by_window else []), key, "measure", "category"]
+    parts = spark.read.parquet(sink)
+    return sketch.statistics(parts if by_window else sketch.merged_states(parts, keys), keys)

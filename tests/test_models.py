@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from keyrhythm.operators import metrics as M
 from keyrhythm.operators.boosting import AdaBoost
 from keyrhythm.operators.gaussian import QuadraticDiscriminant
-from keyrhythm.operators.neighbours import nearest_neighbours, neighbour_vote, neighbours_by_rings
+from keyrhythm.operators.neighbours import (
+    NearestNeighbours, ProjectionIndex, nearest_neighbours, neighbour_vote, neighbours_by_rings, neighbours_by_tiles,
+)
 from keyrhythm.operators.scaling import fit_scaling, unit_rows
 from keyrhythm.operators.selection import recursive_elimination
 from keyrhythm.operators.voting import Voting, majority
@@ -35,7 +37,7 @@ def points():
     return train, queries
 
 
-@pytest.mark.parametrize("form", ["broadcast", "rings", "small blocks"])
+@pytest.mark.parametrize("form", ["broadcast", "rings", "small blocks", "tiles", "small tiles"])
 def test_neighbours_are_exact(spark, points, form):
     train, queries = points
     t = spark.createDataFrame([(i, i % 3, x.tolist()) for i, x in enumerate(train)], "key bigint, label int, x array<double>")
@@ -44,12 +46,55 @@ def test_neighbours_are_exact(spark, points, form):
         got = nearest_neighbours(t, q, 7)
     elif form == "rings":
         got = nearest_neighbours(t, q, 7, broadcast_bytes=0)
+    elif form == "tiles":
+        got = neighbours_by_tiles(t, q, 7, "key", "x", "label")
+    elif form == "small tiles":
+        got = neighbours_by_tiles(t.repartition(5), q, 7, "key", "x", "label", block_rows=11, query_rows=8)
     else:
         got = neighbours_by_rings(t, q, 7, "key", "x", "label", pivots=6, rings=4, block_rows=15, query_rows=9)
     rows = {r["key"]: [n["neighbour"] for n in r["neighbours"]] for r in got.collect()}
     assert [rows[i] for i in range(len(queries))] == brute_force(train, queries, 7)
 
 
+@pytest.mark.parametrize("form", ["broadcast", "rings", "tiles"])
+def test_keys_of_text(spark, points, form):
+    train, queries = points
+    t = spark.createDataFrame([(f"t{i:04d}", i % 3, x.tolist()) for i, x in enumerate(train)], "key string, label int, x array<double>")
+    q = spark.createDataFrame([(f"q{i:04d}", x.tolist()) for i, x in enumerate(queries)], "key string, x array<double>")
+    make = {"broadcast": nearest_neighbours, "rings": neighbours_by_rings, "tiles": neighbours_by_tiles}[form]
+    got = make(t, q, 7, "key", "x", "label")
+    rows = {r["key"]: [int(n["neighbour"][1:]) for n in r["neighbours"]] for r in got.collect()}
+    assert [rows[f"q{i:04d}"] for i in range(len(queries))] == brute_force(train, queries, 7)
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_the_index_reaches_its_recall(spark, clustered):
+    """Wide vectors, in clusters and without any structure, where many more buckets must be searched."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 3, (30, 24)) if clustered else np.zeros((1, 24))
+    train = centres[rng.integers(0, len(centres), 3000)] + rng.normal(0, 1, (3000, 24))
+    queries = centres[rng.integers(0, len(centres), 400)] + rng.normal(0, 1, (400, 24))
+    t = spark.createDataFrame([(i, i % 3, x.tolist()) for i, x in enumerate(train)], "key bigint, label int, x array<double>").persist()
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(queries)], "key bigint, x array<double>")
+    index = ProjectionIndex(t, bucket_rows=50, block_rows=40).tune(q, 5, recall=0.93)
+    found = {r["key"]: {n["neighbour"] for n in r["neighbours"] or []} for r in index.search(q, 5, query_rows=150).collect()}
+    exact = brute_force(train, queries, 5)
+    recall = sum(len(found[i] & set(exact[i])) for i in range(len(queries))) / (5 * len(queries))
+    buckets = 2 ** index.planes.normals.shape[1]
+    assert index.measured >= 0.93 and recall >= 0.9 and sum(index.counts.values()) == 3000
+    assert buckets == 64 and index.probes < (32 if clustered else 64)
+    index.probes = buckets
+    whole = {r["key"]: [n["neighbour"] for n in r["neighbours"]] for r in index.search(q, 5).collect()}
+    assert [whole[i] for i in range(len(queries))] == exact
+
+
+def test_neighbours_of_many_classes(spark):
+    rows = [(f"k{i}", float(i % 4), float(i % 4 * 10 + i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "key string, label double, a double").select("key", "label", array_to_vector(F.array("a")).alias("features"))
+    told = NearestNeighbours(5).fit(df).transform(df)
+    assert told.where("label != prediction").count() == 0 and len(told.first()["probability"]) == 4
+
+
 def test_fewer_points_than_k_and_vote_ties(spark):
     t = spark.createDataFrame([(0, 2, [0.0]), (1, 1, [1.0])], "key bigint, label int, x array<double>")
     q = spark.createDataFrame([(0, [0.1])], "key bigint, x array<double>")
@@ -102,7 +147,7 @@ def test_singular_class_is_ridged(spark):
 
 def test_boosting_beats_its_tree_and_stops(spark, blobs):
     rows = features(blobs)
-    model = AdaBoost(rounds=8, maxDepth=1, checkpoint_every=3).fit(rows)
+    model = AdaBoost(rounds=8, maxDepth=1, settle_every=3).fit(rows)
     assert 1 < len(model.trees) <= 8
     boosted = M.accuracy(C.predictions(model, rows)).first()[0]
     stump = M.accuracy(C.predictions(AdaBoost(rounds=1, maxDepth=1).fit(rows), rows)).first()[0]
@@ -185,3 +230,40 @@ def test_class_that_is_never_predicted(spark):
     rows = {r["class"]: r for r in M.per_class(df).collect()}
     assert (rows[2]["precision"], rows[2]["recall"], rows[2]["f1"]) == (0.0, 0.0, 0.0)
     assert M.confusion(df).count() == 4
+
+
+def test_fits_share_a_pool_and_keep_their_order(spark, blobs):
+    rows = features(blobs)
+    models = {"bayes": C.naive_bayes(), "tree": C.tree(3), "discriminant": QuadraticDiscriminant()}
+    done = E.fitted([(m, rows) for m in models.values()], at_once=3)
+    assert [type(m).__name__ for m in done] == ["NaiveBayesModel", "DecisionTreeClassificationModel", "QuadraticDiscriminantModel"]
+    assert E.fitted([]) == []
+
+
+def test_test_and_score_averages_over_the_classes(spark):
+    rng = np.random.default_rng(2)
+    made = [(i, float(i % 3), float(rng.normal(i % 3)), float(rng.normal())) for i in range(150)]
+    df = spark.createDataFrame(made, "key long, label double, a double, b double").select("key", "label", array_to_vector(F.array("a", "b")).alias("features"))
+    report = E.test_and_score(df, {"bayes": C.naive_bayes()}, folds=3)
+    got = {(r["fold"], r["metric"]): r["value"] for r in report.collect()}
+    assert len(got) == 15 and all(0.3 < v <= 1 for v in got.values())
+    split = E.stratified_folds(df, "key", "label", 3).persist()
+    for fold in range(3):
+        model = C.naive_bayes().fit(split.where(F.col("fold") != fold))
+        told = model.transform(split.where(F.col("fold") == fold)).toPandas()
+        scores = np.stack(told["probability"].apply(lambda v: v.toArray()).to_numpy())
+        areas = []
+        for c in range(3):
+            own, other = scores[told["label"] == c, c], scores[told["label"] != c, c]
+            areas.append(((own[:, None] > other[None]) + 0.5 * (own[:, None] == other[None])).mean())
+        assert got[fold, "auc"] == pytest.approx(np.mean(areas), abs=1e-9)
+        assert got[fold, "accuracy"] == pytest.approx((told["label"] == told["prediction"]).mean())
+
+
+def test_sweep_tells_the_best_so_far(spark, blobs):
+    out = E.sweep(blobs, ["a", "b", "c"], [3, 2, 1], "label", "key", {"bayes": C.naive_bayes(), "tree": C.tree(2)}, folds=3).orderBy("step").collect()
+    assert [(r["step"], r["features"], r["model"]) for r in out] == [(i, 3 - i // 2, ("bayes", "tree")[i % 2]) for i in range(6)]
+    for name in ("bayes", "tree"):
+        own = [r for r in out if r["model"] == name]
+        assert [r["best"] for r in own] == [max(r["accuracy"] for r in own[: i + 1]) for i in range(3)]
+    assert all(0.5 < r["cv_accuracy"] <= 1 for r in out)

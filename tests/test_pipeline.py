@@ -241,3 +241,35 @@ def test_tables_survive_text(spark, tmp_path):
         write_table(df, path, form)
         reader = spark.read.schema(df.schema).option("header", form == "csv").option("sep", "\t" if form == "tsv" else ",")
         assert sorted(reader.csv(path).collect()) == sorted(df.collect())
+
+
+@pytest.mark.parametrize("digit", range(10))
+def test_profile_values_may_end_in_any_digit(spark, digit):
+    """Every line's value ends in the digit, whatever the line's place is."""
+    from keyrhythm.config import PROFILE_FIELDS
+    from keyrhythm.functions.text import profile_fields
+
+    text = "".join(f"{name}:  v{digit}{digit} \r\n" for name in PROFILE_FIELDS)
+    row = spark.createDataFrame([(text,)], "t string").select(*profile_fields("t", PROFILE_FIELDS)).first()
+    assert row.asDict() == {name: f"v{digit}{digit}" for name in PROFILE_FIELDS}
+
+
+def test_raw_files_are_written_under_the_recorder_s_names(spark, tmp_path):
+    from keyrhythm.config import KEYSTROKE_FIELDS
+    from keyrhythm.sources.files import list_files
+    from keyrhythm.sources.raw import write_log_files, write_profile_files
+
+    profiles = spark.createDataFrame([(f"{i:010d}", f"Gender: Male{i}\r\n") for i in range(25)], "user_id string, text string")
+    assert write_profile_files(profiles, str(tmp_path / "users")) == 25
+    assert sorted(p.name for p in (tmp_path / "users").iterdir()) == [f"User_{i:010d}.txt" for i in range(25)]
+    assert [tuple(r) for r in list_files(spark, str(tmp_path / "users")).orderBy("place").collect()] == [
+        (f"User_{i:010d}.txt", f"{i:010d}", i + 1) for i in range(25)]
+    assert {r["user_id"]: r["Gender"] for r in read_profiles(spark, str(tmp_path / "users")).collect()}["0000000019"] == "Male19"
+    logs = spark.createDataFrame([(f"{i % 3:010d}", f"16{8 + i % 2:02d}01", "10:00:00.000", "L", f"{i:04d}.0", "LL", "0100.0", None, i) for i in range(90)],
+                                 ", ".join(f"`{c}` string" for c in KEYSTROKE_FIELDS) + ", n int")
+    assert write_log_files(logs, str(tmp_path / "logs"), KEYSTROKE_FIELDS, ["n"]) == 6
+    assert sorted(p.name for p in (tmp_path / "logs").iterdir()) == [f"{i:010d}_{m}.txt" for i in range(3) for m in ("1608", "1609")]
+    first = (tmp_path / "logs" / "0000000000_1608.txt").read_bytes().split(b"\r\n")
+    assert [line.split(b"\t")[4] for line in first[:3]] == [b"0000.0", b"0006.0", b"0012.0"] and first[0].endswith(b"\t") and first[-1] == b""
+    read = read_keystrokes(spark, str(tmp_path / "logs"))
+    assert read.count() == 90 and read.where("file_id != user_id").count() == 0

@@ -10,7 +10,8 @@ from keyrhythm.functions.keys import hand_of
 from keyrhythm.functions.numeric import magnitude_bucket
 from keyrhythm.operators.prefix import positions, running_totals
 from keyrhythm.operators.sequence import keystrokes_from_key_events, latencies, with_previous
-from keyrhythm.operators.splits import contiguous_folds, key_bucket, stratified_folds, stratified_split
+from keyrhythm.operators.ranges import with_range
+from keyrhythm.operators.splits import contiguous_folds, stratified_folds, stratified_split
 
 START = dt.datetime(2024, 1, 1, 10, 0, 0)
 
@@ -141,17 +142,54 @@ def test_stratified(spark):
 
 
 @pytest.mark.parametrize("key", ["user_{:014d}", 1_700_000_000_000, "2024"])
-def test_key_buckets_follow_any_key(spark, key):
+def test_ranges_follow_any_key(spark, key):
     """Long common prefixes, large numbers and dates are spread alike; NULL keys stay."""
     number = F.col("id")
     value = F.concat(F.lit("user_"), F.lpad(number.cast("string"), 14, "0")) if key == "user_{:014d}" else (
         number + F.lit(key) if isinstance(key, int) else F.date_add(F.lit(dt.date(2024, 1, 1)), number.cast("int")))
     df = spark.range(20_000).select(value.alias("key"), (number % 3).alias("label"))
     df = df.unionByName(spark.range(2).select(F.lit(None).cast(df.schema["key"].dataType).alias("key"), F.lit(None).cast("bigint").alias("label")))
-    sizes = df.groupBy(key_bucket(df, "key").alias("b")).agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    sizes = with_range(df, "b", ["key"]).groupBy("b").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
     sizes = sizes.orderBy("b").collect()
-    assert len(sizes) > 100 and max(r["n"] for r in sizes) < 600
+    assert len(sizes) > 100 and max(r["n"] for r in sizes) < 600 and [r["b"] for r in sizes if r["lo"] is None] == [None]
     assert all(a["hi"] < b["lo"] for a, b in zip(sizes[1:], sizes[2:]))
     assert contiguous_folds(df, "key", 10).groupBy("fold").count().agg(F.sum("count"), F.max("count")).first()[:] == (20_002, 2001)
     assert stratified_folds(df, "key", "label", 5).count() == 20_002
     assert stratified_split(df.where("key IS NOT NULL"), "key", "label").count() == 20_000
+
+
+def spread(ranged, name="b"):
+    """Ranges that hold rows, and the share of the largest."""
+    sizes = [r["count"] for r in ranged.groupBy(name).count().collect()]
+    return len(sizes), max(sizes) / sum(sizes)
+
+
+def test_close_values_and_scores_are_spread(spark):
+    close = spark.range(100_000).select((F.lit(1000.0) + F.col("id") * 31.0 / 100_000).alias("v"), F.lit(1).alias("g"))
+    scores = spark.range(100_000).select((F.lit(0.5) + (F.col("id") - 50_000) * 1e-12).alias("v"), F.lit(1).alias("g"))
+    for rows in (close, scores):
+        ranges, largest = spread(with_range(rows, "b", ["v"], ["g", "v"]))
+        assert ranges >= 32 and largest <= 1 / 32
+
+
+def test_a_heavy_user_and_a_heavy_instant_are_spread(spark):
+    n = F.col("id")
+    # One user has a third of the rows, half of them at the same instant; the others are spread over a year.
+    heavy = n % 3 == 0
+    ts = F.when(heavy & (n % 2 == 0), F.lit(1_700_000_000)).when(heavy, F.lit(1_700_000_000) + n % 60).otherwise(F.lit(1_700_000_000) + n * 97 % 31_536_000)
+    rows = spark.range(90_000).select(F.when(heavy, F.lit(0)).otherwise(n % 500 + 1).alias("user"), F.timestamp_seconds(ts).alias("ts"), n.alias("seq"))
+    ranged = with_range(rows, "b", ["ts", "seq"], ["user", "ts", "seq"])
+    ranges, largest = spread(ranged.where("user = 0"))
+    assert ranges >= 32 and largest <= 1 / 16
+    orders = ranged.groupBy("b").agg(F.min(F.struct("ts", "seq")).alias("lo"), F.max(F.struct("ts", "seq")).alias("hi")).orderBy("b").collect()
+    assert all(a["hi"] < b["lo"] for a, b in zip(orders, orders[1:]))
+    got = with_previous(rows, "user", ["ts", "seq"], ["seq"], position="place").where("user = 0").select("place", "seq", "previous.seq").orderBy("place").collect()
+    wanted = [r["seq"] for r in rows.where("user = 0").orderBy("ts", "seq").collect()]
+    assert [r[1] for r in got] == wanted and [r[2] for r in got] == [None, *wanted[:-1]] and [r[0] for r in got] == list(range(1, 30_001))
+
+
+def test_ranges_of_nothing_and_of_one_value(spark):
+    none = spark.createDataFrame([], "v double")
+    assert with_range(none, "b", ["v"]).count() == 0
+    same = spark.createDataFrame([(2.0,)] * 5 + [(None,)], "v double")
+    assert {(r["v"], r["b"] is None) for r in with_range(same, "b", ["v"]).collect()} == {(2.0, False), (None, True)}
