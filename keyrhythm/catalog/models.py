@@ -24,7 +24,7 @@ from keyrhythm.session import new_folder, settled
 from keyrhythm.sources.models import fit_pipeline, load_pipeline, save_model
 
 #: Rounds of the boosted models in the report, of which six are fitted each.
-REPORT_ROUNDS = 50
+REPORT_ROUNDS = 10
 
 
 def _split(spark, folder):

@@ -117,12 +117,13 @@ class AdaBoost(Estimator, HasFeaturesCol, HasLabelCol, Stored):
         classes = max(2, top + 1)
         cuts = cut_points(rows, "x", self.bins)
         state = settled(_binned(rows, cuts, classes))
+        tasks = state.rdd.getNumPartitions()
         trees: list[Tree] = []
         fresh: list[Tree] = []
         reference = 0.0
         try:
             for number in range(self.rounds):
-                tree, wrong, total = self._round(state, fresh, classes, cuts, reference)
+                tree, wrong, total = self._round(state, fresh, classes, cuts, reference, tasks)
                 trees.append(tree)
                 if wrong <= 0 or not math.isfinite(total):
                     break
@@ -132,12 +133,13 @@ class AdaBoost(Estimator, HasFeaturesCol, HasLabelCol, Stored):
                 if len(fresh) == self.settle_every and number + 1 < self.rounds:
                     older, state = state, settled(_advanced(state, fresh, classes))
                     older.unpersist()
-                    fresh = []
+                    fresh, tasks = [], state.rdd.getNumPartitions()
         finally:
             state.unpersist()
         return AdaBoostModel(_with_values(trees, cuts), classes, len(cuts), self.getFeaturesCol())
 
-    def _round(self, state: DataFrame, fresh: list[Tree], classes: int, cuts: list[np.ndarray], reference: float):
+    def _round(self, state: DataFrame, fresh: list[Tree], classes: int, cuts: list[np.ndarray], reference: float,
+               tasks: int):
         """A tree on the present weights, the weight of the rows it gets wrong, and the total weight."""
         tree = Tree(*(np.full(1, v) for v in (-1, 0.0, 0.0, -1)), np.zeros((1, classes)))
         weights = [np.zeros(classes)]
@@ -147,7 +149,7 @@ class AdaBoost(Estimator, HasFeaturesCol, HasLabelCol, Stored):
             below: list[int] = []
             for start in range(0, len(active), at_once):
                 nodes = active[start : start + at_once]
-                cells = _histogram(state, fresh, tree, nodes, classes, len(cuts), self.bins, self.rate, reference)
+                cells = _histogram(state, fresh, tree, nodes, classes, len(cuts), self.bins, self.rate, reference, tasks)
                 if nodes == [0]:
                     weights[0] = cells[0, 0].sum(axis=0)
                 for node, own in zip(nodes, cells):
@@ -198,8 +200,8 @@ def _advanced(state: DataFrame, fresh: list[Tree], classes: int) -> DataFrame:
 
 
 def _histogram(state: DataFrame, fresh: list[Tree], tree: Tree, nodes: list[int], classes: int, features: int, bins: int,
-               rate: float, reference: float) -> np.ndarray:
-    """Weights by (node, feature, bin, class), summed in the tasks first."""
+               rate: float, reference: float, tasks: int) -> np.ndarray:
+    """Weights by (node, feature, bin, class), summed in the ``tasks`` first; one task's sums are the whole."""
     shape = (len(nodes), features, bins, classes)
     factor = -rate * (classes - 1) / classes
     slot = np.full(len(tree.feature), -1)
@@ -219,9 +221,12 @@ def _histogram(state: DataFrame, fresh: list[Tree], tree: Tree, nodes: list[int]
         cell = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(cells[cell])], names=["cell", "w"])
 
-    told = state.mapInArrow(counted, "cell bigint, w double").groupBy("cell").agg(F.sum("w").alias("w")).toPandas()
+    told = state.mapInArrow(counted, "cell bigint, w double")
+    if tasks > 1:
+        told = told.groupBy("cell").agg(F.sum("w").alias("w"))
+    told = told.toArrow()
     out = np.zeros(int(np.prod(shape)))
-    out[told["cell"]] = told["w"]
+    out[told["cell"].to_numpy()] = told["w"].to_numpy()
     return out.reshape(shape)
 
 
