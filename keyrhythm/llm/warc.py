@@ -182,36 +182,54 @@ def records(source: _Bytes, start: int, end: int) -> Iterator[tuple[int, bytes]]
 
 
 def parse(content: bytes) -> dict:
-    """A record's fields. The payload is what follows the HTTP header; a revisit has none."""
+    """A record's fields. The payload is what follows the HTTP header; a revisit has none.
+
+    Field names count in any case. A length that is no number counts as missing: what is there is taken.
+    """
     head, _, block = content.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-    block = block[: int(fields.get("Content-Length", len(block)))]
-    http, _, payload = block.partition(b"\r\n\r\n") if fields.get("Content-Type", "").startswith("application/http") else (b"", b"", block)
-    told = dict(line.split(": ", 1) for line in http.decode("latin-1").split("\r\n")[1:] if ": " in line)
+    fields = _fields(head.decode("utf-8", "replace"))
+    block = block[: _length(fields, len(block))]
+    http, _, payload = block.partition(b"\r\n\r\n") if fields.get("content-type", "").lower().startswith("application/http") else (b"", b"", block)
+    told = _fields(http.decode("latin-1"))
     return {
-        "record_id": fields.get("WARC-Record-ID"), "record_type": fields.get("WARC-Type"), "refers_to": fields.get("WARC-Refers-To"),
-        "target_uri": fields.get("WARC-Target-URI"), "payload_digest": fields.get("WARC-Payload-Digest"),
-        "payload_bytes": int(told.get("Content-Length", len(payload))), "payload": payload,
+        "record_id": fields.get("warc-record-id"), "record_type": fields.get("warc-type"), "refers_to": fields.get("warc-refers-to"),
+        "target_uri": fields.get("warc-target-uri"), "payload_digest": fields.get("warc-payload-digest"),
+        "payload_bytes": _length(told, len(payload)), "payload": payload,
     }
 
 
+def _fields(head: str) -> dict[str, str]:
+    """Header lines behind the first, by their names in lower case."""
+    named = (line.partition(":") for line in head.split("\r\n")[1:])
+    return {name.strip().lower(): value.strip() for name, colon, value in named if colon}
+
+
+def _length(fields: dict[str, str], there: int) -> int:
+    told = fields.get("content-length", "")
+    return int(told) if told.isascii() and told.isdigit() and len(told) < 19 else there
+
+
 def _file_system(path: str):
     """Spark writes local paths as file:/x; the file system library wants file:///x."""
     scheme, colon, rest = path.partition(":/")
     return fs.FileSystem.from_uri(f"{scheme}:///{rest.lstrip('/')}" if colon and not rest.startswith("/") else path)
 
 
-def read_warc(spark: SparkSession, folder: str, split_bytes: int = 8 << 20, batch_bytes: int = 8 << 20) -> DataFrame:
+def read_warc(spark: SparkSession, folder: str, split_bytes: int = 8 << 20, batch_bytes: int = 8 << 20,
+              most_tasks: int = 100_000) -> DataFrame:
     """All records below ``folder``: file, offset, header fields and payload.
 
-    Files are cut into ranges of ``split_bytes``, dealt over the tasks, whatever their number and
-    sizes. The files must lie where the tasks' file system library reaches them. A member nested
-    without compression inside another is told apart unless it fills a whole range.
+    Files are cut into ranges of ``split_bytes``, dealt over as many tasks (``most_tasks`` at most),
+    whatever the files' number and sizes. The files must lie where the tasks' file system library
+    reaches them. A member nested without compression inside another is told apart unless it fills a
+    whole range. Empty files have no records; a folder without files is an error of Spark's reader.
+    Header fields that a record lacks are NULL.
     """
-    files = spark.read.format("binaryFile").load(folder).select("path", "length")
-    ranges = files.where("length > 0").select(
-        "path", F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(split_bytes))).alias("start"))
-    ranges = ranges.repartition("path", "start")
+    files = spark.read.format("binaryFile").load(folder).select("path", "length").where("length > 0")
+    count = files.agg(F.sum(F.ceil(F.col("length") / split_bytes))).first()[0] or 1
+    ranges = files.select("path", F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(split_bytes))).alias("start"))
+    # A given number of parts: the rows are too small for Spark to see the work behind them.
+    ranges = ranges.repartition(int(min(count, most_tasks)), F.xxhash64("path", "start"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("warc_file", pa.string()), ("warc_offset", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()),
