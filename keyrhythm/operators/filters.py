@@ -29,18 +29,14 @@ def keys_of(df: DataFrame, key: str, alias: str | None = None) -> DataFrame:
     return df.select(F.col(key).alias(alias or key)).where(F.col(key).isNotNull()).distinct()
 
 
-def semi_join_spread(rows: DataFrame, keys: DataFrame, key: str, salts: int = 32) -> DataFrame:
-    """Rows whose key is in ``keys`` (one row per key), with a heavy key split over ``salts`` tasks.
+def semi_join_spread(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is in ``keys`` (one row per key), with a heavy key split over several tasks.
 
-    The large side is salted by its own content and the key list is repeated once per salt. If the
-    key list is small Spark broadcasts it after checking its size, and the salt costs nothing.
+    Spark measures the key list before it joins: a short one is broadcast, once per key, so that no row
+    moves. A longer one is joined by a shuffle, in which adaptive execution cuts a heavy key's rows
+    into parts and gives each the few keys that it needs. No key is ever repeated by this function.
     """
-    others = [F.col(c) for c in rows.columns if c != key]
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int"))
-    repeated = keys.select(
-        F.col(key), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
-    )
-    return salted.join(repeated, [key, "_salt"], "left_semi").select(*rows.columns)
+    return rows.join(keys.select(key), key, "left_semi").select(*rows.columns)
 
 
 def large_groups(rows: DataFrame, key: str, more_than: int) -> DataFrame:

@@ -134,6 +134,18 @@ def test_heavy_key_in_semi_join_and_group_rule(spark):
     assert keep_large_groups(df, "key", 668).count() == 0
 
 
+def test_semi_join_repeats_no_key(spark):
+    df = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("key"))
+    out = semi_join_spread(df, spark.createDataFrame([(1,), (4,), (-9,)], "key bigint"), "key")
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    # By a shuffle, without a broadcast, the rows are the same.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert out.count() == 669
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_levels_are_fixed_or_observed(spark):
     df = spark.createDataFrame([(1, "b"), (2, "a"), (3, None)], "k int, c string")
     assert one_hot(df, "c").columns == ["k", "c_a", "c_b"]
