@@ -244,3 +244,34 @@ def test_gradient_is_the_slope():
         up = loss()
         network.weights[k][at] -= 2e-5
         assert abs((up - loss()) / 2e-5 - slopes[k][at]) < 1e-4
+
+
+def test_every_word_is_trained_on_and_pieces_leave_no_seam(spark, monkeypatch):
+    """The steps of a round take each word of the corpus once, in pieces that break documents too."""
+    docs = spark.createDataFrame([(i, prose(i, 37 * i)) for i in range(9)], "_id bigint, _text string").coalesce(1)
+    n = sum(37 * i for i in range(9))
+    vocabulary = pseudo_likelihood.build_vocabulary(pseudo_likelihood.count_words(docs, "_text"), 128, 63)
+    column = pa.array([bytes(r.classes) for r in pseudo_likelihood.coded(docs, "_id", "_text", vocabulary).orderBy("_id").collect()])
+    ((first, classes),) = pseudo_likelihood._unpacked(column, 128)
+    assert len(classes) == n
+    whole = pseudo_likelihood.neighbours(classes, first, 127)
+    monkeypatch.setattr(pseudo_likelihood, "PIECE", 50)
+    cut = [(a, b, sides) for a, b, sides in pseudo_likelihood._pieces(classes, first, 127)]
+    assert max(b - a for a, b, _ in cut) == 50 and np.array_equal(np.concatenate([sides for _, _, sides in cut]), whole)
+    network, stepped = pseudo_likelihood.Network(128, 4, 4), []
+    network.step = lambda sides, target, rate: stepped.append(len(target))
+
+    class Start:
+        value = network.flat()
+
+    batch = pa.RecordBatch.from_arrays([column], names=["classes"])
+    (out,) = pseudo_likelihood._train_part(network, Start, 0.1, 16)([batch])
+    assert sum(stepped) == n and out.column(0)[0].as_py() == n
+
+
+def test_rounds_over_the_corpus_raise_its_likelihood(spark):
+    docs = spark.createDataFrame([(i, prose(i % 4, 300)) for i in range(40)], "doc_id bigint, text string").coalesce(2)
+    few, more = ({r.doc_id: r for r in pseudo_likelihood.pseudo_likelihood(docs, rounds=k).collect()} for k in (0, 4))
+    assert len(more) == 40 and all(r.n_words == 300 for r in more.values())
+    assert abs(more[1].log_likelihood - more[5].log_likelihood) < 1e-6
+    assert sum(r.log_likelihood for r in more.values()) > sum(r.log_likelihood for r in few.values())
