@@ -267,3 +267,23 @@ def test_sweep_tells_the_best_so_far(spark, blobs):
         own = [r for r in out if r["model"] == name]
         assert [r["best"] for r in own] == [max(r["accuracy"] for r in own[: i + 1]) for i in range(3)]
     assert all(0.5 < r["cv_accuracy"] <= 1 for r in out)
+
+
+def test_narrow_points_are_searched_by_leaves(spark):
+    """The same neighbours as by brute force, from a small part of the points; equal vectors leave their k smallest keys."""
+    import pyarrow as pa
+
+    from keyrhythm.operators import neighbours as N
+
+    rng = np.random.default_rng(0)
+    for width, step in ((2, 1.0), (3, 0.0)):
+        x = rng.normal(size=(6000, width)) * 3
+        x = np.floor(x / step) if step else x
+        held = N.Points(pa.table({"key": np.arange(len(x)), "label": np.zeros(len(x), np.int32), "x": pa.array(list(x))}), "key", "label", "x")
+        asked = np.concatenate([x[:150], rng.normal(size=(50, width)) * 9])
+        got = held.lists(asked, 5).to_pylist()
+        for row, at, squared in N.k_smallest(asked, x, 5):
+            assert [n["neighbour"] for n in got[row]] == list(at) and [n["distance"] for n in got[row]] == list(np.sqrt(squared))
+        assert held.boxes is not None and max(len(m) for m in held.boxes[0]) <= N.LEAF
+    rows = spark.range(1000).selectExpr("id AS key", "array(CAST(id % 7 AS DOUBLE), 0D) AS x", "CAST(id % 2 AS INT) AS label")
+    assert sorted(r.key for r in N.fewest(rows, 3, "key", "x").collect()) == list(range(21))
