@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from keyrhythm.config import KEYSTROKE_FIELDS, PROFILE_FIELDS
@@ -11,6 +15,7 @@ from keyrhythm.functions.numeric import to_number
 from keyrhythm.functions.text import id_from_log_path, id_from_profile_path, profile_fields
 from keyrhythm.operators.prefix import positions
 from keyrhythm.operators.ranges import with_range
+from keyrhythm.sources.raw import opened
 
 KEYSTROKE_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in KEYSTROKE_FIELDS])
 
@@ -26,9 +31,36 @@ SESSION_SCHEMA = T.StructType([
 # End of fixed values.
 
 
+def _found(spark: SparkSession, path: str) -> DataFrame:
+    """(folder, file) of the files in a folder that are not empty, in as many parts as a shuffle has.
+
+    A task lists the folder, not the driver, which therefore holds no file's status; and Spark's own
+    reader would take a task for every few small files.
+    """
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                system, base = opened(folder)
+                if isinstance(system, fs.LocalFileSystem):
+                    with os.scandir(base) as entries:
+                        yield from _named(folder, (e.name for e in entries if e.is_file() and e.stat().st_size))
+                else:
+                    yield from _named(folder, (f.base_name for f in system.get_file_info(fs.FileSelector(base)) if f.is_file and f.size))
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    folders = spark.createDataFrame([(path,)], "folder string").coalesce(1)
+    return folders.mapInArrow(names, "folder string, file string").repartition(parts, "file")
+
+
+def _named(folder: str, names: Iterator[str], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    names = (n for n in names if not n.startswith(("_", ".")))
+    while some := list(islice(names, rows)):
+        yield pa.RecordBatch.from_pydict({"folder": pa.array([folder] * len(some), pa.string()), "file": pa.array(some, pa.string())})
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, user_id, place) of the profile files below a folder, in the order of their names. Contents are not read."""
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    """(file, user_id, place) of the profile files in a folder, in the order of their names. Contents are not read."""
+    files = _found(spark, path).select("file")
     ranged = with_range(files, "_range", ["file"])
     placed = positions(ranged, [], ["file"], F.col("_range"), "place", "_of").drop("_range", "_of")
     return placed.select("file", id_from_profile_path("file").alias("user_id"), "place")
@@ -36,10 +68,20 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_profiles(spark: SparkSession, path: str, fields: Sequence[str] = tuple(PROFILE_FIELDS)) -> DataFrame:
     """One row per ``User_<id>.txt`` file of ``Key: value`` lines; every field stays text."""
-    files = spark.read.text(path, wholetext=True)
-    return files.select(
-        id_from_profile_path(F.col("_metadata.file_path")).alias("user_id"), *profile_fields("value", fields)
-    )
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                texts = []
+                for folder, file in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    system, base = opened(folder)
+                    with system.open_input_stream(f"{base}/{file}", compression=None) as stream:
+                        texts.append(stream.read())
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(texts, pa.binary())], names=["file", "bytes"])
+
+    files = _found(spark, path).mapInArrow(contents, "file string, bytes binary")
+    files = files.select("file", F.col("bytes").cast("string").alias("value"))
+    return files.select(id_from_profile_path("file").alias("user_id"), *profile_fields("value", fields))
 
 
 def read_keystrokes(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -93,6 +135,9 @@ def write_table(df: DataFrame, path: str, form: str = "csv") -> None:
         df.write.option("header", True).csv(path)
     elif form == "tsv":
         df.write.option("sep", "\t").option("header", False).csv(path)
+    elif form == "json":
+        # Repeated field names make up most of JSON lines; the readers unpack them by the files' names.
+        df.write.option("compression", "gzip").json(path)
     else:
         df.write.format(form).save(path)
 

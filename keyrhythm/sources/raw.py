@@ -13,14 +13,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
 
-def _opened(folder: str):
+def opened(folder: str):
+    """(file system, path in it) of a folder."""
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 
 def write_profile_files(profiles: DataFrame, folder: str, user_id: str = "user_id", text: str = "text") -> int:
     """Write ``User_<id>.txt`` for each row; returns how many."""
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = _opened(folder)
+        system, base = opened(folder)
         system.create_dir(base, recursive=True)
         n = 0
         for batch in batches:
@@ -45,7 +46,7 @@ def write_log_files(rows: DataFrame, folder: str, fields: Sequence[str], order:
     sorted_rows = told.repartition(partitions, "_name").sortWithinPartitions("_name", *order).select("_name", "_line")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = _opened(folder)
+        system, base = opened(folder)
         system.create_dir(base, recursive=True)
         n, name, file = 0, None, None
         try:

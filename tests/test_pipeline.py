@@ -285,3 +285,37 @@ def test_raw_files_are_written_under_the_recorder_s_names(spark, tmp_path):
     assert [line.split(b"\t")[4] for line in first[:3]] == [b"0000.0", b"0006.0", b"0012.0"] and first[0].endswith(b"\t") and first[-1] == b""
     read = read_keystrokes(spark, str(tmp_path / "logs"))
     assert read.count() == 90 and read.where("file_id != user_id").count() == 0
+
+
+def test_small_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    from keyrhythm.sources.files import list_files
+
+    folder = tmp_path / "users"
+    folder.mkdir()
+    for name, text in (("User_000000000b.txt", "Gender: Male\r\n"), ("User_000000000a.txt", "Gender: Ünsure\r\n"), ("User_000000000c.txt", ""), ("_SUCCESS", "x")):
+        (folder / name).write_text(text, encoding="utf-8", newline="")
+    read, listed = read_profiles(spark, str(folder)), list_files(spark, str(folder))
+    assert all("Relation" not in df._jdf.queryExecution().optimizedPlan().toString() for df in (read, listed))
+    assert {r["user_id"]: r["Gender"] for r in read.collect()} == {"000000000a": "Ünsure", "000000000b": "Male"}
+    assert [r["file"] for r in listed.orderBy("place").collect()] == ["User_000000000a.txt", "User_000000000b.txt"]
+
+
+def test_json_lines_are_packed(spark, tmp_path):
+    rows = spark.createDataFrame([(f"s{i}", ("Male", "Yes", None), [("L", "1.0", "LL", None, "2.0")] * i) for i in range(3)],
+                                 "session_id string, profile struct<Gender:string,Tremors:string,Sided:string>, "
+                                 "keys array<struct<Hand:string,`Hold time`:string,Direction:string,`Latency time`:string,`Flight time`:string>>")
+    write_table(rows, str(tmp_path / "sessions"), "json")
+    assert all(p.name.endswith(".json.gz") for p in (tmp_path / "sessions").glob("part-*"))
+    assert sorted(read_sessions(spark, str(tmp_path / "sessions")).collect()) == sorted(rows.collect())
+
+
+def test_posted_keys_are_written_by_one_call(spark, tmp_path):
+    from keyrhythm.catalog.sessions import posted_sessions, sessions
+
+    spark.createDataFrame([(1, "en", 9, "a bb  cccc"), (2, "fr", 1, "one"), (3, None, 0, ""), (4, "de", None, None)],
+                          "doc_id bigint, lang string, n_chars bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    posted = posted_sessions(spark, str(tmp_path))
+    got = {r.session_id: r["keys"] for r in posted.collect()}
+    want = {r.session_id: r["keys"] for r in sessions(spark, str(tmp_path)).collect()}
+    assert {k: got[k] for k in "123"} == {k: want[k] for k in "123"} and len(got["1"]) == 2
+    assert "transform(keys" not in posted._jdf.queryExecution().analyzed().toString()
