@@ -10,8 +10,8 @@ from keyrhythm.operators.filters import inside, keys_of, large_groups, mild_or_u
 from keyrhythm.operators.impute import handle_missing, negatives_to_mean
 from keyrhythm.operators.profile import observations, profile, widen
 from keyrhythm.operators.sketch import profile_sketched
-from keyrhythm.session import cut_lineage
-from keyrhythm.sources.files import typed_keystrokes
+from keyrhythm.session import cut_lineage, stored
+from keyrhythm.sources.files import DURATIONS, typed_keystrokes
 
 
 def clean_profiles(profiles: DataFrame, config: FeatureConfig) -> DataFrame:
@@ -56,7 +56,10 @@ def feature_tables(profiles: DataFrame, keystrokes: DataFrame, config: FeatureCo
 
     In ``both`` a user needs a valid hold row; latency columns may be missing.
     """
-    cohort = clean_profiles(users_with_logs(profiles, keystrokes), config)
+    # Raw files are opened once: the rows are asked for several times, by few columns each.
+    used = dict.fromkeys(["user_id", "file_id", *DURATIONS, *[m.category for m in config.measures]])
+    keystrokes = stored(keystrokes.select(*used), "keystrokes")
+    cohort = cut_lineage(clean_profiles(users_with_logs(profiles, keystrokes), config))
     # Settled once, so that the log is read for one set of statistics and not for each of the tables.
     stats = cut_lineage(statistics(valid_keystrokes(keystrokes, cohort, config), config))
     needed = list(dict.fromkeys([*config.stats, *(["mean"] if config.differences else [])]))

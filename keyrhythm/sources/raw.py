@@ -31,7 +31,9 @@ def write_profile_files(profiles: DataFrame, folder: str, user_id: str = "user_i
                 n += 1
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
-    return profiles.select(user_id, text).mapInArrow(put, "n bigint").agg(F.sum("n")).first()[0] or 0
+    # A short table is read by few tasks, but every row costs a file.
+    rows = profiles.select(user_id, text).repartition(profiles.sparkSession.sparkContext.defaultParallelism, user_id)
+    return rows.mapInArrow(put, "n bigint").agg(F.sum("n")).first()[0] or 0
 
 
 def write_log_files(rows: DataFrame, folder: str, fields: Sequence[str], order: Sequence[str], user_id: str = "user_id",

@@ -300,6 +300,45 @@ def test_small_files_are_listed_and_read_by_tasks(spark, tmp_path):
     assert [r["file"] for r in listed.orderBy("place").collect()] == ["User_000000000a.txt", "User_000000000b.txt"]
 
 
+def test_logs_are_read_by_tasks_as_spark_reads_them(spark, tmp_path):
+    import gzip
+
+    from keyrhythm.functions.text import id_from_log_path
+    from keyrhythm.sources.files import KEYSTROKE_SCHEMA
+
+    folder = tmp_path / "data"
+    folder.mkdir()
+    row = "\t".join(["000000000a", "160801", "10:00:00.000", "L", "0001.0", "LL", "0002.0", "0100.0", ""])
+    odd = [row, "", " \t ", "short\tline", row + "\tmore", '"quoted\tfield"\tx', '"open\tx', "Ünsure\t\t\x00\t", "\t\t\ta"]
+    texts = {"a_1608": "\r\n".join([row] * 40) + "\r\n", "b_1608": "\n".join(odd), "c_1609": "\r".join([row] * 3), "d_1609": "\ufeff" + row + "\r\n\r\n" + row,
+             "_hidden": row, "e_1608": ""}
+    for name, text in texts.items():
+        (folder / f"00000000{name}.txt" if name[0] != "_" else folder / name).write_bytes(text.encode())
+    (folder / "00000000f_1608.txt.gz").write_bytes(gzip.compress((row + "\r\n").encode() * 30))
+    expected = spark.read.schema(KEYSTROKE_SCHEMA).option("sep", "\t").csv(str(folder)).withColumn("file_id", id_from_log_path(F.col("_metadata.file_path")))
+    want = sorted(map(str, expected.collect()))
+    for options in ({}, {"piece": 50, "block": 7}, {"piece": 101, "block": 1000}, {"piece": 1}):
+        read = read_keystrokes(spark, str(folder), **options)
+        assert "Relation" not in read._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(str, read.collect())) == want
+    assert read_keystrokes(spark, [str(folder / "00000000a_1608.txt"), str(folder / "00000000c_1609.txt")]).count() == 43
+
+
+def test_raw_files_are_opened_once(spark, raw, monkeypatch):
+    opened = spark.sparkContext.accumulator(0)
+    keystrokes = read_keystrokes(spark, str(raw / "data"))
+
+    def seen(batches):
+        for batch in batches:
+            opened.add(batch.num_rows)
+            yield batch
+
+    config = VARIANTS["wide"].with_rows_more_than(50)
+    tables = feature_tables(read_profiles(spark, str(raw / "users")), keystrokes.mapInArrow(seen, keystrokes.schema), config)
+    assert sum(len(tables[name].collect()) for name in ("both", "hold", "latency")) == 18
+    assert opened.value == 10 * 120 + 8
+
+
 def test_json_lines_are_packed(spark, tmp_path):
     rows = spark.createDataFrame([(f"s{i}", ("Male", "Yes", None), [("L", "1.0", "LL", None, "2.0")] * i) for i in range(3)],
                                  "session_id string, profile struct<Gender:string,Tremors:string,Sided:string>, "
