@@ -192,6 +192,25 @@ def test_perplexity_of_held_out_text(spark):
     assert all(r.kept == (r.n_words > 0) for r in perplexities(docs, labels.where("false")).collect())
 
 
+def test_all_trusted_text_trains_and_a_joined_model_scores_alike(spark):
+    # The words of each document are its own, so the model knows those it was trained on and no others.
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j % 9}" for j in range(12)), "en") for i in range(6000)] + [
+        (6000, None, "en"), (6001, "w1x0", None), (6002, "w1x0 w1x1 w1x2 W1X3\tw1x4", "de"), (None, "w1x0 w1x1", "de")],
+        "doc_id bigint, text string, lang string")
+    docs = docs.unionByName(docs.where("doc_id < 3 OR doc_id >= 6000"))
+    labels = spark.createDataFrame([(i, 1) for i in range(6000)], "doc_id bigint, quality int")
+    told = {r.doc_id: r.perplexity for r in perplexities(docs, labels).where("doc_id < 6000").collect()}
+    known = sum(p < 0.9 * max(told.values()) for p in told.values())
+    assert 0.75 * 6000 < known < 0.85 * 6000 and len(told) == 6000
+    few = docs.where("doc_id IS NULL OR doc_id < 60 OR doc_id >= 6000")
+    held, joined = ([tuple(r) for r in perplexities(few, labels.where("doc_id < 60"), most_held=most).collect()] for most in (10**9, 0))
+    assert len(held) == len(joined) == 60 + 4 + 3 + 3
+    for a, b in zip(sorted(held, key=str), sorted(joined, key=str)):
+        assert a[:3] == b[:3] and a[5] == b[5] and np.allclose([x or 0 for x in a[3:5]], [x or 0 for x in b[3:5]], rtol=1e-4)
+    for empty in (docs.where("false"), docs.where("text IS NULL")):
+        assert perplexities(empty, labels, most_held=0).count() == empty.count()
+
+
 def test_network_learns_both_sides():
     """Words that their neighbours determine: the mean log probability of unseen text comes near certainty."""
     rng = np.random.default_rng(0)
