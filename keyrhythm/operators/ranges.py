@@ -30,11 +30,9 @@ def with_range(df: DataFrame, name: str, order: Sequence[str], identity: Sequenc
     sample = chosen.agg(F.array_sort(F.collect_list("_o")).alias("_s"))
     at = F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.get("_s", F.floor(F.size("_s") * i / parts).cast("int")))
     borders = sample.select(F.array_distinct(F.filter(at, lambda b: b.isNotNull())).alias("_b")).scalar()
-    # Halving steps through the borders that are not above the row.
-    steps = [1 << i for i in reversed(range(max(1, (parts - 1).bit_length())))]
-    marked = df.withColumn("_borders", borders).withColumn("_place", place)
-    number = F.aggregate(
-        F.array(*map(F.lit, steps)), F.lit(0),
-        lambda low, step: F.when(F.get("_borders", low + step - 1) <= F.col("_place"), low + step).otherwise(low),
-    )
-    return marked.withColumn(name, F.when(F.col(order[0]).isNotNull(), number)).drop("_borders", "_place")
+    # Halving steps through the borders that are not above the row. One column a step is compiled, a fold over the steps is not.
+    marked = df.withColumn("_borders", borders).withColumn("_place", place).withColumn("_low", F.lit(0))
+    low = F.col("_low")
+    for step in (1 << i for i in reversed(range(max(1, (parts - 1).bit_length())))):
+        marked = marked.withColumn("_low", F.when(F.get("_borders", low + (step - 1)) <= F.col("_place"), low + step).otherwise(low))
+    return marked.withColumn(name, F.when(F.col(order[0]).isNotNull(), low)).drop("_borders", "_place", "_low")

@@ -193,3 +193,15 @@ def test_ranges_of_nothing_and_of_one_value(spark):
     assert with_range(none, "b", ["v"]).count() == 0
     same = spark.createDataFrame([(2.0,)] * 5 + [(None,)], "v double")
     assert {(r["v"], r["b"] is None) for r in with_range(same, "b", ["v"]).collect()} == {(2.0, False), (None, True)}
+
+
+def test_range_search_is_compiled(spark):
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(None if i % 41 == 0 else float(rng.randrange(40)), i) for i in range(400)], "v double, i int")
+    ranged = with_range(rows, "b", ["v", "i"], parts=7)
+    assert "aggregate(" not in ranged._jdf.queryExecution().optimizedPlan().toString()
+    told = sorted((r["v"], r["i"], r["b"]) for r in ranged.where("v IS NOT NULL").collect())
+    # 400 rows are all in the sample, so the borders are the rows' own.
+    borders = [told[len(told) * i // 7][:2] for i in range(1, 7)]
+    assert [b for _, _, b in told] == [sum(x <= (v, i) for x in borders) for v, i, _ in told]
+    assert ranged.where("v IS NULL AND b IS NOT NULL").count() == 0 and ranged.columns == ["v", "i", "b"]
