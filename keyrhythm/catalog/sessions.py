@@ -21,11 +21,14 @@ def _hand(length):
     return F.when(length <= 3, "L").when(length <= 6, "R").when(length <= 9, "S").otherwise("X")
 
 
-def sessions(spark, folder) -> DataFrame:
-    """(session_id, profile, keys): one session per document."""
+def sessions(spark, folder, of=None) -> DataFrame:
+    """(session_id, profile, keys): one session per document, or per document whose ``doc_id`` is in the table ``of``."""
     lengths = F.transform(F.filter(F.split("text", " "), lambda w: F.length(w) > 0), lambda w: F.length(w))
     # A file may be a single split; the texts are spread before the work on them.
     docs = table(spark, folder, "documents").select("doc_id", "lang", "n_chars", "text")
+    if of is not None:
+        # Spark would join the finished sessions and so make the keys of all.
+        docs = docs.join(of.select("doc_id"), "doc_id", "left_semi")
     docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     docs = docs.select("doc_id", "lang", "n_chars", lengths.alias("_n"))
 
@@ -123,9 +126,10 @@ def features(spark, folder):
 
 def fitted_session_model(spark, folder, classifier=None, columns=tuple(CHOSEN_FEATURES)):
     """A classifier (a tree, if none is given) over chosen features, fitted on the sessions whose documents have labels."""
-    labels = table(spark, folder, "labels").select(F.col("doc_id").cast("string").alias("session_id"), F.col("quality").alias("label"))
-    known = sessions(spark, folder).join(labels, "session_id", "left_semi")
-    rows = settled(session_features(known).join(labels, "session_id"))
+    labels = table(spark, folder, "labels")
+    known = sessions(spark, folder, of=labels)
+    labels = labels.select(F.col("doc_id").cast("string").alias("session_id"), F.col("quality").alias("label"))
+    rows = settled(session_features(known, columns=columns).join(labels, "session_id"))
     return fit_pipeline(rows, list(columns), classifier or tree(5))
 
 
@@ -154,7 +158,7 @@ SELECT key AS session_id, CAST(prediction AS INTEGER) AS prediction FROM ({model
 
 @query("session_score_discriminant", DISCRIMINANT_SQL)
 def session_score_discriminant(spark, folder):
-    return score_sessions(sessions(spark, folder), fitted_discriminant(spark, folder))
+    return score_sessions(sessions(spark, folder), fitted_discriminant(spark, folder), columns=SCORED)
 
 
 @query("model_reload", DISCRIMINANT_SQL)
@@ -162,7 +166,7 @@ def model_reload(spark, folder):
     """What the model tells after it was saved and loaded again."""
     path = new_folder(spark, "model")
     save_model(fitted_discriminant(spark, folder), path)
-    return score_sessions(sessions(spark, folder), load_pipeline(path))
+    return score_sessions(sessions(spark, folder), load_pipeline(path), columns=SCORED)
 
 
 @query("session_flight", f"""

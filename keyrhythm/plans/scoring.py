@@ -27,6 +27,8 @@ def explode_sessions(sessions: DataFrame) -> DataFrame:
 
 DURATIONS = ("Hold time", "Latency time", "Flight time")
 CATEGORIES = ("Hand", "Direction")
+#: The durations that must lie in range for a key to count.
+FILTERED = ("Hold time", "Latency time")
 
 
 def session_statistics(sessions: DataFrame, measures: Sequence[Measure], stats: Sequence[str],
@@ -45,6 +47,10 @@ def session_statistics(sessions: DataFrame, measures: Sequence[Measure], stats:
     ]
     names = [n for n in names if columns is None or n[3] in columns]
     measures = [m for m in measures if any(n[0] == m for n in names)]
+    stats = [s for s in stats if any(n[1] == s for n in names)]
+    # Only the columns of the keys that the statistics and their filters ask for leave the row.
+    categories = [c for c in CATEGORIES if strict_categories or any(m.category == c for m in measures)]
+    durations = [c for c in DURATIONS if c in FILTERED or any(m.value == c for m in measures)]
     hands, directions, upper = list(config.hands), list(config.directions), config.upper
 
     def place(texts: pa.Array, levels: Sequence[str]) -> np.ndarray:
@@ -53,11 +59,11 @@ def session_statistics(sessions: DataFrame, measures: Sequence[Measure], stats:
 
     def batch_columns(batch: pa.RecordBatch) -> list[pa.Array]:
         rows = batch.num_rows
-        owner = pc.list_parent_indices(batch.column("Hand")).to_numpy(zero_copy_only=False)
-        texts = {c: flat_strings(batch.column(c)) for c in CATEGORIES}
-        numbers = {c: flat_numbers(batch.column(c)) for c in DURATIONS}
+        owner = pc.list_parent_indices(batch.column(FILTERED[0])).to_numpy(zero_copy_only=False)
+        texts = {c: flat_strings(batch.column(c)) for c in categories}
+        numbers = {c: flat_numbers(batch.column(c)) for c in durations}
         kept = np.ones(len(owner), bool)
-        for c in ("Hold time", "Latency time"):
+        for c in FILTERED:
             kept &= (numbers[c] > 0) & (numbers[c] < upper)
         if strict_categories:
             kept &= (place(texts["Hand"], hands) >= 0) & (place(texts["Direction"], directions) >= 0)
@@ -65,7 +71,7 @@ def session_statistics(sessions: DataFrame, measures: Sequence[Measure], stats:
         for m in measures:
             level = place(texts[m.category], m.levels)
             own = kept & (level >= 0) & ~np.isnan(numbers[m.value])
-            found = grouped_statistics(owner[own] * len(m.levels) + level[own], numbers[m.value][own], rows * len(m.levels))
+            found = grouped_statistics(owner[own] * len(m.levels) + level[own], numbers[m.value][own], rows * len(m.levels), {"mean", *stats})
             cells = {stat: v.reshape(rows, len(m.levels)) for stat, v in found.items()}
             if fill:
                 for stat in stats:
@@ -83,7 +89,7 @@ def session_statistics(sessions: DataFrame, measures: Sequence[Measure], stats:
             values = [batch.column("session_id"), batch.column("profile"), *batch_columns(batch)]
             yield pa.RecordBatch.from_arrays(values, names=["session_id", "profile", *[n[3] for n in names]])
 
-    keys = [F.col("keys")[c].cast("array<string>").alias(c) for c in (*CATEGORIES, *DURATIONS)]
+    keys = [F.col("keys")[c].cast("array<string>").alias(c) for c in (*categories, *durations)]
     rows = sessions.select("session_id", "profile", *keys)
     schema = T.StructType([rows.schema["session_id"], rows.schema["profile"],
                            *[T.StructField(n[3], T.DoubleType()) for n in names]])

@@ -339,6 +339,22 @@ def test_raw_files_are_opened_once(spark, raw, monkeypatch):
     assert opened.value == 10 * 120 + 8
 
 
+def test_sessions_cost_what_is_asked_of_them(spark, tmp_path):
+    from keyrhythm.catalog.sessions import sessions
+
+    docs = spark.createDataFrame([(i, "word " * i + "a bc", "en", "x", 5 * i) for i in range(9)] + [(None, "a b", None, "x", 3)],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(2, 1), (2, 0), (5, 1), (77, 1), (None, 1)], "doc_id bigint, quality int")
+    chosen, every = sessions(spark, str(tmp_path), of=labels), sessions(spark, str(tmp_path))
+    assert sorted(r["session_id"] for r in chosen.collect()) == ["2", "5"] and every.count() == 10
+    plan = chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("zip_with") < plan.index("LeftSemi")  # the keys are made above the join
+    few, all_ = session_features(every, columns=("mean_L_hold_time", "mean_LR_latency_time")), session_features(every)
+    assert "Flight time#" not in few._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow", 1)[1].split("\n", 1)[0]
+    assert sorted(map(str, few.collect())) == sorted(map(str, all_.select(*few.columns).collect()))
+
+
 def test_json_lines_are_packed(spark, tmp_path):
     rows = spark.createDataFrame([(f"s{i}", ("Male", "Yes", None), [("L", "1.0", "LL", None, "2.0")] * i) for i in range(3)],
                                  "session_id string, profile struct<Gender:string,Tremors:string,Sided:string>, "
