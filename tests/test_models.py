@@ -287,3 +287,26 @@ def test_narrow_points_are_searched_by_leaves(spark):
         assert held.boxes is not None and max(len(m) for m in held.boxes[0]) <= N.LEAF
     rows = spark.range(1000).selectExpr("id AS key", "array(CAST(id % 7 AS DOUBLE), 0D) AS x", "CAST(id % 2 AS INT) AS label")
     assert sorted(r.key for r in N.fewest(rows, 3, "key", "x").collect()) == list(range(21))
+
+
+def test_index_recall_asks_every_hundredth_row_of_all(spark, tmp_path, monkeypatch):
+    from keyrhythm.catalog import models
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(9, 16))[rng.integers(0, 9, 700)] + 0.1 * rng.normal(size=(700, 16))
+    rows = [(i, i % 3, [float(v) for v in x[i]]) for i in range(700)]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    exact, seen = models.nearest_neighbours, []
+
+    def told(train, queries, k, key, *names):
+        found = exact(train, queries, k, key, *names)
+        seen.append((train.count(), sorted((r["vec_id"], tuple(r["near"])) for r in found.select(key, models.others(key, 5).alias("near")).collect())))
+        return found
+
+    monkeypatch.setattr(models, "nearest_neighbours", told)
+    got = models.knn_index_recall(spark, str(tmp_path)).first()
+    x = x.astype(np.float32).astype(float)
+    near = {i: tuple(j for j in np.argsort(((x - x[i]) ** 2).sum(axis=1), kind="stable") if j != i)[:5] for i in range(0, 700, 100)}
+    assert seen == [(700, sorted(near.items()))]
+    # All seven queries are in the tuning sample, so its recall is the one that is found, itself not counted.
+    assert got["recall"] == got["tuned"] >= 0.9
