@@ -211,6 +211,33 @@ def test_all_trusted_text_trains_and_a_joined_model_scores_alike(spark):
         assert perplexities(empty, labels, most_held=0).count() == empty.count()
 
 
+def test_a_joined_model_is_dropped_slice_after_slice(spark, monkeypatch):
+    """No table of the whole model is stored, none of its slices stays, and no slice misses a context of another."""
+    docs = spark.createDataFrame([(i, prose(i % 9, 40), "en") for i in range(30)] + [(30, None, "en"), (31, prose(2, 1), "en")], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id bigint, quality int")
+    made, written = [], kneser_ney.written
+
+    def noted(df, name):
+        made.append((name, out := written(df, name)))
+        return out
+
+    held = {r.doc_id: r for r in perplexities(docs, labels).collect()}
+    monkeypatch.setattr(kneser_ney, "written", noted)
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    joined = {r.doc_id: r for r in perplexities(docs, labels, most_held=0, slices=2, turns=2).collect()}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+    assert len(held) == len(joined) == 32
+    for a in held.values():
+        b = joined[a.doc_id]
+        assert a.n_words == b.n_words and a.kept == b.kept and np.allclose(a.perplexity or 0, b.perplexity or 0, rtol=1e-5)
+    names = [name for name, _ in made]
+    assert names.count("kn-trigrams") == names.count("kn-model") == 2 and names.count("kn-sums") == 4
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name, table in made:
+        gone = [f for f in table.inputFiles() if not (path := jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f))).getFileSystem(conf).exists(path)]
+        assert bool(gone) == (name in ("kn-trigrams", "kn-bigrams", "kn-words", "kn-p1", "kn-p2", "kn-model", "kn-documents", "kn-sums"))
+
+
 def test_network_learns_both_sides():
     """Words that their neighbours determine: the mean log probability of unseen text comes near certainty."""
     rng = np.random.default_rng(0)
