@@ -238,6 +238,27 @@ def test_a_joined_model_is_dropped_slice_after_slice(spark, monkeypatch):
         assert bool(gone) == (name in ("kn-trigrams", "kn-bigrams", "kn-words", "kn-p1", "kn-p2", "kn-model", "kn-documents", "kn-sums"))
 
 
+def test_a_joined_model_is_asked_in_blocks(spark, monkeypatch):
+    """What a slice is asked is a row for each chunk and group, not for each n-gram; texts of other chunks and rows alike keep their own sums."""
+    docs = spark.createDataFrame([(i, prose(i % 40, 200), "en") for i in range(200)] + [(900, "", "en"), (901, "one", "en")], "doc_id bigint, text string, lang string")
+    docs = docs.unionByName(docs.where("doc_id < 5")).repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id bigint, quality int")
+    blocks = []
+
+    def noted(*given, asked=kneser_ney._asked):
+        rows = docs.selectExpr("xxhash64(text)", "text").mapInArrow(asked(*given), kneser_ney.BLOCKS).collect()
+        blocks.extend((len(rows), sum(len(r["_keys"] or b"") // 8 for r in rows)))
+        return asked(*given)
+
+    held = sorted((r.doc_id, r.n_words, round(r.perplexity or 0, 3), r.kept) for r in perplexities(docs, labels).collect())
+    monkeypatch.setattr(kneser_ney, "_asked", noted)
+    joined = sorted((r.doc_id, r.n_words, round(r.perplexity or 0, 3), r.kept) for r in perplexities(docs, labels, most_held=0).collect())
+    assert len(held) == len(joined) == 207
+    assert all(a[:2] == b[:2] and a[3] == b[3] and np.isclose(a[2], b[2], rtol=1e-5, atol=2e-3) for a, b in zip(held, joined))
+    rows, keys = sum(blocks[::2]), sum(blocks[1::2])
+    assert keys > 3 * 40_000 and rows < keys / 100
+
+
 def test_network_learns_both_sides():
     """Words that their neighbours determine: the mean log probability of unseen text comes near certainty."""
     rng = np.random.default_rng(0)
