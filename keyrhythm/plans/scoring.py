@@ -21,7 +21,10 @@ from keyrhythm.operators.profile import Measure, feature_name
 
 def explode_sessions(sessions: DataFrame) -> DataFrame:
     """One row per keystroke, numbered from 0 in session order."""
-    rows = sessions.select("session_id", "profile", F.posexplode("keys").alias("position", "key"))
+    # The plain generator would make Spark test beforehand that there are keys: with their whole expression, written out
+    # again for each use of its parts, and before any repartitioning. A session without keys has one row without a position.
+    rows = sessions.select("session_id", "profile", F.posexplode_outer("keys").alias("position", "key"))
+    rows = rows.where(F.col("position").isNotNull())
     return rows.select("session_id", "profile.*", "position", "key.*")
 
 

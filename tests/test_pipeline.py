@@ -13,7 +13,7 @@ from keyrhythm.operators.impute import handle_missing, negatives_to_mean
 from keyrhythm.operators.profile import Measure, observations, profile
 from keyrhythm.plans.classifiers import tree
 from keyrhythm.plans.features import class_counts, feature_tables
-from keyrhythm.plans.scoring import score_sessions, session_features, session_statistics
+from keyrhythm.plans.scoring import explode_sessions, score_sessions, session_features, session_statistics
 from keyrhythm.sources.files import (
     read_keystrokes, read_profiles, read_sessions, sessions_from_posts, typed_keystrokes, write_table,
 )
@@ -188,6 +188,18 @@ def test_session_rows_equal_grouped_statistics(spark, inbox):
             assert got == wanted, (r["session_id"], stat)
 
 
+def test_exploded_sessions_parse_each_post_once(spark):
+    profile, key = {"Gender": "Female"}, {"Hand": "L", "Hold time": "75.0"}
+    bodies = {"two": json.dumps([profile, key, {"Hand": "R"}]), "gap": json.dumps([profile, key, None, key]),
+              "bare": json.dumps([profile]), "none": "[]", "torn": "{", "null": None}
+    posts = spark.createDataFrame([(k, v) for k, v in bodies.items()], "session_id string, payload string")
+    rows = explode_sessions(sessions_from_posts(posts))
+    assert sorted((r["session_id"], r["position"], r["Hand"], r["Gender"]) for r in rows.collect()) == [
+        ("gap", 0, "L", "Female"), ("gap", 1, None, "Female"), ("gap", 2, "L", "Female"), ("two", 0, "L", "Female"), ("two", 1, "R", "Female")]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and "size(transform" not in plan
+
+
 def test_session_features_are_complete(spark, inbox):
     rows = session_features(read_sessions(spark, str(inbox[0]))).orderBy(F.col("session_id").cast("int")).collect()
     assert rows[0].asDict().keys() == {"session_id", *CHOSEN_FEATURES}
