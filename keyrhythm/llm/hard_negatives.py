@@ -1,19 +1,23 @@
 """Hard negatives by exact integer products, several candidates to one wide integer.
 
-Components are integers. Those of neighbouring candidates are biased to be non-negative and put into
-separate fields of one 64-bit word, so that one multiplication with an anchor's component multiplies
-all of them; the sums of these products over the components hold every candidate's score in its own
-field. Fields are as wide as the block at hand needs, so no score ever runs into the next field;
-where even one would not fit 64 bits, Python's unbounded integers are the words.
+Components are integers. Those of several candidates of a block are put into separate fields of one
+wide integer, so that one multiplication with an anchor's component multiplies all of them; the sums
+of these products over the components hold every candidate's score in its own field. Fields are as
+wide as the block at hand needs, so no score ever runs into the next field. As long as a field fits,
+the words are whole numbers of at most 53 bits, which doubles hold exactly, and the products are
+matrix products of doubles; beyond that the components are biased to be non-negative and the words
+have 64 bits, and where even one field would not fit those, Python's unbounded integers are the words.
 
 All rows are cut into blocks where they are scanned; the anchors, a stated set of queries, are cut
 into blocks too, and every anchor block meets every block of rows once for the positives and once
-for the negatives. A block pair leaves at most k rows for each anchor, which a window merges.
+for the negatives. A task keeps the best rows of an anchor block over all the blocks that it meets,
+so most scores are only held against a floor; a window merges what the tasks found.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +29,14 @@ from keyrhythm.llm.registry import query, table
 WORD_BITS = 64
 #: Products and sums of fields above this many bits are left to Python's integers.
 MOST_BITS = 62
-#: Anchors that are scored at a time.
-STEP = 256
+#: Whole numbers up to this many bits are exact as doubles.
+DOUBLE_BITS = 53
+#: Scores that are made at a time: so many stay near the processor.
+CELLS = 1 << 18
+#: Scores whose best give a first floor, candidates a row on average above which a step is cut to its best, and anchor blocks a task keeps.
+SAMPLE, DENSE, HELD = 1024, 256, 8
+#: The score of a row that is no candidate; true 64-bit scores stay above.
+NEVER = np.int64(-(2**63))
 
 
 def quantised(x: np.ndarray, scale: float) -> np.ndarray:
@@ -40,15 +50,74 @@ def quantised(x: np.ndarray, scale: float) -> np.ndarray:
     return np.array(exact, dtype=object).reshape(x.shape)
 
 
+def _longest(x: np.ndarray) -> float:
+    """At least the length of the longest row and the largest component."""
+    if not x.size or x.dtype == object:
+        return float("inf") if x.size else 0.0
+    x = x.astype(np.float64)
+    return float(np.sqrt(np.einsum("ij,ij->i", x, x).max())) * (1 + 1e-9)
+
+
+class Words:
+    """Rows packed into whole numbers that doubles hold exactly: field f of word w is the row f * (words) + w.
+
+    With s = (longest anchor) * (longest row), every score and every partial sum of one lies within -s..s, so
+    does its field around its middle, and a word's partial sums stay below s * (1 + B + ...) <= 2 ** 53 for B = 2 ** bits > 2 s.
+    They are therefore exact in any order, with or without fused multiplications.
+    """
+
+    def __init__(self, rows: np.ndarray, bits: int, fields: int):
+        self.n, self.bits, self.fields = len(rows), bits, min(fields, max(1, len(rows)))
+        self.n_words = -(-self.n // self.fields)
+        self.words = np.zeros((self.n_words, rows.shape[1]))
+        for f in range(self.fields):
+            part = rows[f * self.n_words : (f + 1) * self.n_words]
+            self.words[: len(part)] += part * float(1 << (f * bits))
+
+    @classmethod
+    def of(cls, rows: np.ndarray, longest: float) -> "Words | None":
+        """The words for anchors up to that length, or None where not even one field fits."""
+        most = max(longest, 1.0) * max(_longest(rows), 1.0)
+        if rows.dtype == object or most >= 2.0 ** (DOUBLE_BITS - 1):
+            return None
+        most = int(most) + 1
+        bits, fields = (2 * most).bit_length(), 1
+        while fields < 8 and most * sum(1 << (f * bits) for f in range(fields + 1)) <= 2**DOUBLE_BITS:
+            fields += 1
+        return cls(rows, bits, fields)
+
+    def scores(self, anchors: np.ndarray) -> np.ndarray:
+        out = np.empty((len(anchors), self.n_words * self.fields), np.int64)
+        half, mask = 1 << (self.bits - 1), np.int64((1 << self.bits) - 1)
+        whole = (anchors @ self.words.T).astype(np.int64)
+        whole += np.int64(sum(half << (f * self.bits) for f in range(self.fields)))
+        for f in range(self.fields):
+            field = out[:, f * self.n_words : (f + 1) * self.n_words]
+            np.right_shift(whole, np.int64(f * self.bits), out=field)
+            if f < self.fields - 1:
+                field &= mask
+            field -= np.int64(half)
+        return out[:, : self.n]
+
+
+def scorer(rows: np.ndarray, longest: float) -> Callable[[np.ndarray], np.ndarray]:
+    """Exact inner products of anchors, none longer than ``longest``, with the rows, which are packed once."""
+    words = Words.of(rows, longest) if len(rows) and rows.shape[1] else None
+    # Anchors of 64-bit integers are below 2 ** 40 each, and Python's integers are never words of doubles.
+    return (lambda a: packed_scores(a, rows)) if words is None else (lambda a: packed_scores(a, rows) if a.dtype == object else words.scores(a.astype(np.float64)))
+
+
 def packed_scores(anchors: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Inner products (anchors x rows) of integer matrices, by products of packed words.
 
-    With b = -min(rows) the biased components lie in 0..r. An anchor's sum over its components a of
+    Where doubles hold at least one field, they are the words (``Words``). Otherwise, with b = -min(rows) the biased components lie in 0..r. An anchor's sum over its components a of
     a * (biased component) lies between r times its negative components and r times its positive ones,
     so a field of bits for the largest such span holds it once the negative end is added.
     """
     if not len(rows) or not len(anchors) or not rows.shape[1]:
         return np.zeros((len(anchors), len(rows)), np.int64)
+    if anchors.dtype != object and (words := Words.of(rows, _longest(anchors))):
+        return words.scores(anchors.astype(np.float64))
     bias = -int(rows.min())
     reach = int(rows.max()) + bias
     # Sums of a row's components stay within 64 bits: those are below 2 ** 40 where they are not Python's.
@@ -114,6 +183,10 @@ class Block:
     def ordered(self) -> "Block":
         return Block(self.rows.take(pa.array(np.argsort(self.ids, kind="stable"))))
 
+    def by_label(self) -> "Block":
+        """In order of the label, and of the id within one."""
+        return Block(self.rows.take(pa.array(np.lexsort((_order(self.ids), _order(self.labels))))))
+
     def integers(self, width: int, scale: float) -> np.ndarray:
         return quantised(matrix(self.rows.field("x"), width), scale)
 
@@ -124,40 +197,160 @@ def _codes(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return codes[: len(left)], codes[len(left) :]
 
 
-def positives_of(anchors: Block, rows: Block, scale: float, k: int) -> Iterator[tuple]:
-    """(anchor's place, rows' places, scores) of the k best rows of the anchor's label, but not of its id."""
-    width = max(anchors.width, rows.width)
-    a, c = anchors.integers(width, scale), rows.integers(width, scale)
-    a_label, c_label = _codes(anchors.labels, rows.labels)
-    a_id, c_id = _codes(anchors.ids, rows.ids)
-    for label in np.intersect1d(a_label, c_label):
-        mine, theirs = np.flatnonzero(a_label == label), np.flatnonzero(c_label == label)
-        for start in range(0, len(mine), STEP):
-            part = mine[start : start + STEP]
-            scores = packed_scores(a[part], c[theirs])
-            other = a_id[part][:, None] != c_id[theirs][None, :]
-            row, column = best_positions(scores, other, k)
-            yield part[row], theirs[column], scores[row, column]
-
-
-def negatives_of(anchors: Block, rows: Block, scale: float, k: int, low: int, high: int) -> Iterator[tuple]:
-    """(anchor's place, positive's number, rows' places, scores) of the k best rows of other labels in each positive's band."""
-    width = max(anchors.width, rows.width)
-    a, c = anchors.integers(width, scale), rows.integers(width, scale)
-    a_label, c_label = _codes(anchors.labels, rows.labels)
-    found = anchors.rows.field("positives").to_pylist()
-    for start in range(0, len(a), STEP):
-        part = np.arange(start, min(start + STEP, len(a)))
-        scores = packed_scores(a[part], c)
-        differ = a_label[part][:, None] != c_label[None, :]
-        for number in range(max((len(found[i]) for i in part), default=0)):
-            own = [found[i][number]["score"] if len(found[i]) > number else None for i in part]
-            kind = scores.dtype
-            # 100 n <= high p and low p <= 100 n, as bounds of n. Without a positive no score is allowed.
-            most = np.array([kind.type(high * p // 100) if p is not None else 0 for p in own], dtype=kind)[:, None]
-            least = np.array([kind.type(-(-low * p // 100)) if p is not None else 1 for p in own], dtype=kind)[:, None]
-            row, column = best_positions(scores, differ & (scores <= most) & (scores >= least), k)
-            yield part[row], np.full(len(row), number), column, scores[row, column]
+def _order(values: np.ndarray) -> np.ndarray:
+    """Numbers that sort as the values do."""
+    return np.unique(values, return_inverse=True)[1] if values.dtype == object else values
+
+
+class Best:
+    """The k best rows of each slot over all blocks so far: the highest scores, ties by smaller id."""
+
+    def __init__(self, slots: int, k: int):
+        self.k, self.floor = k, np.full(slots, NEVER)
+        self.parts, self.waiting, self.held = [], 0, 0
+
+    def add(self, slot: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        if len(slot):
+            self.parts.append((slot, score, ids))
+            self.waiting += len(slot)
+            if self.waiting > max(self.held, len(self.floor) * self.k):
+                self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(slot, score, id) of the best. A full slot's floor is its last score: lower rows cannot enter any more, equal ones can."""
+        if not self.parts:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, object)
+        slot, score, ids = (np.concatenate(c) for c in zip(*self.parts))
+        by = np.lexsort((_order(ids), -_order(score), slot))
+        begins = np.searchsorted(slot[by], slot[by])
+        by = by[np.arange(len(by)) - begins < self.k]
+        slot, score, ids = slot[by], score[by], ids[by]
+        if len(slot) >= self.k:
+            last = np.flatnonzero(slot[self.k - 1 :] == slot[: len(slot) - self.k + 1]) + self.k - 1
+            self.floor[slot[last]] = [min(max(s, int(NEVER)), 2**63 - 1) for s in score[last].tolist()]
+        self.parts, self.waiting, self.held = [(slot, score, ids)], 0, len(slot)
+        return slot, score, ids
+
+
+class Anchors:
+    """A block of anchors in order of their label, and the best rows found for them so far.
+
+    Without bounds the slots are the anchors, and their rows those of the anchor's label with another id. With bounds
+    the slots are the anchors' positives, and their rows those of other labels between the positive's bounds.
+    """
+
+    def __init__(self, block: "Block", scale: float, k: int, bounds: tuple[int, int] | None = None):
+        self.block = block.by_label()
+        self.scale, self.k, self.bounds = scale, k, bounds
+        self.x = self.block.integers(self.block.width, scale)
+        self.longest = _longest(self.x)
+        self.slots = 1
+        if bounds:
+            found = self.block.rows.field("positives")
+            n = found.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            self.slots = int(n.max()) if len(n) else 0
+            has = np.arange(self.slots) < n[:, None]
+            own = np.zeros(has.shape, np.int64)
+            own[has] = found.flatten().field("score").to_numpy(zero_copy_only=False)
+            # low p <= 100 n <= high p, as bounds of n. Without a positive no score is allowed.
+            low, high = bounds
+            own = own.astype(object)
+            self.exact = [np.where(has, -(-low * own // 100), 1), np.where(has, high * own // 100, 0)]
+            self.least, self.most = (np.clip(c, int(NEVER) + 1, 2**63 - 1).astype(np.int64) for c in self.exact)
+        self.best = Best(len(self.x) * self.slots, k)
+
+    def meet(self, rows: "Block") -> None:
+        rows = rows.by_label()
+        width = min(self.block.width, rows.width)
+        a, c = self.x[:, :width], rows.integers(rows.width, self.scale)[:, :width]
+        a_label, c_label = _codes(self.block.labels, rows.labels)
+        if self.bounds:
+            self._negatives(a, a_label, scorer(c, self.longest), c_label, rows.ids)
+        else:
+            a_id, c_id = _codes(self.block.ids, rows.ids)
+            for label in np.intersect1d(a_label, c_label):
+                (i, j), (s, e) = (np.searchsorted(x, [label, label + 1]) for x in (a_label, c_label))
+                self._positives(a, a_id, i, j, scorer(c[s:e], self.longest), c_id[s:e], rows.ids[s:e])
+
+    def _positives(self, a, a_id, i, j, score_of, c_id, ids) -> None:
+        step = max(1, CELLS // len(ids))
+        for start in range(i, j, step):
+            stop = min(start + step, j)
+            scores = score_of(a[start:stop])
+            left, right = np.searchsorted(c_id, a_id[start:stop]), np.searchsorted(c_id, a_id[start:stop], "right")
+            allowed = np.ones(scores.shape, bool) if scores.dtype == object else None
+            for r in np.flatnonzero(left < right):
+                (scores if allowed is None else allowed)[r, left[r] : right[r]] = NEVER if allowed is None else False
+            floor = self.best.floor[start:stop]
+            row, column = self._above(scores, floor, None) if allowed is None else (None, None)
+            if row is None:
+                row, column = best_positions(scores, scores != NEVER if allowed is None else allowed, self.k)
+            self.best.add(start + row, scores[row, column], ids[column])
+
+    def _negatives(self, a, a_label, score_of, c_label, ids) -> None:
+        by_id, step = None, max(1, CELLS // max(1, len(ids)))
+        for start in range(0, len(a) if self.slots else 0, step):
+            stop = min(start + step, len(a))
+            scores = score_of(a[start:stop])
+            own = a_label[start:stop]
+            begins = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            allowed = np.ones(scores.shape, bool) if scores.dtype == object else None
+            for i, j in zip(begins, [*begins[1:], len(own)]):
+                s, e = np.searchsorted(c_label, [own[i], own[i] + 1])
+                (scores if allowed is None else allowed)[i:j, s:e] = NEVER if allowed is None else False
+            row, numbers = None, range(self.slots)
+            if allowed is None:
+                floor = self.best.floor.reshape(-1, self.slots)[start:stop]
+                least, most = np.maximum(self.least[start:stop], floor), self.most[start:stop]
+                for n in numbers if (floor == NEVER).all() else ():
+                    least[:, n] = np.maximum(least[:, n], self._kth(scores, most[:, n]))
+                some = least <= most
+                row, column = self._above(scores, np.where(some, least, 2**63 - 1).min(1), np.where(some, most, NEVER).max(1))
+            if row is not None:
+                found = scores[row, column]
+                for n in numbers:
+                    here = (found >= least[row, n]) & (found <= most[row, n])
+                    self.best.add((start + row[here]) * self.slots + n, found[here], ids[column[here]])
+                continue
+            by_id = np.argsort(ids, kind="stable") if by_id is None else by_id
+            allowed = scores != NEVER if allowed is None else allowed
+            scores, allowed = scores[:, by_id], allowed[:, by_id]
+            for n in numbers:
+                least, most = ((c[start:stop, n, None]) for c in (self.exact if scores.dtype == object else (self.least, self.most)))
+                row, column = best_positions(scores, allowed & (scores >= least) & (scores <= most), self.k)
+                self.best.add((start + row) * self.slots + n, scores[row, column], ids[by_id[column]])
+
+    def _kth(self, scores: np.ndarray, most: np.ndarray | None) -> np.ndarray:
+        """The k-th best score of some of a row's candidates, a floor of the k-th best of all; NEVER if there are fewer."""
+        some = scores[:, :: max(1, scores.shape[1] // SAMPLE)]
+        if some.shape[1] < self.k:
+            return np.full(len(scores), NEVER)
+        some = some if most is None else np.where(some <= most[:, None], some, NEVER)
+        return np.partition(some, some.shape[1] - self.k, axis=1)[:, some.shape[1] - self.k]
+
+    def _above(self, scores: np.ndarray, floor: np.ndarray, most: np.ndarray | None) -> tuple:
+        """(row, column) of the candidates from their row's floor to its most, or None if those are many."""
+        if most is None and (floor == NEVER).any():
+            floor = np.maximum(floor, self._kth(scores, None))
+        found = scores >= np.maximum(floor, NEVER + 1)[:, None]
+        if most is not None:
+            found &= scores <= most[:, None]
+        flat = np.flatnonzero(found)
+        return (None, None) if len(flat) > DENSE * len(scores) else np.divmod(flat, scores.shape[1])
+
+
+def scanned(batches: Iterator[pa.RecordBatch], begin: Callable[["Block"], Anchors]) -> Iterator[Anchors]:
+    """The anchor blocks of (_a, anchors, rows) with what all their blocks of rows gave; a few are kept at a time."""
+    held: OrderedDict[int, Anchors] = OrderedDict()
+    for batch in batches:
+        for number, a, r in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            if number not in held:
+                if len(held) >= HELD:
+                    yield held.popitem(last=False)[1]
+                held[number] = begin(Block(a.values))
+            held.move_to_end(number)
+            held[number].meet(Block(r.values))
+    yield from held.values()
 
 
 def cut_into_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
@@ -182,18 +375,18 @@ def met(anchors: DataFrame, blocks: DataFrame, anchor_blocks: int, shares: int)
     right = blocks.withColumns({
         "_share": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shares)).cast("int"),
         "_a": F.explode(F.sequence(F.lit(0), F.lit(anchor_blocks - 1)))})
-    return right.join(left, ["_a", "_share"]).select("anchors", "rows")
+    return right.join(left, ["_a", "_share"]).select("_a", "anchors", "rows")
 
 
 def _first(rows: DataFrame, keys: list[str], k: int, rank: str) -> DataFrame:
-    """The k rows of each key with the highest score, then the smallest id. At most k rows a block pair and key arrive here."""
+    """The k rows of each key with the highest score, then the smallest id. At most k rows a task and key arrive here."""
     order = Window.partitionBy(*keys).orderBy(F.desc("_score"), F.asc("_row"))
     return rows.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k)
 
 
 def hard_negatives(
     rows: DataFrame, is_anchor: Column, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", scale: float = 256.0,
-    positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95, block_rows: int = 4096, anchor_rows: int = 1024, blocks_a_share: int = 1,
+    positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95, block_rows: int = 4096, anchor_rows: int = 4096, blocks_a_share: int = 16,
 ) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) of every anchor and positive.
 
@@ -217,28 +410,26 @@ def hard_negatives(
     blocks = written(cut_into_blocks(sound.select("id", "label", "x"), block_rows), "candidate-blocks")
     anchors = written(sound.where("asked").groupBy("id").agg(F.min(F.struct("label", "x")).alias("_v")).select("id", "_v.label", "_v.x"), "anchors")
     n_blocks, n_anchors = blocks.count(), anchors.count()
-    anchor_blocks, shares = max(1, -(-n_anchors // anchor_rows)), max(1, -(-n_blocks // blocks_a_share))
+    anchor_blocks = max(1, -(-n_anchors // anchor_rows))
+    # A task meets several blocks with the same anchors, as long as there is work for all cores.
+    shares = max(1, -(-n_blocks // blocks_a_share), min(n_blocks, -(-2 * spark.sparkContext.defaultParallelism // anchor_blocks)))
     id_kind = dict(anchors.dtypes)["id"]
 
     def told(score: np.ndarray) -> pa.Array:
         return pa.array([min(max(s, -(2**63)), 2**63 - 1) for s in score.tolist()] if score.dtype == object else score, pa.int64())
 
     def find_positives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, r in zip(batch.column(0), batch.column(1)):
-                left, right = Block(a.values), Block(r.values).ordered()
-                for mine, theirs, score in positives_of(left, right, scale, positives):
-                    yield pa.RecordBatch.from_arrays([left.rows.field("id").take(pa.array(mine)), right.rows.field("id").take(pa.array(theirs)), told(score)],
-                                                     names=["_anchor", "_row", "_score"])
+        for a in scanned(batches, lambda block: Anchors(block, scale, positives)):
+            slot, score, ids = a.best.settle()
+            own = a.block.rows.field("id")
+            yield pa.RecordBatch.from_arrays([own.take(pa.array(slot)), pa.array(ids, own.type), told(score)], names=["_anchor", "_row", "_score"])
 
     def find_negatives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, r in zip(batch.column(0), batch.column(1)):
-                left, right = Block(a.values), Block(r.values).ordered()
-                for mine, number, theirs, score in negatives_of(left, right, scale, negatives, low, high):
-                    yield pa.RecordBatch.from_arrays(
-                        [left.rows.field("id").take(pa.array(mine)), pa.array(number, pa.int32()), right.rows.field("id").take(pa.array(theirs)), told(score)],
-                        names=["_anchor", "_number", "_row", "_score"])
+        for a in scanned(batches, lambda block: Anchors(block, scale, negatives, (low, high))):
+            slot, score, ids = a.best.settle()
+            own, slots = a.block.rows.field("id"), max(1, a.slots)
+            yield pa.RecordBatch.from_arrays([own.take(pa.array(slot // slots)), pa.array(slot % slots, pa.int32()), pa.array(ids, own.type), told(score)],
+                                             names=["_anchor", "_number", "_row", "_score"])
 
     near = met(anchors, blocks, anchor_blocks, shares).mapInArrow(find_positives, f"_anchor {id_kind}, _row {id_kind}, _score bigint")
     near = _first(near, ["_anchor"], positives, "_place")

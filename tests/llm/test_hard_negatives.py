@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from keyrhythm.llm.hard_negatives import Block, best_positions, cut_into_blocks, hard_negatives, packed_scores, quantised
+from keyrhythm.llm import hard_negatives as code
+from keyrhythm.llm.hard_negatives import Anchors, Block, Words, best_positions, cut_into_blocks, hard_negatives, packed_scores, quantised, scanned
 
 OUT = ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
@@ -102,3 +103,67 @@ def test_block_puts_candidates_in_order():
     rows = pa.array([{"id": 3, "label": 1, "x": [1.0]}, {"id": 1, "label": 2, "x": [1.0, 2.0]}], pa.struct([("id", pa.int64()), ("label", pa.int64()), ("x", pa.list_(pa.float64()))]))
     block = Block(rows).ordered()
     assert block.ids.tolist() == [1, 3] and block.width == 2 and block.integers(2, 1.0).tolist() == [[1, 2], [1, 0]]
+
+
+@pytest.mark.parametrize("reach, fields", [(150, 2), (2**20, 1), (2**24 - 1, 1)])
+@pytest.mark.parametrize("signs", [(1, 1), (1, -1), (-1, -1), (0, 0)])
+def test_words_of_doubles_are_exact_at_their_bounds(reach, fields, signs):
+    rng = np.random.default_rng(reach)
+    a, c = (s * np.full((5, 8), reach) if s else rng.choice([-reach, reach], (5, 8)) for s in signs)
+    c = np.concatenate([c, -c, c[::-1], rng.integers(-reach, reach + 1, (6, 8))])
+    words = Words.of(c, code._longest(a))
+    assert words.fields >= fields and words.n_words < len(c) or fields == 1
+    assert np.abs(words.words).max() <= 2**53
+    wanted = a.astype(object) @ c.astype(object).T
+    assert (words.scores(a.astype(float)).astype(object) == wanted).all() and (packed_scores(a, c).astype(object) == wanted).all()
+
+
+def arrow(rows, **more):
+    import pyarrow as pa
+
+    fields = [("id", pa.int64()), ("label", pa.int64()), ("x", pa.list_(pa.float32()))]
+    if more:
+        fields.append(("positives", pa.list_(pa.struct([("id", pa.int64()), ("score", pa.int64())]))))
+    return pa.array([dict(zip(("id", "label", "x"), r)) | {k: v[r[0]] for k, v in more.items()} for r in rows], pa.struct(fields))
+
+
+@pytest.mark.parametrize("dense", [0, 2, 1000])
+@pytest.mark.parametrize("spread", [0.0, 0.3])
+def test_a_task_keeps_the_best_over_all_its_blocks(monkeypatch, dense, spread):
+    import pyarrow as pa
+
+    monkeypatch.setattr(code, "DENSE", dense)
+    monkeypatch.setattr(code, "CELLS", 420)
+    monkeypatch.setattr(code, "SAMPLE", 16)
+    monkeypatch.setattr(code, "HELD", 2)
+    rng = random.Random(3)
+    rows = [(i, rng.choice([1, 1, 2, 3]), [round(0.5 + rng.gauss(0, spread), 2), 0.5 + rng.choice([-0.3, 0.0])]) for i in range(400)]
+    mine = [r for r in rows if r[0] % 10 == 0]
+    rng.shuffle(rows)
+    blocks = [rows[i:i + 60] for i in range(0, 400, 60)]
+    wanted = brute([(i, x, l) for i, l, x in rows], lambda i: i % 10 == 0)
+
+    def batches(asked):
+        parts = [asked[::3], asked[1::3], asked[2::3]]
+        for b in blocks:
+            for n in range(3):
+                yield pa.RecordBatch.from_arrays([pa.array([n]), *[pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (
+                    parts[n], arrow(b))]], names=["_a", "anchors", "rows"])
+
+    def all_found(asked, *rest):
+        out, sizes = {}, []
+        for a in scanned(batches(asked), lambda block: Anchors(block, 256.0, *rest)):
+            slot, score, ids = a.best.settle()
+            sizes.append(len(slot) <= a.best.k * len(a.best.floor))
+            for place, s, i in zip(slot.tolist(), score.tolist(), ids.tolist()):
+                anchor = a.block.rows[place // max(1, a.slots)]["id"].as_py()
+                out.setdefault((anchor, place % max(1, a.slots)), set()).add((-s, i))
+        return {k: sorted(v) for k, v in out.items()}, sizes
+
+    near, sizes = all_found(arrow(mine), 5)
+    best = {a: v[:5] for (a, _), v in near.items()}
+    assert all(sizes)
+    far, sizes = all_found(arrow(mine, positives={a: [{"id": i, "score": -s} for s, i in v] for a, v in best.items()}), 3, (50, 95))
+    assert all(sizes)
+    got = sorted((a, best[a][n][1], rank + 1, i, -best[a][n][0], -s) for (a, n), v in far.items() for rank, (s, i) in enumerate(v[:3]))
+    assert wanted and got == wanted
