@@ -30,14 +30,16 @@ def sessions(spark, folder, of=None) -> DataFrame:
         # Spark would join the finished sessions and so make the keys of all.
         docs = docs.join(of.select("doc_id"), "doc_id", "left_semi")
     docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    docs = docs.select("doc_id", "lang", "n_chars", lengths.alias("_n"))
+    # Each word's hand is found once, not for both of the keys that it plays.
+    words = F.transform(lengths, lambda n: F.struct(n.alias("n"), _hand(n).alias("hand")))
+    docs = docs.select("doc_id", "lang", "n_chars", words.alias("_n"))
 
     def key(before, own):
         return F.struct(
-            _hand(own).alias("Hand"), (own * 25.0).cast("string").alias("Hold time"),
-            F.concat(_hand(before), _hand(own)).alias("Direction"),
-            ((before + own) * 40.0).cast("string").alias("Latency time"),
-            (before * 15.0).cast("string").alias("Flight time"),
+            own["hand"].alias("Hand"), (own["n"] * 25.0).cast("string").alias("Hold time"),
+            F.concat(before["hand"], own["hand"]).alias("Direction"),
+            ((before["n"] + own["n"]) * 40.0).cast("string").alias("Latency time"),
+            (before["n"] * 15.0).cast("string").alias("Flight time"),
         )
 
     count = F.greatest(F.size("_n") - 1, F.lit(0))
@@ -52,10 +54,9 @@ def sessions(spark, folder, of=None) -> DataFrame:
 def posted_sessions(spark, folder) -> DataFrame:
     """The same sessions, written as the posted JSON array (profile first, then the keys) and read back."""
     # The keys are written by one call for the whole array, not by one for each key.
-    keys = F.to_json("keys")
-    payload = F.concat(F.lit("["), F.to_json("profile"), F.when(keys == "[]", "").otherwise(F.concat(F.lit(","), F.substring(keys, 2, 2**31 - 1))),
-                       F.when(keys == "[]", "]").otherwise(""))
-    return sessions_from_posts(sessions(spark, folder).select("session_id", payload.alias("payload")))
+    told = sessions(spark, folder).select("session_id", F.to_json("profile").alias("_profile"), F.to_json("keys").alias("_keys"))
+    payload = F.concat(F.lit("["), "_profile", F.when(F.col("_keys") == "[]", "]").otherwise(F.concat(F.lit(","), F.substring("_keys", 2, 2**31 - 1))))
+    return sessions_from_posts(told.select("session_id", payload.alias("payload")))
 
 
 def _hand_sql(n: str) -> str:
